@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op3_mixing
 from .packing import op4_packing
+from .quality_cnn import op2_quality
 from .secrets import op10_secrets
+from .toxicity import op8_toxicity
 from .url_filter import OP5_SQL, op5_url_filter
 from .viterbi import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_packing, op5_url_filter, op9_token_counts, op10_secrets)}
+    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_packing, op5_url_filter, op8_toxicity, op9_token_counts, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
