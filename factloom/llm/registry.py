@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import op3_mixing
+from .order_minhash import op7_order_minhash
 from .packing import op4_packing
 from .quality_cnn import op2_quality
 from .secrets import op10_secrets
@@ -16,7 +17,7 @@ from .viterbi import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_packing, op5_url_filter, op8_toxicity, op9_token_counts, op10_secrets)}
+    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_packing, op5_url_filter, op7_order_minhash, op8_toxicity, op9_token_counts, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
