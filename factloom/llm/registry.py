@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hnsw import OP6_SQL, op6_hnsw
 from .minhash import OP1_SQL, op1_minhash
 from .mixing import op3_mixing
 from .order_minhash import op7_order_minhash
@@ -18,8 +19,8 @@ from .viterbi import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_mixing, op4_packing, op5_url_filter, op7_order_minhash, op8_toxicity, op9_token_counts, op10_secrets)}
+    return {f.__name__: f for f in (op1_minhash, op2_quality, op3_mixing, op4_packing, op5_url_filter, op6_hnsw, op7_order_minhash, op8_toxicity, op9_token_counts, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op5_url_filter": OP5_SQL}
+    return {"op1_minhash": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_hnsw": OP6_SQL}
