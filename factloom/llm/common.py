@@ -4,6 +4,7 @@ folder, and the definition of a word."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,7 +51,6 @@ class Shelf:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.close)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -58,10 +58,16 @@ class Shelf:
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._shelf_path = path
+        self.sweep()
         return out
 
+    def sweep(self) -> None:
+        """Nothing reads the shuffle files behind a written table again, but Spark only removes
+        them once the driver has collected the plan that made them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             path = getattr(f, "_shelf_path", None)
