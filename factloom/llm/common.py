@@ -18,7 +18,21 @@ WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker. Rows alone do not bound it: texts differ in
+#: length by five orders of magnitude.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that this session sends to Python workers by bytes, unless the
+    session has a lower bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +65,7 @@ class Shelf:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        small_batches(spark)
         atexit.register(self.close)
 
     def put(self, df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 # The base kinds in their order, pattern and least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -146,6 +146,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with every span of their text replaced; null stays null."""
+    small_batches(docs.sparkSession)
     cols = [F.col(f"`{c}`") for c in docs.columns]
 
     @F.pandas_udf("string")
