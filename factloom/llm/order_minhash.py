@@ -37,10 +37,11 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _lower_bound(array: str, key: str, high: str) -> str:
-    """First index of the sorted array, below ``high``, whose element is at least the key; else high."""
-    step = f"CASE WHEN s.lo >= s.hi THEN s WHEN {array}[(s.lo + s.hi) div 2] < {key} THEN struct(CAST((s.lo + s.hi) div 2 + 1 AS INT) AS lo, s.hi AS hi) ELSE struct(s.lo AS lo, CAST((s.lo + s.hi) div 2 AS INT) AS hi) END"
-    steps = f"sequence(0, CAST(ceil(log2(greatest({high}, 1))) AS INT))"
-    return f"aggregate({steps}, struct(0 AS lo, CAST({high} AS INT) AS hi), (s, t) -> {step}, s -> s.lo)"
+    """First index of the sorted array, below ``high``, whose element is at least the key; else
+    high. Descends by halving steps; the only state is an index."""
+    top = f"CAST(floor(log2(greatest({high}, 1))) AS INT)"
+    steps = f"transform(sequence(0, {top}), z -> shiftleft(1, {top} - z))"
+    return f"aggregate({steps}, 0, (s, st) -> CASE WHEN s + st <= {high} AND {array}[s + st - 1] < {key} THEN s + st ELSE s END)"
 
 
 def signature(text: str, k: int = K, l: int = L, m: int = M) -> str:  # noqa: E741
@@ -53,11 +54,12 @@ def signature(text: str, k: int = K, l: int = L, m: int = M) -> str:  # noqa: E7
     nth = "CASE " + " ".join(f"WHEN {same(d)} THEN {d - 1}" for d in range(1, 5)) + f" ELSE i - {_lower_bound('a', f'(v & {~_LOW}L)', 'i')} END"
     by_hash = f"sort_array(transform(a, (v, i) -> (xxhash64(v & {~_LOW}L, {nth}) & {~_LOW}L) | (v & {_LOW})))"
     points = "array(" + ", ".join(f"{-(1 << 63) + 1 + j * ((1 << 64) // m)}L" for j in range(m)) + ")"
-    first = _lower_bound("b", "p", "size(b)")
+    first = "aggregate(steps, 0, (s, st) -> CASE WHEN s + st <= size(b) AND b[s + st - 1] < p THEN s + st ELSE s END)"
+    halves = "transform(sequence(0, CAST(floor(log2(size(b))) AS INT)), z -> shiftleft(1, CAST(floor(log2(size(b))) AS INT) - z))"
     picked = f"sort_array(transform(sequence(0, least({l}, size(b)) - 1), o -> b[CAST((f + o) % size(b) AS INT)] & {_LOW}))"
     hashed = f"xxhash64(transform({picked}, q -> kh[CAST(q AS INT)])) & 4294967295"
     each = f"transform({points}, p -> {_let(first, 'f', hashed)})"
-    full = _let(by_kmer, "a", _let(by_hash, "b", each))
+    full = _let(by_kmer, "a", _let(by_hash, "b", _let(halves, "steps", each)))
     none = f"array_repeat(0L, {m})"
     return _let(words, "wh", _let(kmers, "kh", f"CASE WHEN size(kh) = 0 THEN {none} ELSE {full} END"))
 
