@@ -7,10 +7,11 @@
 3. Prefix: two classes that collide T times or more share one of the m - T + 1 rarest of
    their m shared pairs, in the global order by posting length. Only this prefix is posted.
 4. Skip merging: most postings within a group of copies say the same thing again. First each
-   class is compared to one pivot of its lists, twice over, and linked classes are united;
-   from then on only postings whose list still holds several components are merged, and only
-   pairs across components are counted. Short lists are merged by a join; lists above
-   ``short`` in blocks, which return only the pairs that collide T times.
+   class is compared to one pivot of its lists, and linked classes are united. Then classes
+   outside the main component of a list are compared to a few of its members, again while
+   that finds links. Only lists that still hold several components are merged, and only pairs
+   across components are counted: by a join where at most ``short`` classes stand outside the
+   main component, else in blocks, which return only the pairs that collide T times.
 5. Pairs with T collisions are confirmed on the full sets; links unite into components.
 
 No group's pairs are all emitted, yet no link between components is lost: a pair that is
@@ -38,6 +39,8 @@ from .components import components
 SHINGLE_WORDS, PERCENT = 5, 80
 K, T = 40, 20
 SHORT, BLOCK = 48, 256
+#: Pivots a class meets in one turn, and turns at most before lists are merged in full.
+PIVOTS, MOST_TURNS = 4, 6
 CACHE_WORDS = 600_000
 _U = np.uint64
 # Odd multipliers of the K coordinates, from a fixed seed.
@@ -131,6 +134,25 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.mapInPandas(run, "a long, b long")
 
 
+def _main(p: DataFrame, turn: int) -> DataFrame:
+    """(tk, n, main, held, pivots) of the lists with several components: size, largest component,
+    its size, and a few of its members. A pivot is the least id after an exclusive or with a
+    number of the turn, so that picking them is an ordinary partial aggregate."""
+    salts = np.random.default_rng(1000 + turn).integers(1, 1 << 62, PIVOTS).tolist()
+    per = p.groupBy("tok", "comp").agg(F.count("*").alias("n"), *[F.min(F.col("doc").bitwiseXOR(F.lit(c))).alias(f"p{j}") for j, c in enumerate(salts)])
+    pivots = F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(c)) for j, c in enumerate(salts)])
+    top = F.max_by(F.struct("comp", "n", pivots.alias("pivots")), F.struct("n", "comp"))
+    return per.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), top.alias("x")).where("comps > 1").select(F.col("tok").alias("tk"), "n", F.col("x.comp").alias("main"), F.col("x.n").alias("held"), F.col("x.pivots").alias("pivots"))
+
+
+def _outsiders(p: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class outside the main component of a list with PIVOTS of its members at
+    most, over all its lists."""
+    met = p.join(_main(p, turn), F.col("tok") == F.col("tk")).where("comp <> main").select("doc", F.explode("pivots").alias("p"))
+    few = met.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("p", F.lit(turn)).alias("h"), "p"))), 1, PIVOTS).alias("l"))
+    return few.select(F.col("doc").alias("a"), F.explode("l.p").alias("b"))
+
+
 def _long_lists(posts: DataFrame, toks: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) across components that collide t times, from lists of any length: a list is
     cut into blocks, each two blocks meet once, and only colliding pairs come out."""
@@ -174,25 +196,31 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
     toks = shelf.put(reps.join(live, "doc", "left_semi"))
     texts = shelf.put(docs.join(live, F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("doc"), "text"))
 
-    def labelled(comp: DataFrame | None) -> DataFrame:
-        """Postings with components, of lists that hold more than one."""
-        p = posts.withColumn("comp", F.col("doc")) if comp is None else posts.join(comp, F.col("doc") == F.col("id"), "left").select("doc", "tok", F.coalesce("component", "doc").alias("comp"))
-        open_ = p.groupBy("tok").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("lo <> hi")
-        open_ = open_.select(F.col("tok").alias("tk"), "n", "first", "last")
-        return p.join(open_, F.col("tok") == F.col("tk")).select("tok", "doc", "comp", "n", "first", "last")
-
-    links, comp = None, None
-    for pick, best in (("first", F.min), ("last", F.max)):
-        p = labelled(comp)
-        star = p.where(F.col(pick) != F.col("doc")).groupBy("doc").agg(best(pick).alias("p")).select(F.col("doc").alias("a"), F.col("p").alias("b"))
-        found = shelf.put(_confirm(_collide(star.distinct(), toks, t), texts, words, percent))
-        links = found if links is None else links.union(found)
+    def labelled(comp: DataFrame) -> DataFrame:
+        return posts.join(comp, F.col("doc") == F.col("id"), "left").select("doc", "tok", F.coalesce("component", "doc").alias("comp"))
+
+    # First every class meets one pivot, the least of its lists.
+    least = posts.groupBy("tok").agg(F.min("doc").alias("p")).withColumnRenamed("tok", "tk")
+    star = posts.join(least, F.col("tok") == F.col("tk")).where("doc <> p").groupBy("doc").agg(F.min("p").alias("p")).select(F.col("doc").alias("a"), F.col("p").alias("b"))
+    links = shelf.put(_confirm(_collide(star, toks, t), texts, words, percent))
+    comp = components(links, shelf)
+    # Then those outside their list's main component meet a few more of its members, as long as
+    # that finds links: a group of copies ends as one component and a few that stand apart.
+    for turn in range(MOST_TURNS):
+        star = _outsiders(labelled(comp), turn)
+        found = shelf.put(_confirm(_collide(star, toks, t), texts, words, percent))
+        if found.isEmpty():
+            break
+        links = links.union(found)
         comp = components(links, shelf)
-    p = shelf.put(labelled(comp))
-    near = p.where(f"n <= {short}").select("tok", "doc", "comp")
-    other = near.select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
-    pairs = near.join(other, (F.col("tok") == F.col("tok2")) & (F.col("doc") < F.col("doc2")) & (F.col("comp") != F.col("comp2"))).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
-    hits = shelf.put(_collide(pairs, toks, t).union(_long_lists(p.where(f"n > {short}"), toks, t)).distinct())
+    # What is left open is merged in full: an outsider with every member of another component.
+    p = labelled(comp)
+    main = _main(p, 0).select("tk", "n", "main", (F.col("n") - F.col("held")).alias("out"))
+    p = shelf.put(p.join(main, F.col("tok") == F.col("tk")).select("tok", "doc", "comp", "n", "main", "out"))
+    near = p.where(f"out <= {short}").select("tok", "doc", "comp")
+    other = p.where(f"out <= {short} AND comp <> main").select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
+    pairs = near.join(other, (F.col("tok") == F.col("tok2")) & (F.col("comp") != F.col("comp2"))).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    hits = shelf.put(_collide(pairs, toks, t).union(_long_lists(p.where(f"out > {short}"), toks, t)).distinct())
     comp = components(links.union(shelf.put(_confirm(hits, texts, words, percent))), shelf)
 
     node = signed.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
