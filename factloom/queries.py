@@ -439,25 +439,26 @@ def _ifds(p: EventProgram) -> Problem:
     and gets the callee's 0 back into iid % 4; all other facts skip the callee. Function 0 and
     every tenth are entries. Nodes are iid + 1, so that a return node's negation differs."""
     node = F.col("iid") + 1
-    ins, sites = p.ins.select("iid", "op", "k"), _sites(p)
+    ins, sites = p.ins.select("fn", "iid", "op", "k"), _sites(p)
     facts = F.array(*[F.lit(i).cast("long") for i in range(-1, 4)])
     edges = flow.instruction_edges(p.ins, p.flow).where("dst <> -1")
-    called = sites.select(F.col("node").alias("iid"))
+    called = sites.select(F.col("src").alias("fn"), F.col("node").alias("iid"))
     pair = (
         "CASE WHEN d = -1 THEN IF(op = 'view', array(-1L, k % 4), array(-1L)) WHEN op = 'click' AND d = k % 4 THEN array_distinct(array(d, iid % 4)) "
         "WHEN op = 'click' AND d = iid % 4 THEN CAST(array() AS array<bigint>) WHEN op = 'error' AND d = k % 4 THEN CAST(array() AS array<bigint>) ELSE array(d) END"
     )
-    plain = ins.join(called, "iid", "left_anti").withColumn("d", F.explode(facts)).withColumn("d2", F.explode(F.expr(pair)))
-    f1 = plain.join(edges.select(F.col("src").alias("iid"), (F.col("dst") + 1).alias("succ")), "iid").select(node.alias("node"), "succ", "d", "d2")
-    f2 = called.withColumn("d", F.explode(facts)).join(edges.select(F.col("src").alias("iid"), (F.col("dst") + 1).alias("succ")), "iid").select((-node).alias("node"), "succ", "d", F.col("d").alias("d2"))
-    c = sites.select(F.col("node").alias("iid"), "fn", "k")
+    plain = ins.join(called.select("iid"), "iid", "left_anti").withColumn("d", F.explode(facts)).withColumn("d2", F.explode(F.expr(pair)))
+    succ = edges.select(F.col("src").alias("iid"), (F.col("dst") + 1).alias("succ"))
+    f1 = plain.join(succ, "iid").select("fn", node.alias("node"), "succ", "d", "d2")
+    f2 = called.withColumn("d", F.explode(facts)).join(succ, "iid").select("fn", (-node).alias("node"), "succ", "d", F.col("d").alias("d2"))
+    c = sites.select(F.col("node").alias("iid"), "src", "fn", "k")
     pass_ = c.select(node.alias("node"), "fn", F.explode(F.expr("array(struct(-1L AS d, -1L AS d2), struct(k % 4 AS d, 0L AS d2))")).alias("x")).select("node", "fn", "x.d", "x.d2")
     back = c.select(node.alias("node"), "fn", F.lit(0).cast("long").alias("d"), (F.col("iid") % 4).alias("d2"))
-    past = c.withColumn("d", F.explode(facts)).where("d <> iid % 4").select(node.alias("node"), "d", F.col("d").alias("d2"))
+    past = c.withColumn("d", F.explode(facts)).where("d <> iid % 4").select(F.col("src").alias("fn"), node.alias("node"), "d", F.col("d").alias("d2"))
     entry = p.ins.where("ord = 0").select("fn", node.alias("node"))
     start = _nodes(p).where("fn % 10 = 0").select("fn", F.lit(-1).cast("long").alias("d"))
     exits = p.blk.where("term = 'purchase'").select((F.col("tid") + 1).alias("node"), "fn")
-    return Problem(entry, start, f1.unionByName(f2), c.select(node.alias("node"), "fn"), pass_, exits, back, past)
+    return Problem(entry, start, f1.unionByName(f2), pass_, exits, back, past)
 
 
 IFDS = """flowd AS (SELECT i.iid + 1 AS node, e.dst + 1 AS succ, d.d, i.op, i.k, i.iid FROM ins i JOIN ie e ON e.src = i.iid AND e.dst <> -1 CROSS JOIN (SELECT CAST(x AS BIGINT) AS d FROM range(-1, 4) t(x)) d WHERE i.iid NOT IN (SELECT node FROM site)),
@@ -482,9 +483,9 @@ def ifds_reach(p):
     return Problem.facts(_ifds(p).solve())
 
 
-@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS)} SELECT tag, count(*) AS n FROM f GROUP BY tag")
+@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS)} SELECT CASE tag WHEN 0 THEN 'path' WHEN 1 THEN 'incoming' WHEN 2 THEN 'end' ELSE 'summary' END AS relation, count(*) AS n FROM f GROUP BY tag")
 def ifds_edge_count(p):
-    return _ifds(p).solve().groupBy(F.col("tag").cast("long").alias("tag")).agg(F.count("*").alias("n"))
+    return Problem.sizes(_ifds(p).solve())
 
 
 # -- graph text -------------------------------------------------------------------------------
