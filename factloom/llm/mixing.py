@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE_RE, table
+from .common import table
 
 SOURCE_WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -151,15 +151,16 @@ def mix_documents(docs: DataFrame, *, block_words: int = 64, **how) -> DataFrame
     cols = docs.columns
     rows = plan_mix(docs.withColumn("_size", n_words()), block_words=block_words, **how)
     b = block_words
-    words = F.expr(f"filter(split(text, '{WORD_SPACE_RE.replace(chr(92), chr(92) * 2)}'), w -> w <> '')")
-    cut = F.expr(
-        f"array_join(flatten(transform(sequence(_at div {b}, (_at + _size - 1) div {b}), i -> CASE WHEN pmod(_a * i + _b, _n) < _q % _n "
-        f"THEN slice(_words, CAST(greatest(i * {b}, _at) - _at AS INT) + 1, CAST(least((i + 1) * {b}, _at + _size) - greatest(i * {b}, _at) AS INT)) ELSE CAST(array() AS array<string>) END)), ' ')"
+    words = rf"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    block = (
+        f"CASE WHEN pmod(_a * i + _b, _n) < _q % _n THEN slice(ws, CAST(greatest(i * {b}, _at) - _at AS INT) + 1, CAST(least((i + 1) * {b}, _at + _size) - greatest(i * {b}, _at) AS INT)) "
+        "ELSE CAST(array() AS array<string>) END"
     )
+    # The words are split once: the lambda's variable holds them for all blocks.
+    cut = F.expr(f"element_at(transform(array({words}), ws -> array_join(flatten(transform(sequence(_at div {b}, (_at + _size - 1) div {b}), i -> {block})), ' ')), 1)")
     rows = rows.where("_taken > 0").withColumn("_times", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size"))
     whole = rows.select(*cols, "_times", "_rest", "_at", "_a", "_b", "_n", "_q", "_size", F.explode(F.expr("CASE WHEN _rest > 0 THEN sequence(0L, _times) ELSE sequence(1L, _times) END")).alias("_pass"))
     # Pass 0 is the one that holds only the extra blocks.
-    whole = whole.withColumn("_words", F.when(F.col("_pass") == 0, words))
     text = F.when(F.col("_pass") > 0, F.col("text")).otherwise(cut)
     whole = whole.withColumn("text", text)
     if "n_chars" in cols:
