@@ -41,7 +41,9 @@ K, T = 40, 20
 SHORT, BLOCK = 48, 256
 #: Pivots a class meets in one turn, and turns at most before lists are merged in full.
 PIVOTS, MOST_TURNS = 4, 6
-CACHE_WORDS = 600_000
+#: Turns go on while one in so many of the colliding pairs that they met was a link.
+WORTHWHILE = 20
+CACHE_WORDS = 200_000
 _U = np.uint64
 # Odd multipliers of the K coordinates, from a fixed seed.
 _A = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
@@ -199,20 +201,27 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
     def labelled(comp: DataFrame) -> DataFrame:
         return posts.join(comp, F.col("doc") == F.col("id"), "left").select("doc", "tok", F.coalesce("component", "doc").alias("comp"))
 
+    def confirmed(star: DataFrame) -> tuple[int, int, DataFrame]:
+        """Pairs that collide, links among them, and the links. Only texts of those pairs travel:
+        their ids are a table of their own, whose size the planner knows."""
+        pairs = shelf.put(_collide(star, toks, t))
+        ids = shelf.put(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
+        found = shelf.put(_confirm(pairs, texts.join(ids, "doc", "left_semi"), words, percent))
+        return pairs.count(), found.count(), found
+
     # First every class meets one pivot, the least of its lists.
     least = posts.groupBy("tok").agg(F.min("doc").alias("p")).withColumnRenamed("tok", "tk")
     star = posts.join(least, F.col("tok") == F.col("tk")).where("doc <> p").groupBy("doc").agg(F.min("p").alias("p")).select(F.col("doc").alias("a"), F.col("p").alias("b"))
-    links = shelf.put(_confirm(_collide(star, toks, t), texts, words, percent))
-    comp = components(links, shelf)
+    comp = components(confirmed(star)[2], shelf)
     # Then those outside their list's main component meet a few more of its members, as long as
     # that finds links: a group of copies ends as one component and a few that stand apart.
+    # Components are stars already, so uniting them with new links takes few rounds.
     for turn in range(MOST_TURNS):
-        star = _outsiders(labelled(comp), turn)
-        found = shelf.put(_confirm(_collide(star, toks, t), texts, words, percent))
-        if found.isEmpty():
+        met, linked, found = confirmed(_outsiders(labelled(comp), turn))
+        if linked:
+            comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf)
+        if linked * WORTHWHILE < met or not linked:
             break
-        links = links.union(found)
-        comp = components(links, shelf)
     # What is left open is merged in full: an outsider with every member of another component.
     p = labelled(comp)
     main = _main(p, 0).select("tk", "n", "main", (F.col("n") - F.col("held")).alias("out"))
@@ -220,8 +229,9 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
     near = p.where(f"out <= {short}").select("tok", "doc", "comp")
     other = p.where(f"out <= {short} AND comp <> main").select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
     pairs = near.join(other, (F.col("tok") == F.col("tok2")) & (F.col("comp") != F.col("comp2"))).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-    hits = shelf.put(_collide(pairs, toks, t).union(_long_lists(p.where(f"out > {short}"), toks, t)).distinct())
-    comp = components(links.union(shelf.put(_confirm(hits, texts, words, percent))), shelf)
+    _, linked, found = confirmed(pairs.union(_long_lists(p.where(f"out > {short}"), toks, t)).distinct())
+    if linked:
+        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf)
 
     node = signed.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     out = node.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("r")).join(comp, F.col("r") == F.col("id"), "left")
