@@ -483,7 +483,7 @@ def ifds_reach(p):
     return Problem.facts(_ifds(p).solve())
 
 
-@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS)} SELECT CASE tag WHEN 0 THEN 'path' WHEN 1 THEN 'incoming' WHEN 2 THEN 'end' ELSE 'summary' END AS relation, count(*) AS n FROM f GROUP BY tag")
+@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS)} SELECT r.relation, count(f.tag) AS n FROM (VALUES (0, 'path'), (1, 'incoming'), (2, 'end'), (3, 'summary')) r(tag, relation) LEFT JOIN f ON f.tag = r.tag GROUP BY r.relation")
 def ifds_edge_count(p):
     return Problem.sizes(_ifds(p).solve())
 
