@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -326,11 +327,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "e
     shelf = Shelf(vectors.sparkSession, "hnsw")
 
     def prepare(batches):
-        for pdf in batches:
-            rows = [(i, *_digest(x)) for i, x in zip(pdf["id"], pdf["x"], strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "raw", "k1", "k2"]).astype({"id": "Int64", "k1": "Int64", "k2": "Int64"})
+        for batch in batches:
+            raw, k1, k2 = zip(*map(_digest, batch.column("x").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["id", "raw", "k1", "k2"])
 
-    rows = shelf.put(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("x")).mapInPandas(prepare, "id long, raw binary, k1 long, k2 long"))
+    rows = shelf.put(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("x")).mapInArrow(prepare, "id long, raw binary, k1 long, k2 long"))
     usable = rows.where("raw IS NOT NULL AND id IS NOT NULL")
     common = usable.groupBy(F.length("raw").alias("w")).count().orderBy(F.desc("count"), "w").first()
     width = common["w"] if common else 0
@@ -358,7 +359,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "e
             g = Graph.load(right["graph"].iloc[0])
             left = left.sort_values("rep", kind="stable").drop_duplicates("rep")
             raw = np.frombuffer(b"".join(left["raw"]), np.float32).reshape(len(left), -1)
-            reps_, sizes = left["rep"].to_numpy(np.int64), left["size"].to_numpy(np.int64)
+            reps_ = left["rep"].to_numpy(np.int64)
             found, _ = g.audited(raw, np.arange(len(left)), threshold, recall)
             forest = Forest(len(g.ids))
             for rep, hits in zip(reps_.tolist(), found, strict=True):
@@ -375,7 +376,6 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "e
                         out_a.append(rep)
                         out_b.append(h)
                         out_n.append(0)
-            del sizes
         return pd.DataFrame({"a": pd.array(out_a, "Int64"), "b": pd.array(out_b, "Int64"), "n": pd.array(out_n, "Int64")})
 
     seen = shelf.put(asked.groupBy("to", "part").cogroup(held.groupBy("to", "part")).applyInPandas(query, "a long, b long, n long"))

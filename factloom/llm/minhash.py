@@ -28,7 +28,7 @@ have a null component and are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,18 +94,19 @@ def _signed(docs: DataFrame, words: int, k: int) -> DataFrame:
     """(doc_id, n, k1, k2, toks): set size, 128 bits that identify the set, signature."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for batch in batches:
+            n, k1, k2, toks = [], [], [], []
+            for t in batch.column("text").to_pylist():
                 s = shingle_set(t, words)
-                if not len(s):
-                    rows.append((i, 0, None, None, None))
-                    continue
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((i, len(s), *np.frombuffer(d, np.int64).tolist(), signature(s, k)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "toks"]).astype({"k1": "Int64", "k2": "Int64"})
+                a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None)
+                n.append(len(s))
+                k1.append(a)
+                k2.append(b)
+                toks.append(signature(s, k) if len(s) else None)
+            made = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "toks"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, toks array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, toks array<long>")
 
 
 def _collide(pairs: DataFrame, toks: DataFrame, t: int) -> DataFrame:
@@ -176,8 +177,6 @@ def _long_lists(posts: DataFrame, toks: DataFrame, t: int) -> DataFrame:
                 a, b = d1[i], d2[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
-    import pyarrow as pa
-
     return meet.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -242,9 +241,9 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, with all columns of ``docs``; of rows that share the kept
     doc_id one stays. Rows with a null doc_id stay."""
-    keep = near_duplicates(docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep"))
+    keep = near_duplicates(docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
     n = docs.where("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    out = docs.join(keep.distinct(), F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    out = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
     if n["n"] != n["d"]:
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id IS NULL"))

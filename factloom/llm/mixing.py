@@ -106,7 +106,7 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
     shards = [max(1, -(-w // width)) for w in words]
     key = "coalesce(concat('s', source), 'n')"
     made = spark.createDataFrame([("n" if s is None else "s" + s, n, w, t) for s, n, w, t in zip(names, shards, words, target, strict=True)], "_key string, _shards long, _source_size long, _target double")
-    order = F.xxhash64(F.lit(seed).cast("long"), *[F.col(c) for c in ("doc_id", "text") if c in rows.columns])
+    order = F.xxhash64(F.lit(seed).cast("long"), "doc_id", "_size")
     rows = rows.withColumn("_key", F.expr(key)).withColumn("_order", order)
     rows = rows.join(F.broadcast(made), "_key").withColumn("_shard", F.pmod("_order", "_shards"))
 
@@ -128,7 +128,7 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
     plan = spark.createDataFrame(plan, "_key string, _shard long, _n long, _q long, _a long, _b long")
     # One row a shard; its size is bounded by max_shards, and Catalyst picks the join by it.
     rows = rows.join(plan, ["_key", "_shard"])
-    laid = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id", "_size", *[F.xxhash64(c) for c in ("text",) if c in rows.columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_at", F.sum("_size").over(laid) - F.col("_size"))
     b = block_words
     part = F.expr(
@@ -149,7 +149,10 @@ def mix_documents(docs: DataFrame, *, block_words: int = 64, **how) -> DataFrame
     """The mixed documents, with the columns of ``docs``: a row for every full pass over a
     document, and one for the words of its extra blocks where these are fewer."""
     cols = docs.columns
-    rows = plan_mix(docs.withColumn("_size", n_words()), block_words=block_words, **how)
+    # The caller's columns travel in one struct, so none can clash with those of the plan.
+    rest = [F.col(f"`{c}`") for c in cols if c not in ("text", "n_chars")]
+    held = docs.select(F.struct(*rest).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), "text", n_words().alias("_size"))
+    rows = plan_mix(held, block_words=block_words, **how)
     b = block_words
     words = rf"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
     block = (
@@ -159,13 +162,11 @@ def mix_documents(docs: DataFrame, *, block_words: int = 64, **how) -> DataFrame
     # The words are split once: the lambda's variable holds them for all blocks.
     cut = F.expr(f"element_at(transform(array({words}), ws -> array_join(flatten(transform(sequence(_at div {b}, (_at + _size - 1) div {b}), i -> {block})), ' ')), 1)")
     rows = rows.where("_taken > 0").withColumn("_times", F.expr("_taken div _size")).withColumn("_rest", F.expr("_taken % _size"))
-    whole = rows.select(*cols, "_times", "_rest", "_at", "_a", "_b", "_n", "_q", "_size", F.explode(F.expr("CASE WHEN _rest > 0 THEN sequence(0L, _times) ELSE sequence(1L, _times) END")).alias("_pass"))
-    # Pass 0 is the one that holds only the extra blocks.
-    text = F.when(F.col("_pass") > 0, F.col("text")).otherwise(cut)
-    whole = whole.withColumn("text", text)
-    if "n_chars" in cols:
-        whole = whole.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return whole.select(*cols)
+    passes = F.explode(F.expr("CASE WHEN _rest > 0 THEN sequence(0L, _times) ELSE sequence(1L, _times) END"))
+    whole = rows.withColumn("_pass", passes)  # pass 0 is the one that holds only the extra blocks
+    whole = whole.withColumn("_text", F.when(F.col("_pass") > 0, F.col("text")).otherwise(cut))
+    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return whole.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in cols])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,7 @@ from .common import Shelf, table, text_or_empty
 
 WINDOW = 1024
 END_ID = 0
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def _byte_chars() -> dict[str, int]:
@@ -140,15 +141,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
 
     def run(batches):
         encode = _encoder(tokenizer).encode
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for batch in batches:
+            who, rows = [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
                 ids = encode(t) + end
                 n = len(ids) // 4
-                rows += [(i, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                for s in range(0, n, window):
+                    who.append(i)
+                    rows.append((s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n))
+            made = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who, pa.int32())), *made], PIECE)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = 16384) -> DataFrame:
@@ -159,15 +163,15 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int =
     groups = max(1, -(-n // group_pieces))
     kind = dict(pieces.dtypes)["doc_id"]
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        at = best_fit(pdf["length"].tolist(), window)
-        pdf["sequence_id"] = [(int(key[0]) << 32) + b for b, _ in at]
-        pdf["offset"] = [o for _, o in at]
-        return pdf.drop(columns="g")
+    def run(key, rows):
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        at = best_fit(rows.column("length").to_pylist(), window)
+        base = key[0].as_py() << 32
+        rows = rows.select(PIECE).append_column("sequence_id", pa.array([base + b for b, _ in at], pa.int64()))
+        return rows.append_column("offset", pa.array([o for _, o in at], pa.int64()))
 
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("g").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,7 @@ ALLOW = (
     re.compile(r"(.{1,8})\1{2,}.{0,8}"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
 )
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, 4097)]
 
 
@@ -137,11 +139,12 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = "array<struct<start:int,end:int,kind:string>>"
 
     def run(batches):
-        for pdf in batches:
-            both = [scan(t) for t in pdf["text"]]
-            yield pd.DataFrame({id_col: pdf["id"], "base": [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x, _ in both], "spans": [[{"start": a, "end": b, "kind": k} for a, b, k in y] for _, y in both]})
+        for batch in batches:
+            both = [scan(t) for t in batch.column("text").to_pylist()]
+            base, spans = (pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x[i]] for x in both], SPANS) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), base, spans], [id_col, "base", "spans"])
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, base {span}, spans {span}")
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, base {span}, spans {span}")
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,10 +121,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
 
     def run(batches):
         counter = _counter(vocabulary, byte_fallback)
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["id"], "n_tokens": [counter.count(t) for t in pdf["text"]]})
+        for batch in batches:
+            counts = [counter.count(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64())], [id_col, "n_tokens"])
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long")
+    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
