@@ -10,9 +10,9 @@
    class is compared to one pivot of its lists, and linked classes are united. Then classes
    outside the main component of a list are compared to a few of its members, again while
    that finds links. Only lists that still hold several components are merged, and only pairs
-   across components are counted: by a join where at most ``short`` classes stand outside the
-   main component, else in blocks, which return only the pairs that collide T times.
-5. Pairs with T collisions are confirmed on the full sets; links unite into components.
+   across components are counted: by a join in lists of at most ``short``, else in blocks.
+5. Pairs with T collisions are confirmed on the full sets (blocks compare full sets at once);
+   links unite into components.
 
 No group's pairs are all emitted, yet no link between components is lost: a pair that is
 never compared is one whose ends are already in one component. Whatever is confirmed is
@@ -156,28 +156,61 @@ def _outsiders(p: DataFrame, turn: int) -> DataFrame:
     return few.select(F.col("doc").alias("a"), F.explode("l.p").alias("b"))
 
 
-def _long_lists(posts: DataFrame, toks: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) across components that collide t times, from lists of any length: a list is
-    cut into blocks, each two blocks meet once, and only colliding pairs come out."""
-    sized = posts.withColumn("blk", F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), (F.col("n") / BLOCK).cast("long"))))
-    rich = sized.join(toks, "doc").groupBy("tok", "blk").agg(F.collect_list(F.struct("doc", "comp", "toks")).alias("m"))
-    meet = rich.select("tok", F.col("blk").alias("b1"), F.col("m").alias("m1")).join(rich.select("tok", F.col("blk").alias("b2"), F.col("m").alias("m2")), "tok").where("b1 <= b2").select("m1", "m2")
+def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of every two sets, as products of 0/1 matrices over shared elements."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for k in range(0, len(shared), 4096):
+        part = shared[k : k + 4096]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for r, s in enumerate(sets):
+                x = np.searchsorted(part, s[(s >= part[0]) & (s <= part[-1])])
+                ok = s[(s >= part[0]) & (s <= part[-1])]
+                hit = part[np.minimum(x, len(part) - 1)] == ok
+                m[r, x[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _long_lists(posts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) across components from lists of any length. ``posts`` has tok, doc, comp and
+    the list's main component.
+
+    Lists with one main component hold much the same classes, so they are merged as one: every
+    class that stands outside is compared to every class of these lists, on full sets, block
+    by block. A block of about BLOCK texts travels once for each block that it meets, and a pair
+    of blocks is a task row of its own. Of a class's links into one component one comes out."""
+    all_ = posts.groupBy("main", "doc").agg(F.first("comp").alias("comp"))
+    size = all_.groupBy("main").agg(F.count("*").alias("n"), F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("out"))
+    size = size.select(F.col("main").alias("m"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("out") / BLOCK).cast("int").alias("no"))
+    rich = all_.join(texts, "doc").join(size, F.col("main") == F.col("m")).withColumn("h", F.xxhash64("doc"))
+    one = F.collect_list(F.struct("doc", "comp", "text"))
+    whole = rich.withColumn("ub", F.pmod("h", "nb")).groupBy("main", "ub").agg(one.alias("right"))
+    outside = rich.where("comp <> main").withColumn("ob", F.pmod("h", "no")).groupBy("main", "nb", "ob").agg(one.alias("left"))
+    outside = outside.select("main", F.explode(F.expr("sequence(0L, nb - 1L)")).alias("ub"), "left")
+    meet = outside.join(whole, ["main", "ub"]).select("left", "right")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                m1, m2 = row["m1"], row["m2"]
-                d1, d2 = (np.array([x["doc"] for x in m]) for m in (m1, m2))
-                c1, c2 = (np.array([x["comp"] for x in m]) for m in (m1, m2))
-                t1, t2 = (np.array([x["toks"] for x in m]) for m in (m1, m2))
-                hits = np.zeros((len(d1), len(d2)), np.int16)
-                for j in range(t1.shape[1]):
-                    hits += t1[:, j][:, None] == t2[:, j][None]
-                i, j = np.nonzero((hits >= t) & (c1[:, None] != c2[None]))
-                a, b = d1[i], d2[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    return meet.mapInArrow(run, "a long, b long").distinct()
+                left, right = row["left"], row["right"]
+                sl, sr = ([shingle_set(x["text"], words) for x in side] for side in (left, right))
+                both = _counts(sl, sr)
+                union = np.array([len(s) for s in sl])[:, None] + np.array([len(s) for s in sr])[None] - both
+                comps = np.array([x["comp"] for x in right])
+                a, b = [], []
+                for i, x in enumerate(left):
+                    hit = np.nonzero((both[i] * 100 >= union[i] * percent) & (comps != x["comp"]))[0]
+                    for j in hit[np.unique(comps[hit], return_index=True)[1]]:
+                        a.append(x["doc"])
+                        b.append(right[j]["doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return meet.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int = PERCENT, k: int = K, t: int = T, short: int = SHORT) -> DataFrame:
@@ -221,16 +254,19 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
             comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf)
         if linked * WORTHWHILE < met or not linked:
             break
-    # What is left open is merged in full: an outsider with every member of another component.
+    # What is left open is merged in full: every class with those of other components.
     p = labelled(comp)
-    main = _main(p, 0).select("tk", "n", "main", (F.col("n") - F.col("held")).alias("out"))
-    p = shelf.put(p.join(main, F.col("tok") == F.col("tk")).select("tok", "doc", "comp", "n", "main", "out"))
-    near = p.where(f"out <= {short}").select("tok", "doc", "comp")
-    other = p.where(f"out <= {short} AND comp <> main").select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
+    main = _main(p, 0).select("tk", "n", "main")
+    p = shelf.put(p.join(main, F.col("tok") == F.col("tk")).select("tok", "doc", "comp", "n", "main"))
+    near = p.where(f"n <= {short}")
+    other = near.where("comp <> main").select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
     pairs = near.join(other, (F.col("tok") == F.col("tok2")) & (F.col("comp") != F.col("comp2"))).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-    _, linked, found = confirmed(pairs.union(_long_lists(p.where(f"out > {short}"), toks, t)).distinct())
-    if linked:
-        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf)
+    _, few, found = confirmed(pairs)
+    far = p.where(f"n > {short}").select("main", "doc", "comp")
+    busy = shelf.put(far.select("doc").distinct())
+    more = shelf.put(_long_lists(far, texts.join(busy, "doc", "left_semi"), words, percent))
+    if few or not more.isEmpty():
+        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found).union(more), shelf)
 
     node = signed.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     out = node.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("r")).join(comp, F.col("r") == F.col("id"), "left")
