@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import fixpoint
+from ..sources.facts import Program
 
 
 class PointsTo(Protocol):
@@ -42,22 +43,84 @@ class TypePointsTo:
 CELL = 1 << 40
 
 
-def andersen(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame) -> DataFrame:
+def andersen(addr: DataFrame, copy: DataFrame, load: DataFrame, store: DataFrame, actuals: DataFrame | None = None, formals: DataFrame | None = None) -> DataFrame:
     """(x, l): the locations a node may hold.
 
     addr(x, l): x holds l. copy(x, y): x holds what y holds. load(x, y): x holds what the cells
-    of y's locations hold. store(x, y): the cells of x's locations hold what y holds. Every
-    rule with two recursive parts takes the new rows on either side."""
+    of y's locations hold. store(x, y): the cells of x's locations hold what y holds.
+    actuals(c, pos, y) and formals(f, pos, x), if given: where c may hold f, x holds what y
+    holds. Every rule with two recursive parts takes the new rows on either side."""
 
     def rules(p: DataFrame, q: DataFrame) -> DataFrame:
-        """Load and store with the location from p and the held value from q."""
+        """Rules with the location from p and the held value from q."""
         at, held = p.select(F.col("x").alias("m"), F.col("l").alias("cell")), q.select(F.col("x").alias("h"), F.col("l").alias("v"))
         ld = load.join(at, F.col("y") == F.col("m")).join(held, F.col("h") == F.col("cell") + CELL).select("x", F.col("v").alias("l"))
         st = store.join(at, F.col("x") == F.col("m")).join(held, F.col("y") == F.col("h")).select((F.col("cell") + CELL).alias("x"), F.col("v").alias("l"))
-        return ld.unionByName(st)
+        out = ld.unionByName(st)
+        if actuals is None:
+            return out
+        bound = actuals.join(at, F.col("c") == F.col("m")).join(formals, (F.col("cell") == F.col("f")) & (actuals["pos"] == formals["pos"]))
+        return out.unionByName(bound.join(held, F.col("y") == F.col("h")).select("x", F.col("v").alias("l")))
 
     def step(delta: DataFrame, known: DataFrame) -> DataFrame:
         moved = copy.join(delta.select(F.col("x").alias("y"), "l"), "y").select("x", "l")
         return moved.unionByName(rules(delta, known)).unionByName(rules(known, delta))
 
     return fixpoint(addr.select("x", "l"), step)
+
+
+#: Field locations are negative: one for each structure type and field.
+FIELDS = 4096
+
+
+def constraints(program: Program) -> dict[str, DataFrame]:
+    """addr, copy, load, store, actuals and formals of a program.
+
+    A value's node is its id. Globals, functions and stack slots are locations and their own
+    addresses. An array element stands for its array; a structure field is one location for
+    its type and index, whatever the object. Calls of other modules' functions bind nothing."""
+    ops, ins = program.operands.select("inst_id", "role", "pos", "value_id"), program.instructions.select("inst_id", "opcode", "fn_id")
+
+    def role(opcode: str, name: str) -> DataFrame:
+        return ins.where(F.col("opcode").isin(*opcode.split())).select("inst_id").join(ops.where(F.col("role") == name).select("inst_id", "pos", "value_id"), "inst_id")
+
+    def two(opcode: str, a: str, b: str) -> DataFrame:
+        return role(opcode, a).select("inst_id", F.col("value_id").alias("x")).join(role(opcode, b).select("inst_id", F.col("value_id").alias("y")), "inst_id").select("x", "y")
+
+    places = program.globals.where("kind <> 'alias'").select("value_id").union(program.functions.select("fn_id")).union(ins.where("opcode = 'alloca'").select("inst_id")).toDF("x")
+    fields = role("getelementptr", "field").select(F.col("inst_id").alias("x"), (-(F.col("value_id") * FIELDS + F.col("pos") + 1)).alias("l"))
+    addr = places.select("x", F.col("x").alias("l")).union(fields)
+
+    same = lambda df: df.select(F.col("inst_id").alias("x"), F.col("value_id").alias("y"))
+    array_gep = role("getelementptr", "base").join(fields.select(F.col("x").alias("inst_id")), "inst_id", "left_anti")
+    inits = program.globals.where("kind = 'global' AND init_value_id IS NOT NULL").select((F.col("value_id") + CELL).alias("x"), F.col("init_value_id").alias("y"))
+    copy = same(role("phi select", "incoming")).union(same(role("bitcast", "casted"))).union(same(array_gep)).union(inits)
+    calls = role("call invoke", "callee").select("inst_id", F.col("value_id").alias("c"))
+    actuals = calls.join(ops.where("role = 'arg'").select("inst_id", "pos", F.col("value_id").alias("y")), "inst_id").select("c", "pos", "y")
+    formals = program.arguments.select(F.col("fn_id").alias("f"), "pos", F.col("value_id").alias("x"))
+    # Only direct calls bind what they return.
+    returned = ins.where("opcode = 'ret'").join(ops.where("role = 'retval'").select("inst_id", F.col("value_id").alias("y")), "inst_id").select(F.col("fn_id").alias("c"), "y")
+    copy = copy.union(calls.join(returned, "c").select(F.col("inst_id").alias("x"), "y"))
+    return {"addr": addr.distinct(), "copy": copy.distinct(), "load": same(role("load", "address")).distinct(), "store": two("store", "address", "value").distinct(), "actuals": actuals.distinct(), "formals": formals}
+
+
+class Andersen:
+    """Inclusion-based points-to of a program."""
+
+    def __init__(self, program: Program):
+        self.program = program
+
+    def solve(self) -> DataFrame:
+        return andersen(**constraints(self.program))
+
+    def points_to(self) -> DataFrame:
+        return self.solve().select(F.col("x").alias("value_id"), F.col("l").alias("target"))
+
+    def held(self, solved: DataFrame) -> DataFrame:
+        """(value_id, target): what the cells of locations, and what arguments, hold."""
+        cells = solved.where(F.col("x") >= CELL // 2).select((F.col("x") - CELL).alias("value_id"), F.col("l").alias("target"))
+        args = self.program.arguments.select("value_id").join(solved.select(F.col("x").alias("value_id"), F.col("l").alias("target")), "value_id")
+        return cells.union(args).distinct()
+
+    def may_alias(self, pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("may_alias", F.lit(True))
