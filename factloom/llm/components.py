@@ -27,10 +27,16 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("ma").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, shelf: Shelf, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf, most_rounds: int = 64, settle: bool = True) -> DataFrame:
     """(id, component) for every id that is not the least of its component, from edges a > b or
-    a < b; the least id of a component stands for it and has no row."""
+    a < b; the least id of a component stands for it and has no row.
+
+    Without ``settle`` one round is made and every id has the least neighbour that this left:
+    ids with one label are in one component, but a component may still have several labels."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    if not settle:
+        e = shelf.put(_small_star(_large_star(e)))
+        return shelf.put(e.groupBy("a").agg(F.min("b").alias("b"))).select(F.col("a").alias("id"), F.col("b").alias("component"))
     e, state = shelf.put(e), None
     for _ in range(most_rounds):
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("h")).first()

@@ -148,12 +148,13 @@ def _main(p: DataFrame, turn: int) -> DataFrame:
     return per.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), top.alias("x")).where("comps > 1").select(F.col("tok").alias("tk"), "n", F.col("x.comp").alias("main"), F.col("x.n").alias("held"), F.col("x.pivots").alias("pivots"))
 
 
-def _outsiders(p: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each class outside the main component of a list with PIVOTS of its members at
-    most, over all its lists."""
-    met = p.join(_main(p, turn), F.col("tok") == F.col("tk")).where("comp <> main").select("doc", F.explode("pivots").alias("p"))
-    few = met.groupBy("doc").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("p", F.lit(turn)).alias("h"), "p"))), 1, PIVOTS).alias("l"))
-    return few.select(F.col("doc").alias("a"), F.explode("l.p").alias("b"))
+def _outsiders(p: DataFrame, main: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class outside the main component of a list with PIVOTS of its members, in one
+    of its lists: first that of the largest component, then by turns."""
+    order = F.col("held") if turn == 0 else F.xxhash64("tok", F.lit(turn))
+    away = p.join(main.select("tk", "main", "held"), F.col("tok") == F.col("tk")).where("comp <> main")
+    pick = away.groupBy("doc").agg(F.max_by("tok", order).alias("tok"))
+    return pick.join(main.select("tk", "pivots"), F.col("tok") == F.col("tk")).select(F.col("doc").alias("a"), F.explode("pivots").alias("b")).distinct()
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -244,29 +245,30 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
     # First every class meets one pivot, the least of its lists.
     least = posts.groupBy("tok").agg(F.min("doc").alias("p")).withColumnRenamed("tok", "tk")
     star = posts.join(least, F.col("tok") == F.col("tk")).where("doc <> p").groupBy("doc").agg(F.min("p").alias("p")).select(F.col("doc").alias("a"), F.col("p").alias("b"))
-    comp = components(confirmed(star)[2], shelf)
+    comp = components(confirmed(star)[2], shelf, settle=False)
     # Then those outside their list's main component meet a few more of its members, as long as
     # that finds links: a group of copies ends as one component and a few that stand apart.
-    # Components are stars already, so uniting them with new links takes few rounds.
+    # Labels need not settle in between: what shares one is in one component.
     for turn in range(MOST_TURNS):
-        met, linked, found = confirmed(_outsiders(labelled(comp), turn))
+        p = labelled(comp)
+        met, linked, found = confirmed(_outsiders(p, shelf.put(_main(p, turn)), turn))
         if linked:
-            comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf)
+            comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf, settle=False)
         if linked * WORTHWHILE < met or not linked:
             break
     # What is left open is merged in full: every class with those of other components.
+    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")), shelf)
     p = labelled(comp)
     main = _main(p, 0).select("tk", "n", "main")
     p = shelf.put(p.join(main, F.col("tok") == F.col("tk")).select("tok", "doc", "comp", "n", "main"))
     near = p.where(f"n <= {short}")
     other = near.where("comp <> main").select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
     pairs = near.join(other, (F.col("tok") == F.col("tok2")) & (F.col("comp") != F.col("comp2"))).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
-    _, few, found = confirmed(pairs)
+    _, _, found = confirmed(pairs)
     far = p.where(f"n > {short}").select("main", "doc", "comp")
     busy = shelf.put(far.select("doc").distinct())
     more = shelf.put(_long_lists(far, texts.join(busy, "doc", "left_semi"), words, percent))
-    if few or not more.isEmpty():
-        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found).union(more), shelf)
+    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found).union(more), shelf)
 
     node = signed.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     out = node.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("r")).join(comp, F.col("r") == F.col("id"), "left")
