@@ -29,6 +29,8 @@ from .common import table
 
 SOURCE_WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: Tables of one row a source, or a shard, are broadcast up to so many rows (of about 100 bytes).
+BROADCAST_ROWS = 100_000
 
 
 def n_words(col: str = "text"):
@@ -108,7 +110,8 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
     made = spark.createDataFrame([("n" if s is None else "s" + s, n, w, t) for s, n, w, t in zip(names, shards, words, target, strict=True)], "_key string, _shards long, _source_size long, _target double")
     order = F.xxhash64(F.lit(seed).cast("long"), "doc_id", "_size")
     rows = rows.withColumn("_key", F.expr(key)).withColumn("_order", order)
-    rows = rows.join(F.broadcast(made), "_key").withColumn("_shard", F.pmod("_order", "_shards"))
+    made = F.broadcast(made) if len(names) <= BROADCAST_ROWS else made
+    rows = rows.join(made, "_key").withColumn("_shard", F.pmod("_order", "_shards"))
 
     held = rows.groupBy("_key", "_shard").agg(F.sum("_size").alias("s")).collect()
     by_key: dict[str, list[tuple[int, int]]] = {}
@@ -125,9 +128,9 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
         for (shard, _), n, g in zip(mine, ns, got, strict=True):
             n1 = max(1, n)
             plan.append((k, shard, n1, g, _coprime(n1, seed), (seed * 7919 + shard * 104729) % n1))
+    few = len(plan) <= BROADCAST_ROWS
     plan = spark.createDataFrame(plan, "_key string, _shard long, _n long, _q long, _a long, _b long")
-    # One row a shard; its size is bounded by max_shards, and Catalyst picks the join by it.
-    rows = rows.join(plan, ["_key", "_shard"])
+    rows = rows.join(F.broadcast(plan) if few else plan, ["_key", "_shard"])
     laid = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id", "_size", *[F.xxhash64(c) for c in ("text",) if c in rows.columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_at", F.sum("_size").over(laid) - F.col("_size"))
     b = block_words
