@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, table
+from .common import Shelf, table, trim
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -51,6 +51,12 @@ _B = np.random.default_rng(77).integers(0, 1 << 63, 64, dtype=np.uint64)
 _words: dict[bytes, int] = {}
 
 
+def _rest() -> None:
+    """What a worker does at the end of a task."""
+    _words.clear()
+    trim()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -105,6 +111,7 @@ def _signed(docs: DataFrame, words: int, k: int) -> DataFrame:
                 toks.append(signature(s, k) if len(s) else None)
             made = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "toks"])
+        _rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, toks array<long>")
 
@@ -133,6 +140,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 i = len(np.intersect1d(s, held, assume_unique=True)) if 100 * min(len(s), len(held)) >= percent * max(len(s), len(held)) else 0
                 ok.append(i * 100 >= (len(s) + len(held) - i) * percent)
             yield pdf.loc[ok, ["a", "b"]]
+        _rest()
 
     return both.mapInPandas(run, "a long, b long")
 
@@ -210,6 +218,7 @@ def _long_lists(posts: DataFrame, texts: DataFrame, words: int, percent: int) ->
                         a.append(x["doc"])
                         b.append(right[j]["doc"])
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        _rest()
 
     return meet.mapInArrow(run, "a long, b long")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, table, text_or_empty
+from .common import Shelf, table, text_or_empty, trim
 
 WINDOW = 1024
 END_ID = 0
@@ -151,6 +151,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
                     rows.append((s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n))
             made = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who, pa.int32())), *made], PIECE)
+        trim()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 

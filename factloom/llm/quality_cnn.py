@@ -15,12 +15,14 @@ repeated; without any label of one class the score is the share of the other, sm
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, trim
 from .labelled import held_out, training_rows
 
 CHUNK, OVERLAP, WIDTH = 512, 64, 6
@@ -166,8 +168,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_column(model: Model, text_col: str = "text"):
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score).astype(float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(model.score).astype(float)
+        model.pairs = None
+        trim()
 
     return score(text_or_empty(text_col))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty
+from .common import small_batches, table, text_or_empty, trim
 
 # The base kinds in their order, pattern and least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -143,6 +143,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             both = [scan(t) for t in batch.column("text").to_pylist()]
             base, spans = (pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x[i]] for x in both], SPANS) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), base, spans], [id_col, "base", "spans"])
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, base {span}, spans {span}")
 
@@ -153,8 +154,10 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     cols = [F.col(f"`{c}`") for c in docs.columns]
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else redact(t))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else redact(t))
+        trim()
 
     return docs.select(*cols).withColumn(text_col, clean(F.col(text_col)))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, trim
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -124,6 +124,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
         for batch in batches:
             counts = [counter.count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64())], [id_col, "n_tokens"])
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
 
