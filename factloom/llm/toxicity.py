@@ -13,7 +13,7 @@ difference), which a worker keeps in a bounded cache.
 
 Defined results: null texts, empty ones and those without words are scored like the cleanest document
 of the training rows; texts of any
-length are scored whole; repeated rows stay repeated; without any label of one class the
+length are scored whole, runs without spaces too; repeated rows stay repeated; without any label of one class the
 score is the share of the other, smoothed.
 """
 
@@ -37,19 +37,37 @@ BUCKETS, DIM = 1 << 17, 8
 GRAMS = (3, 4, 5)
 LEAST_DOCS = 4
 CACHE_WORDS = 150_000
-#: Words longer than this are cut into pieces of this length: their n-grams are the same.
-LONGEST = 64
+#: Tokens longer than this (text joined by marks, or prose without spaces) are cut into words at
+#: JOINTS, and what is still longer into pieces of PIECE characters that overlap by half: every
+#: n-gram is in a piece, and a word of up to nine characters stands whole in one.
+LONGEST, PIECE = 64, 16
 HELD_OUT_MOD, HELD_OUT_REMAINDER, THRESHOLD = 4, 2, 0.3
 _TOKEN = re.compile(r"[^\W_][^\s,;:.!?()\"|]*")
+JOINTS = re.compile(r"[-_/+=#&~\u3001\u3002\uff0c\uff01\uff1f]+")
+
+
+def pieces_of(token: str) -> list[str]:
+    """The words of a token: itself unless it is longer than LONGEST."""
+    if len(token) <= LONGEST:
+        return [token]
+    half = PIECE // 2
+    out: list[str] = []
+    for w in JOINTS.split(token):
+        if len(w) > LONGEST:
+            out += [w[i : i + PIECE] for i in range(0, len(w) - half, half)]
+        elif w:
+            out.append(w)
+    return out
 
 
 def words_of(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    tokens = _TOKEN.findall(text.lower())
+    return [w for t in tokens for w in pieces_of(t)] if max(map(len, tokens), default=0) > LONGEST else tokens
 
 
 def buckets_of(word: str) -> list[int]:
     """The word's own bucket and those of its n-grams, with marks at both ends."""
-    w = f"<{word[:LONGEST]}>".encode()
+    w = f"<{word}>".encode()
     crc, n = zlib.crc32, len(w)
     mask = BUCKETS - 1
     return [crc(w) & mask, *(crc(w[i : i + g]) & mask for g in GRAMS if g < n for i in range(n - g + 1))]
@@ -69,10 +87,9 @@ class Model:
     def _word(self, w: str) -> float:
         b = buckets_of(w)
         s = float(self.v[b].sum()) / len(b)
-        if len(w) <= LONGEST:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[w] = s
+        if len(self.cache) >= CACHE_WORDS:
+            self.cache.clear()
+        self.cache[w] = s
         return s
 
     def score(self, text: str) -> float:

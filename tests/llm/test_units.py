@@ -193,6 +193,21 @@ def test_toxicity_shares_vectors_with_misspellings():
     assert toxicity.fit([], []).score("x") == 0.5 and toxicity.fit(["a b"], [0]).score("x") < 0.5
 
 
+def test_toxic_words_deep_in_a_long_run_are_scored():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice(["th", "an", "er", "on", "re", "st"]) for _ in range(3)) for _ in range(60)]
+    bad = ["worthless", "pathetic", "disgusting"]
+    docs = [" ".join([*(rnd.choice(words) for _ in range(rnd.randint(1, 40))), *([rnd.choice(bad)] if i % 4 == 0 else [])]) for i in range(300)]
+    m = toxicity.fit(docs, [int(i % 4 == 0) for i in range(300)])
+    for joint in ("", "-", "_", "/", "+", "=", "#", "\u3002"):
+        run = joint.join(rnd.choice(words) for _ in range(167))
+        assert len(run) >= 1000 and m.score(run) < 0.3 < m.score(run + joint + "worthless"), joint
+    run = "".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(1000))
+    grams = lambda ws: {w.encode()[i : i + g] for w in ws for g in toxicity.GRAMS for i in range(len(w.encode()) - g + 1)}
+    assert grams(toxicity.words_of(run)) == grams([run])
+    assert all(len(w) <= toxicity.LONGEST for w in toxicity.words_of(run)) and toxicity.words_of("a" * 64) == ["a" * 64]
+
+
 def test_toxic_window_maximum_is_brute_force():
     rng = np.random.default_rng(0)
     for n in (1, 3, 4, 5, 9, 30):
