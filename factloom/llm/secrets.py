@@ -5,8 +5,9 @@ kind takes every maximal run of token characters as a candidate, assigns it the
 character class that holds it, and slides a window over it: character counts and the sum of
 c*log2(c) are updated by the one character that enters and the one that leaves, so a
 candidate of n characters costs O(n) whatever the window. The span is the union of windows
-at or above the class's threshold. Candidates on the allow-list are suppressed, as are
-those that a base span already covers.
+at or above the class's threshold. What base spans cover of a candidate is taken out first,
+and each part that remains is a candidate of its own. Candidates on the allow-list are
+suppressed.
 
 Defined results: null text counts as empty; empty text has no span; whole texts are scanned
 whatever their length; repeated rows stay repeated; other columns pass or are left out.
@@ -85,12 +86,26 @@ def window_entropy(s: str, window: int = WINDOW) -> Iterator[tuple[int, float]]:
             yield i - window + 1, log_w - total / window
 
 
+def candidates(text: str, covered: list[tuple[int, int, str]]) -> Iterator[tuple[int, str]]:
+    """(start, characters) of what the base spans, sorted by start, leave of each candidate run."""
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        for a, b, _ in covered[k:]:
+            if a >= end:
+                break
+            if a - at >= WINDOW:
+                yield at, text[at:a]
+            at = max(at, b)
+        if end - at >= WINDOW:
+            yield at, text[at:end]
+        while k < len(covered) and covered[k][1] <= end:
+            k += 1
+
+
 def entropy_spans(text: str, covered: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, at = m.group(), m.start()
-        if any(a < m.end() and at < b for a, b, _ in covered):
-            continue
+    for at, s in candidates(text, covered):
         if any(p.fullmatch(s) for p in ALLOW):
             continue
         least = next(t for _, p, t in CLASSES if p.fullmatch(s))
