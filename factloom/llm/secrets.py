@@ -7,7 +7,8 @@ c*log2(c) are updated by the one character that enters and the one that leaves,
 candidate of n characters costs O(n) whatever the window. The span is the union of windows
 at or above the class's threshold. What base spans cover of a candidate is taken out first,
 and each part that remains is a candidate of its own. Candidates on the allow-list are
-suppressed.
+suppressed. Runs of letters are left to their class's threshold; of those with letters of both
+cases or with / + = only spans that read like words are suppressed.
 
 Defined results: null text counts as empty; empty text has no span; whole texts are scanned
 whatever their length; repeated rows stay repeated; other columns pass or are left out.
@@ -46,13 +47,17 @@ CLASSES = (
     ("alnum", re.compile(r"[A-Za-z0-9]+"), 4.0),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 4.0),
 )
-#: Suppressed: dates and number lists, paths and hyphened words, repeated units, UUIDs.
+#: Suppressed: dates and number lists, repeated units, UUIDs.
 ALLOW = (
     re.compile(r"[0-9]{1,4}([-/_][0-9]{1,4})+"),
-    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*"),
     re.compile(r"(.{1,8})\1{2,}.{0,8}"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
 )
+#: Words of a run of letters, between separators and changes of case: random letters of both cases
+#: change at every second or third letter.
+LETTERS = re.compile(r"[A-Za-z+/_=-]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+PART_LEAST, PART_MOST = 4, 20
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, 4097)]
 
@@ -103,22 +108,31 @@ def candidates(text: str, covered: list[tuple[int, int, str]]) -> Iterator[tuple
             k += 1
 
 
+def word_like(s: str) -> bool:
+    """Whether the letters stand in parts of the lengths of words: 4 on average, none over 20."""
+    parts = [len(p) for p in PARTS.findall(s)]
+    return bool(parts) and sum(parts) >= PART_LEAST * len(parts) and max(parts) <= PART_MOST
+
+
 def entropy_spans(text: str, covered: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
     for at, s in candidates(text, covered):
         if any(p.fullmatch(s) for p in ALLOW):
             continue
-        least = next(t for _, p, t in CLASSES if p.fullmatch(s))
-        first = last = -1
+        name, least = next((c, t) for c, p, t in CLASSES if p.fullmatch(s))
+        found, first, last = [], -1, -1
         for i, bits in window_entropy(s):
             if bits >= least:
                 if first >= 0 and i > last:
-                    out.append((at + first, at + last, KINDS[3]))
+                    found.append((first, last))
                     first = -1
                 first = i if first < 0 else first
                 last = i + WINDOW
         if first >= 0:
-            out.append((at + first, at + last, KINDS[3]))
+            found.append((first, last))
+        if found and name not in ("lower", "upper") and LETTERS.fullmatch(s):
+            found = [(a, b) for a, b in found if not word_like(s[a:b])]
+        out += [(at + a, at + b, KINDS[3]) for a, b in found]
     return out
 
 

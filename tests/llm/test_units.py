@@ -157,6 +157,17 @@ def test_secrets_beside_a_base_span_are_found():
         assert list(secrets.candidates(text, base)) == [(m.start(), m.group()) for m in secrets.CANDIDATE.finditer(open_)]
 
 
+def test_secrets_of_letters_alone_are_left_to_the_thresholds():
+    rnd = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rnd.choice(letters) for _ in range(32)) for _ in range(300)]
+    assert np.mean([bool(secrets.scan(k)[1]) for k in keys]) > 0.95
+    for key in ("qwertyuiopasdfghjklzxcvbnm", "QWERTYUIOPASDFGHJKLZXCVBNM", "some-hyphened-words-qwertyuiopasdfghjklzxcvbnm", "some/path/of/ordinary/words/" + keys[0]):
+        assert secrets.scan(key)[1], key
+    for words in ("src/main/java/com/example/service/impl/AccountManagerFactory", "getUserAccountInformationFromDatabaseByQuickLookup", "zero-knowledge-proof-verification-benchmarks", "THE_MOST_IMPORTANT_ENVIRONMENT_VARIABLE_NAME", "===============================", "z" * 40):
+        assert not secrets.scan(words)[1], words
+
+
 def brute_links(sets, percent):
     return {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
 
