@@ -4,7 +4,7 @@ A word is the bag of itself and its character n-grams, hashed to buckets with an
 each; a window of words is the average of its words' bags; a linear softmax scores it.
 Embeddings and softmax are trained jointly in numpy, so a misspelling that was never seen
 shares most of its n-gram vectors with the word it comes from. A document is scored by its
-most toxic window, over all of it: one insult in a long text is not averaged away. Training
+most toxic window of WINDOW words, wherever it starts: one insult in a long text is not averaged away. Training
 alternates: windows of a toxic document all count as toxic at first, then only its highest.
 A last logistic step maps the highest window's logit to a probability.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty, trim
 from .labelled import held_out, training_rows
 
-WINDOW, STRIDE = 4, 2
+WINDOW = 4
 BUCKETS, DIM = 1 << 17, 8
 GRAMS = (3, 4, 5)
 LEAST_DOCS = 4
@@ -101,7 +101,7 @@ class Model:
 
 
 def window_starts(n: int) -> np.ndarray:
-    return np.array([0]) if n <= WINDOW else np.unique(np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW))
+    return np.arange(max(1, n - WINDOW + 1))
 
 
 def max_window(s: np.ndarray) -> float:
@@ -112,8 +112,7 @@ def max_window(s: np.ndarray) -> float:
     if n <= WINDOW:
         return float(s.mean())
     c = np.concatenate([[0.0], np.cumsum(s)])
-    at = window_starts(n)
-    return float((c[at + WINDOW] - c[at]).max() / WINDOW)
+    return float((c[WINDOW:] - c[:-WINDOW]).max() / WINDOW)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int | None = None) -> Model:

@@ -245,6 +245,20 @@ def test_toxic_window_maximum_is_brute_force():
         assert starts[-1] + toxicity.WINDOW >= n
 
 
+def test_toxic_window_maximum_is_over_every_start():
+    rng = np.random.default_rng(1)
+    for n in range(1, 40):
+        s = rng.normal(size=n)
+        size = min(n, toxicity.WINDOW)
+        brute = max(s[a : a + size].mean() for a in range(n - size + 1))
+        assert math.isclose(toxicity.max_window(s), brute)
+    pair = np.zeros(12)
+    for at in range(8):
+        two = pair.copy()
+        two[[at, at + 3]] = 1
+        assert toxicity.max_window(two) == 0.5
+
+
 def test_network_pools_like_a_plain_convolution():
     rng = np.random.default_rng(1)
     m = quality_cnn.fit(["ab", "c"], [0, 1], epochs=1)
