@@ -4,8 +4,9 @@ Vectors are dealt by hash to shards of at most ``shard_rows`` at about; each sha
 built by one task, and every vector queries every shard. A query walks greedily down the
 layers and then keeps a beam on the ground layer. The beam doubles for queries whose hits
 fill half of it, and each task audits a sample of its queries against brute force over its
-shard: while the audit's recall is short of ``recall``, the starting beam doubles and the
-task's queries run again (a beam of the whole shard is brute force, so this ends). Hits are
+shard: while the mean recall of the sampled queries that have links (a query's hit on itself
+left out) is short of ``recall``, the starting beam doubles and the task's queries run again
+(a beam of the whole shard is brute force, so this ends). Hits are
 verified by cosine in double precision over the stored components.
 
 Walks run in lock-step in numpy: a block of queries takes its steps together, so the cost of
@@ -278,11 +279,11 @@ class Graph:
         if not len(sample):
             sample = np.arange(min(8, len(raw)))
         truth = self.within(raw[sample], threshold, len(self.ids))
-        total = sum(map(len, truth))
+        truth = [h[(self.raw[h] != raw[i]).any(1)] for i, h in zip(sample, truth, strict=True)]
         while True:
             got = self.within(raw[sample], threshold, ef)
-            found = sum(len(np.intersect1d(a, b)) for a, b in zip(got, truth, strict=True))
-            if ef >= len(self.ids) or found >= recall * total:
+            shares = [len(np.intersect1d(a, b)) / len(b) for a, b in zip(got, truth, strict=True) if len(b)]
+            if ef >= len(self.ids) or not shares or np.mean(shares) >= recall:
                 return self.within(raw, threshold, ef), ef
             ef *= 2
 

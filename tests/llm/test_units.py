@@ -196,6 +196,24 @@ def test_graph_finds_what_brute_force_finds():
     assert [h.tolist() for h in one.within(x[:1], 0.9, 32)] == [[0]]
 
 
+def test_audit_weighs_queries_alike(monkeypatch):
+    """One hot group has nearly all hits; every link of the pairs is missed at the first beam."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(41, 32))
+    x = np.concatenate([base[:1] + rng.normal(scale=0.02, size=(400, 32)), base[1:], base[1:] + rng.normal(scale=0.02, size=(40, 32))]).astype(np.float32)
+    g = hnsw.Graph(x, np.arange(len(x)), np.ones(len(x))).build()
+    within = hnsw.Graph.within
+
+    def short(self, raw, threshold, ef):
+        out = within(self, raw, threshold, ef)
+        return out if ef > 32 else [h if len(h) > 2 else h[:0] for h in out]
+
+    monkeypatch.setattr(hnsw.Graph, "within", short)
+    keys = np.where(np.arange(len(x)) % 16 == 0, 0, 1)
+    got, ef = g.audited(x, keys, 0.9, 0.995)
+    assert ef > 32 and all(len(h) == 2 for h in got[400:])
+
+
 def test_forest_spans_the_links():
     f = hnsw.Forest(6)
     kept = [f.link(np.array(h)).tolist() for h in ([0, 1, 2], [1, 2], [3, 4], [2, 3], [0, 4])]
