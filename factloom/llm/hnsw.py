@@ -1,7 +1,7 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
-Vectors are dealt by hash to shards of at most ``shard_rows`` at about; each shard is a graph
-built by one task, and every vector queries every shard. A query walks greedily down the
+Vectors of one length are dealt by hash to shards of at most ``shard_rows`` at about; each shard
+is a graph built by one task, and every vector queries every shard of its length. A query walks greedily down the
 layers and then keeps a beam on the ground layer. The beam doubles for queries whose hits
 fill half of it, and each task audits a sample of its queries against brute force over its
 shard: while the mean recall of the sampled queries that have links (a query's hit on itself
@@ -14,8 +14,8 @@ a step is one gather and one product for the block. Tasks return a count per que
 spanning forest of the links they saw, never all pairs of a group: a group of m copies costs
 m rows. Exactly equal vectors are one class and are counted by its size.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing (n_links 0, own component); rows that share a vec_id
+Defined results: vectors that are null, zero, or hold null or non-finite components link with
+nothing, and no vector with one of another length (n_links 0, own component); rows that share a vec_id
 are one vector node whose links are pooled; rows with a null id have a null component, no
 links and are kept; an empty table gives an empty result.
 """
@@ -334,25 +334,23 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "e
 
     rows = shelf.put(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("x")).mapInArrow(prepare, "id long, raw binary, k1 long, k2 long"))
     usable = rows.where("raw IS NOT NULL AND id IS NOT NULL")
-    common = usable.groupBy(F.length("raw").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = common["w"] if common else 0
-    classes = shelf.put(usable.where(F.length("raw") == width).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    n = classes.count()
-    shards = max(1, -(-n // shard_rows))
+    classes = shelf.put(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first(F.length("raw")).alias("w")))
+    # A row for each length of vectors: its shards and its parts of queries.
+    ceil = lambda n: F.ceil(F.col("n") / F.lit(n)).cast("int")
+    widths = shelf.put(classes.groupBy("w").agg(F.count("*").alias("n")).select("w", ceil(shard_rows).alias("shards"), ceil(part_rows).alias("parts")))
     cl = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "size")
-    reps = shelf.put(usable.join(cl, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("id") == F.col("rep"))).select("rep", "size", "raw").withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")))
+    reps = shelf.put(usable.join(cl, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("id") == F.col("rep"))).select("rep", "size", "raw", F.length("raw").alias("w")).join(F.broadcast(widths), "w").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")))
 
     def grow(key, pdf):
         pdf = pdf.sort_values(["rep"], kind="stable").drop_duplicates("rep")
         raw = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(len(pdf), -1)
-        g = Graph(raw, pdf["rep"].to_numpy(), pdf["size"].to_numpy(), seed=int(key[0])).build()
-        return pd.DataFrame({"shard": [int(key[0])], "graph": [g.dump()]})
+        g = Graph(raw, pdf["rep"].to_numpy(), pdf["size"].to_numpy(), seed=int(key[1])).build()
+        return pd.DataFrame({"w": [int(key[0])], "shard": [int(key[1])], "graph": [g.dump()]})
 
-    graphs = shelf.put(reps.groupBy("shard").applyInPandas(grow, "shard int, graph binary"))
-    # Every vector to every shard; a part of the queries and a graph make a task.
-    parts = max(1, -(-n // part_rows))
-    asked = reps.select("rep", "size", "raw", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to"))
-    held = graphs.select(F.col("shard").alias("to"), "graph", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    graphs = shelf.put(reps.groupBy("w", "shard").applyInPandas(grow, "w int, shard int, graph binary"))
+    # Every vector to every shard of its length; a part of the queries and a graph make a task.
+    asked = reps.select("w", "rep", "size", "raw", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("to"))
+    held = graphs.join(F.broadcast(widths), "w").select("w", F.col("shard").alias("to"), "graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def query(_key, left, right):
         out_a, out_b, out_n = [], [], []
@@ -379,10 +377,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "e
                         out_n.append(0)
         return pd.DataFrame({"a": pd.array(out_a, "Int64"), "b": pd.array(out_b, "Int64"), "n": pd.array(out_n, "Int64")})
 
-    seen = shelf.put(asked.groupBy("to", "part").cogroup(held.groupBy("to", "part")).applyInPandas(query, "a long, b long, n long"))
+    seen = shelf.put(asked.groupBy("w", "to", "part").cogroup(held.groupBy("w", "to", "part")).applyInPandas(query, "a long, b long, n long"))
     counts = seen.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     comp = components(seen.where("b IS NOT NULL").select("a", "b"), shelf)
-    out = rows.select("id", "k1", "k2", (F.length("raw") == width).alias("ok")).join(cl, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("ok"), "left")
+    out = rows.select("id", "k1", "k2").join(cl, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     out = out.withColumn("rep", F.coalesce("rep", "id")).join(counts, F.col("rep") == F.col("node"), "left").join(comp.withColumnRenamed("id", "cid"), F.col("rep") == F.col("cid"), "left")
     label = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     links = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).otherwise(F.lit(0)).cast("long")

@@ -248,6 +248,23 @@ def test_embeddings_by_brute_force(spark):
             assert (r["n_links"], r["component_id"]) == (int(near[i].sum()) + int(near[i, 7]), label[i])
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for w, n in ((8, 40), (3, 20), (5, 1)):
+        x = rng.normal(size=(n, w)).astype(np.float32)
+        x = np.concatenate([x, x[:5], x[:5] + rng.normal(scale=0.001, size=(len(x[:5]), w)).astype(np.float32)])
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+        near = (u @ u.T) >= 0.9
+        for i, v in enumerate(x):
+            rows.append((1000 * w + i, v.tolist()))
+            want[1000 * w + i] = int(near[i].sum()) - 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, shard_rows=15, part_rows=10).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == want
+    assert all(r["component_id"] // 1000 == i // 1000 for i, r in got.items()) and got[3020]["component_id"] == got[3000]["component_id"]
+
+
 def test_training_rows_and_scores(spark, hard):
     labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2, "x") for i in range(100, 130)] + [(9999, 1, 1, "x"), (None, 1, 0, "x"), (100, None, None, "x")], "doc_id long, quality int, toxic int, text string")
     texts, y = labelled.training_rows(hard, labels, "quality", 3, 1, 10)
