@@ -286,13 +286,22 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """One document of each component, with all columns of ``docs``; of rows that share the kept
-    doc_id one stays. Rows with a null doc_id stay."""
-    keep = near_duplicates(docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    n = docs.where("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    out = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
-    if n["n"] != n["d"]:
-        out = out.dropDuplicates(["doc_id"])
+    """One document of each component, with all columns of ``docs``. Rows that share a doc_id are
+    documents of their own, in the order of id and text: the first of a component stays, and the
+    first of those of one id without shingles. Rows with a null doc_id stay."""
+    named = docs.where("doc_id IS NOT NULL")
+    n = named.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    if n["n"] == n["d"]:
+        keep = near_duplicates(docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
+        out = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
+    else:
+        at = "_place_" + "_".join(docs.columns)  # no column of docs has this name
+        order = [c for c in docs.columns if c not in ("doc_id", "text")]
+        rows = Shelf(docs.sparkSession, "places").put(named.sort("doc_id", "text", *[F.col(f"`{c}`") for c in order]).withColumn(at, F.monotonically_increasing_id()))
+        seen = near_duplicates(rows.select(F.col(f"`{at}`").alias("doc_id"), "text"), **how).where("kept").select(F.col("doc_id").alias("p"), "n_shingles")
+        bare = rows.select("doc_id", F.col(f"`{at}`").alias("q")).join(seen.where("n_shingles = 0"), F.col("q") == F.col("p")).groupBy("doc_id").agg(F.min("q").alias("p"))
+        keep = seen.where("n_shingles > 0").select("p").union(bare.select("p"))
+        out = rows.join(keep, rows[at] == keep["p"], "left_semi").drop(at)
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -79,6 +79,15 @@ def test_minhash_keeps_one_of_each(spark, hard):
     assert {200, 201, 202, 203} <= set(ids) and 204 not in ids and 208 not in ids
 
 
+def test_minhash_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "s0"), (1, b, "s0"), (1, b, "s0"), (1, "", "s0"), (1, "", "s0"), (2, c, "s0"), (2, a, "s1"), (3, None, "s0"), (None, a, "s0")]
+    for given in (rows, rows[::-1]):
+        out = minhash.deduplicate(docs(spark, given).repartition(3))
+        got = sorted(((r["doc_id"], r["text"], r["source"]) for r in out.collect()), key=str)
+        assert got == sorted([rows[0], rows[1], rows[3], rows[5], rows[7], rows[8]], key=str)
+
+
 def test_empty_tables(spark, hard):
     none = hard.limit(0)
     assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicate(none).count() == 0
