@@ -6,7 +6,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
+import re
 import tempfile
 import uuid
 
@@ -49,13 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. A
-    folder of our own is set only where the session names none (tests, local mode)."""
+    folder of our own is set only in local mode, where the session names none (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = sc._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="factloom-shared-")
         sc.setCheckpointDir(named)
     return named
@@ -67,6 +69,19 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """Shuffle files of the statements within go as soon as a statement ends, not when the driver
+    happens to collect its plan. Only for statements whose result is written or collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 class Shelf:
     """Tables of one operator run, written to the shared folder. A written table cuts lineage
     and survives lost executors. ``drop`` frees a table as soon as nothing reads it again; the
@@ -82,18 +97,12 @@ class Shelf:
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with no_shuffle_left(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shelf_path = path
-        self.sweep()
         return out
 
-    def sweep(self) -> None:
-        """Nothing reads the shuffle files behind a written table again, but Spark only removes
-        them once the driver has collected the plan that made them."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             path = getattr(f, "_shelf_path", None)
@@ -109,6 +118,36 @@ class Shelf:
             pass
 
 
+#: A table of ids is broadcast up to so many rows, counted, not estimated (16 bytes a row).
+BROADCAST_IDS = 1 << 21
+#: A key with more rows than this, and than a hundred-thousandth of all, is dealt to several tasks.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def few_ids(written: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, marked for broadcast when its count allows."""
+    return F.broadcast(written) if written.count() <= BROADCAST_IDS else written
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame | None:
+    """(keys, _parts) of the keys that hold many of ``total`` rows, from their counts: at most
+    HOT_KEYS rows by construction. None where there are none."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = counts.where(F.col(n) > limit).select(*keys, F.ceil(F.col(n) / F.lit(limit)).cast("int").alias("_parts"))
+    return None if hot.isEmpty() else hot
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` (few rows a key) on equal keys. Rows of a hot key are dealt to
+    tasks by a hash of column ``by``, and the key's rows of ``one`` are repeated for each part; so
+    no task gets more than about the limit of hot_keys of any key."""
+    if hot is None:
+        return many.join(one, keys, how)
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))).drop("_parts")
+    right = one.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def text_or_empty(col="text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

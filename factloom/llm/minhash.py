@@ -27,18 +27,20 @@ have a null component and are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, table, trim
+from .common import BROADCAST_IDS, Shelf, few_ids, hot_keys, spread_join, table, trim
 from .components import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
 K, T = 40, 20
-SHORT, BLOCK = 48, 256
+SHORT, BLOCK, BLOCK_CHARS = 48, 256, 1 << 21
 #: Pivots a class meets in one turn, and turns at most before lists are merged in full.
 PIVOTS, MOST_TURNS = 4, 6
 #: Turns go on while one in so many of the colliding pairs that they met was a link.
@@ -96,12 +98,36 @@ def signature(s: np.ndarray, k: int = K) -> np.ndarray:
     return ((out & ~_U(63)) | np.arange(k, dtype=np.uint64)).view(np.int64)
 
 
+#: Four coordinates travel in a long: 14 bits of each, and a bit that a sum carries into.
+LANE, LANES = 15, 4
+_SHIFT = np.array([LANE * i for i in range(LANES)], np.uint64)
+CARRY = sum(1 << (LANE * i + LANE - 1) for i in range(LANES))
+FILL = sum(((1 << (LANE - 1)) - 1) << (LANE * i) for i in range(LANES))
+
+
+def short_signature(toks: np.ndarray) -> np.ndarray:
+    """14 bits of every coordinate, four in a long (K is padded with zeros to whole longs). Unlike
+    values agree in one of 16,384; what agrees is confirmed on full sets."""
+    v = np.zeros(-(-len(toks) // LANES) * LANES, np.uint64)
+    v[: len(toks)] = (toks.view(np.uint64) >> _U(6)) & _U((1 << (LANE - 1)) - 1)
+    return (v.reshape(-1, LANES) << _SHIFT).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _unlike(a: str, b: str, k: int):
+    """In how many of k coordinates two short signatures differ: a lane of their exclusive or that
+    is not zero carries."""
+    x = [F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(-(-k // LANES))]
+    return reduce(lambda p, q: p + q, [F.bit_count((y + F.lit(FILL)).bitwiseAND(F.lit(CARRY))) for y in x])
+
+
 def _signed(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """(doc_id, n, k1, k2, toks): set size, 128 bits that identify the set, signature."""
+    """(doc_id, n, k1, k2, toks, sig): set size, 128 bits that identify the set, signature in full
+    and short."""
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
-            n, k1, k2, toks = [], [], [], []
+            n, k1, k2, toks, sig = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t, words)
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None)
@@ -109,33 +135,63 @@ def _signed(docs: DataFrame, words: int, k: int) -> DataFrame:
                 k1.append(a)
                 k2.append(b)
                 toks.append(signature(s, k) if len(s) else None)
-            made = [pa.array(x, pa.int64()) for x in (n, k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "toks"])
+                sig.append(short_signature(toks[-1]) if len(s) else None)
+            made = [pa.array(x, pa.int64()) for x in (n, k1, k2)] + [pa.array(x, longs) for x in (toks, sig)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n", "k1", "k2", "toks", "sig"])
         _rest()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, toks array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, toks array<long>, sig array<long>")
+
+
+def _hot_ends(pairs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The hot keys among the written pairs' ends."""
+    total = pairs.count()
+    return tuple(hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c], total) for c in "ab")
+
+
+def _collide(pairs: DataFrame, sigs: DataFrame, t: int, k: int, percent: int, shelf: Shelf) -> DataFrame:
+    """The pairs whose sizes allow a link and whose signatures agree in t coordinates or more."""
+    pairs = shelf.put(pairs)
+    hot_a, hot_b = _hot_ends(pairs)
+    left, right = (sigs.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
+    both = spread_join(spread_join(pairs, left, ["a"], "b", hot_a), right, ["b"], "a", hot_b)
+    sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    out = shelf.put(both.where(sized & (_unlike("sa", "sb", k) <= k - t)).select("a", "b").distinct())
+    shelf.drop(pairs)
+    return out
+
+
+class _Texts:
+    """Whole texts of some ids, straight from the source. Up to BROADCAST_IDS ids go to the scan;
+    beyond that the texts of all that may ever be asked for are written once and joined."""
 
+    def __init__(self, docs: DataFrame, live: DataFrame, shelf: Shelf):
+        self.docs, self.live, self.shelf = docs.select(F.col("doc_id").alias("doc"), "text"), live, shelf
+        self.held: DataFrame | None = None
 
-def _collide(pairs: DataFrame, toks: DataFrame, t: int) -> DataFrame:
-    """The pairs whose signatures agree in t coordinates or more."""
-    left, right = toks.select(F.col("doc").alias("da"), F.col("toks").alias("ta")), toks.select(F.col("doc").alias("db"), F.col("toks").alias("tb"))
-    both = pairs.join(left, F.col("a") == F.col("da")).join(right, F.col("b") == F.col("db"))
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= t).select("a", "b")
+    def of(self, ids: DataFrame) -> DataFrame:
+        """Written (doc, text) of written ids (doc)."""
+        if ids.count() <= BROADCAST_IDS:
+            return self.shelf.put(self.docs.join(F.broadcast(ids), "doc", "left_semi"))
+        if self.held is None:
+            self.held = self.shelf.put(self.docs.join(self.live, "doc", "left_semi"))
+        return self.shelf.put(self.held.join(ids, "doc", "left_semi"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on full sets. Texts travel, not sets:
     compressed they are half as large, and a set takes a fraction of a millisecond to make."""
-    left, right = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    hot_a, hot_b = _hot_ends(pairs)
+    left, right = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+    both = spread_join(spread_join(pairs, left, ["a"], "b", hot_a), right, ["b"], "a", hot_b).select("a", "b", "ta", "tb")
 
     def run(batches):
         last, held = None, None
         for pdf in batches:
             ok = []
-            for b, ta, tb in zip(pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if b != last:  # rows come by b: its set is made once
-                    last, held = b, shingle_set(tb, words)
+            for ta, tb in zip(pdf["ta"], pdf["tb"], strict=True):
+                if tb != last:  # rows come by b: its set is made once
+                    last, held = tb, shingle_set(tb, words)
                 s = shingle_set(ta, words)
                 i = len(np.intersect1d(s, held, assume_unique=True)) if 100 * min(len(s), len(held)) >= percent * max(len(s), len(held)) else 0
                 ok.append(i * 100 >= (len(s) + len(held) - i) * percent)
@@ -146,23 +202,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def _main(p: DataFrame, turn: int) -> DataFrame:
-    """(tk, n, main, held, pivots) of the lists with several components: size, largest component,
+    """(tok, n, main, held, pivots) of the lists with several components: size, largest component,
     its size, and a few of its members. A pivot is the least id after an exclusive or with a
     number of the turn, so that picking them is an ordinary partial aggregate."""
     salts = np.random.default_rng(1000 + turn).integers(1, 1 << 62, PIVOTS).tolist()
     per = p.groupBy("tok", "comp").agg(F.count("*").alias("n"), *[F.min(F.col("doc").bitwiseXOR(F.lit(c))).alias(f"p{j}") for j, c in enumerate(salts)])
     pivots = F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(c)) for j, c in enumerate(salts)])
     top = F.max_by(F.struct("comp", "n", pivots.alias("pivots")), F.struct("n", "comp"))
-    return per.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), top.alias("x")).where("comps > 1").select(F.col("tok").alias("tk"), "n", F.col("x.comp").alias("main"), F.col("x.n").alias("held"), F.col("x.pivots").alias("pivots"))
+    return per.groupBy("tok").agg(F.sum("n").alias("n"), F.count("*").alias("comps"), top.alias("x")).where("comps > 1").select("tok", "n", F.col("x.comp").alias("main"), F.col("x.n").alias("held"), F.col("x.pivots").alias("pivots"))
 
 
-def _outsiders(p: DataFrame, main: DataFrame, turn: int) -> DataFrame:
+def _outsiders(p: DataFrame, main: DataFrame, total: int, turn: int) -> DataFrame:
     """(a, b): each class outside the main component of a list with PIVOTS of its members, in one
-    of its lists: first that of the largest component, then by turns."""
+    of its lists: first that of the largest component, then by turns. ``main`` is written."""
+    hot = hot_keys(main, ["tok"], total)
     order = F.col("held") if turn == 0 else F.xxhash64("tok", F.lit(turn))
-    away = p.join(main.select("tk", "main", "held"), F.col("tok") == F.col("tk")).where("comp <> main")
+    away = spread_join(p, main.select("tok", "main", "held"), ["tok"], "doc", hot).where("comp <> main")
     pick = away.groupBy("doc").agg(F.max_by("tok", order).alias("tok"))
-    return pick.join(main.select("tk", "pivots"), F.col("tok") == F.col("tk")).select(F.col("doc").alias("a"), F.explode("pivots").alias("b")).distinct()
+    return spread_join(pick, main.select("tok", "pivots"), ["tok"], "doc", hot).select(F.col("doc").alias("a"), F.explode("pivots").alias("b")).distinct()
 
 
 def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -185,18 +242,23 @@ def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _long_lists(posts: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) across components from lists of any length. ``posts`` has tok, doc, comp and
-    the list's main component.
+def _long_lists(posts: DataFrame, fetch: _Texts, shelf: Shelf, words: int, percent: int) -> DataFrame:
+    """Links (a, b) across components from lists of any length. ``posts`` has doc, comp and the
+    list's main component.
 
     Lists with one main component hold much the same classes, so they are merged as one: every
     class that stands outside is compared to every class of these lists, on full sets, block
-    by block. A block of about BLOCK texts travels once for each block that it meets, and a pair
-    of blocks is a task row of its own. Of a class's links into one component one comes out."""
-    all_ = posts.groupBy("main", "doc").agg(F.first("comp").alias("comp"))
-    size = all_.groupBy("main").agg(F.count("*").alias("n"), F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("out"))
-    size = size.select(F.col("main").alias("m"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("out") / BLOCK).cast("int").alias("no"))
-    rich = all_.join(texts, "doc").join(size, F.col("main") == F.col("m")).withColumn("h", F.xxhash64("doc"))
+    by block. A block holds about BLOCK texts, or BLOCK_CHARS characters of longer ones; it travels
+    once for each block that it meets, and a pair of blocks is a task row of its own. Of a class's
+    links into one component one comes out."""
+    all_ = shelf.put(posts.groupBy("main", "doc").agg(F.first("comp").alias("comp")))
+    texts = fetch.of(shelf.put(all_.select("doc").distinct()))
+    # How many times a class is listed is bounded by its posts, so joining by class has no hot key.
+    rich = shelf.put(all_.join(texts, "doc").withColumn("h", F.xxhash64("doc")))
+    parts = lambda rows, chars: F.ceil(F.greatest(F.sum(rows) / BLOCK, F.sum(chars) / BLOCK_CHARS)).cast("int")
+    out, chars = F.when(F.col("comp") != F.col("main"), 1).otherwise(0), F.length("text")
+    size = shelf.put(rich.groupBy("main").agg(F.count("*").alias("n"), parts(F.lit(1), chars).alias("nb"), F.greatest(F.lit(1), parts(out, out * chars)).alias("no")))
+    rich = spread_join(rich, size.select("main", "nb", "no"), ["main"], "doc", hot_keys(size, ["main"], rich.count()))
     one = F.collect_list(F.struct("doc", "comp", "text"))
     whole = rich.withColumn("ub", F.pmod("h", "nb")).groupBy("main", "ub").agg(one.alias("right"))
     outside = rich.where("comp <> main").withColumn("ob", F.pmod("h", "no")).groupBy("main", "nb", "ob").agg(one.alias("left"))
@@ -228,61 +290,86 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE_WORDS, percent: int
     shelf = Shelf(docs.sparkSession, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = shelf.put(_signed(docs, words, k))
-    classes = shelf.put(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").where("n > 0").select(F.col("doc_id").alias("doc"), "toks")
+    rows = signed.count()
+    some = signed.where("n > 0 AND doc_id IS NOT NULL")
+    # Classes of several rows, and the rows that are not the least of their class.
+    key = ["k1", "k2"]
+    classes = shelf.put(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1"))
+    large = hot_keys(classes, key, rows, "c")
+    copies = shelf.put(spread_join(some.select("doc_id", *key), classes.select(*key, "rep"), key, "doc_id", large).where("doc_id <> rep").select("doc_id", "k1"))
+    reps = some.join(few_ids(copies), ["doc_id", "k1"], "left_anti").select(F.col("doc_id").alias("doc"), "n", "toks", "sig")
 
     # Postings: pairs that two classes or more share, then the rarest m - t + 1 of a class.
     posted = reps.select("doc", F.explode("toks").alias("tok"))
-    shared = posted.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("tok", "tk")
-    ranked = posted.join(shared, F.col("tok") == F.col("tk")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("l")).where(F.size("l") >= t)
+    shared = shelf.put(posted.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = spread_join(posted, shared, ["tok"], "doc", hot_keys(shared, ["tok"], rows * k, "c")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("l")).where(F.size("l") >= t)
     posts = shelf.put(ranked.select("doc", F.explode(F.expr(f"slice(l, 1, size(l) - {t - 1})")).alias("x")).select("doc", F.col("x.tok").alias("tok")))
-    live = posts.select("doc").distinct()
-    toks = shelf.put(reps.join(live, "doc", "left_semi"))
-    texts = shelf.put(docs.join(live, F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("doc"), "text"))
+    shelf.drop(shared)
+    n_posts = posts.count()
+    live = shelf.put(posts.select("doc").distinct())
+    sigs = shelf.put(reps.join(few_ids(live), "doc", "left_semi").select("doc", "n", "sig"))
+    fetch = _Texts(docs, live, shelf)
 
     def labelled(comp: DataFrame) -> DataFrame:
         return posts.join(comp, F.col("doc") == F.col("id"), "left").select("doc", "tok", F.coalesce("component", "doc").alias("comp"))
 
     def confirmed(star: DataFrame) -> tuple[int, int, DataFrame]:
-        """Pairs that collide, links among them, and the links. Only texts of those pairs travel:
-        their ids are a table of their own, whose size the planner knows."""
-        pairs = shelf.put(_collide(star, toks, t))
+        """Pairs that collide, links among them, and the links. Only texts of those pairs travel."""
+        pairs = _collide(star, sigs, t, k, percent, shelf)
         ids = shelf.put(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-        found = shelf.put(_confirm(pairs, texts.join(ids, "doc", "left_semi"), words, percent))
-        return pairs.count(), found.count(), found
+        texts = fetch.of(ids)
+        found = shelf.put(_confirm(pairs, texts, words, percent))
+        met, linked = pairs.count(), found.count()
+        shelf.drop(pairs, ids, texts)
+        return met, linked, found
+
+    def joined(comp: DataFrame, *links: DataFrame, settle: bool = True) -> DataFrame:
+        edges = reduce(DataFrame.union, links, comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        out = components(edges, shelf, settle=settle)
+        shelf.drop(comp, *links)
+        return out
 
     # First every class meets one pivot, the least of its lists.
-    least = posts.groupBy("tok").agg(F.min("doc").alias("p")).withColumnRenamed("tok", "tk")
-    star = posts.join(least, F.col("tok") == F.col("tk")).where("doc <> p").groupBy("doc").agg(F.min("p").alias("p")).select(F.col("doc").alias("a"), F.col("p").alias("b"))
-    comp = components(confirmed(star)[2], shelf, settle=False)
+    least = shelf.put(posts.groupBy("tok").agg(F.min("doc").alias("p"), F.count("*").alias("n")))
+    star = spread_join(posts, least.select("tok", "p"), ["tok"], "doc", hot_keys(least, ["tok"], n_posts)).where("doc <> p")
+    _, _, found = confirmed(star.groupBy("doc").agg(F.min("p").alias("p")).select(F.col("doc").alias("a"), F.col("p").alias("b")))
+    comp = components(found, shelf, settle=False)
+    shelf.drop(least, found)
     # Then those outside their list's main component meet a few more of its members, as long as
     # that finds links: a group of copies ends as one component and a few that stand apart.
     # Labels need not settle in between: what shares one is in one component.
     for turn in range(MOST_TURNS):
-        p = labelled(comp)
-        met, linked, found = confirmed(_outsiders(p, shelf.put(_main(p, turn)), turn))
+        p = shelf.put(labelled(comp))
+        main = shelf.put(_main(p, turn))
+        met, linked, found = confirmed(_outsiders(p, main, n_posts, turn))
+        shelf.drop(p, main)
         if linked:
-            comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), shelf, settle=False)
+            comp = joined(comp, found, settle=False)
         if linked * WORTHWHILE < met or not linked:
             break
     # What is left open is merged in full: every class with those of other components.
-    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")), shelf)
-    p = labelled(comp)
-    main = _main(p, 0).select("tk", "n", "main")
-    p = shelf.put(p.join(main, F.col("tok") == F.col("tk")).select("tok", "doc", "comp", "n", "main"))
-    near = p.where(f"n <= {short}")
-    other = near.where("comp <> main").select(F.col("tok").alias("tok2"), F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
-    pairs = near.join(other, (F.col("tok") == F.col("tok2")) & (F.col("comp") != F.col("comp2"))).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+    comp = joined(comp)
+    p = shelf.put(labelled(comp))
+    main = shelf.put(_main(p, 0))
+    open_ = shelf.put(spread_join(p, main.select("tok", "n", "main"), ["tok"], "doc", hot_keys(main, ["tok"], n_posts)).select("tok", "doc", "comp", "n", "main"))
+    shelf.drop(p, main, posts)
+    near = open_.where(f"n <= {short}")
+    other = near.where("comp <> main").select("tok", F.col("doc").alias("doc2"), F.col("comp").alias("comp2"))
+    pairs = near.join(other, "tok").where("comp <> comp2").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
     _, _, found = confirmed(pairs)
-    far = p.where(f"n > {short}").select("main", "doc", "comp")
-    busy = shelf.put(far.select("doc").distinct())
-    more = shelf.put(_long_lists(far, texts.join(busy, "doc", "left_semi"), words, percent))
-    comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found).union(more), shelf)
+    more = shelf.put(_long_lists(open_.where(f"n > {short}").select("main", "doc", "comp"), fetch, shelf, words, percent))
+    comp = joined(comp, found, more)
+    shelf.drop(open_, sigs, live)
 
-    node = signed.join(classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    out = node.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("r")).join(comp, F.col("r") == F.col("id"), "left")
-    label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "r"))
-    return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
+    # Labels: by class for rows of classes, by id for all others; no row joins on a null.
+    cols = ["doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")]
+    of_class = shelf.put(classes.join(comp, F.col("rep") == F.col("id"), "left").select(*key, "c", F.coalesce("component", "rep").alias("component")))
+    inner = spread_join(some.select("doc_id", "n", *key), of_class.select(*key, "component"), key, "doc_id", large).select(*cols)
+    alone = some.select("doc_id", "n", *key)
+    alone = (alone.join(few_ids(of_class.select(*key)), key, "left_anti") if large is None else spread_join(alone, of_class.select(*key, F.lit(True).alias("x")), key, "doc_id", large, "left").where("x IS NULL"))
+    alone = alone.join(comp, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id")).select(*cols)
+    bare = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return inner.union(alone).union(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
@@ -292,8 +379,8 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL")
     n = named.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     if n["n"] == n["d"]:
-        keep = near_duplicates(docs, **how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-        out = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
+        gone = Shelf(docs.sparkSession, "gone").put(near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("_gone")))
+        out = named.join(few_ids(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     else:
         at = "_place_" + "_".join(docs.columns)  # no column of docs has this name
         order = [c for c in docs.columns if c not in ("doc_id", "text")]
