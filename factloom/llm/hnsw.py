@@ -1,29 +1,38 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
-Vectors of one length are dealt by hash to shards of at most ``shard_rows`` at about; each shard
-is a graph built by one task, and every vector queries every shard of its length. A query walks greedily down the
-layers and then keeps a beam on the ground layer. The beam doubles for queries whose hits
-fill half of it, and each task audits a sample of its queries against brute force over its
-shard: while the mean recall of the sampled queries that have links (a query's hit on itself
-left out) is short of ``recall``, the starting beam doubles and the task's queries run again
-(a beam of the whole shard is brute force, so this ends). Hits are
-verified by cosine in double precision over the stored components.
+Vectors of one length are dealt by hash to shards; each shard is a graph built by one task, and
+every vector queries every shard of its length. A query walks greedily down the layers and then
+keeps a beam on the ground layer. The beam widens for queries whose hits fill half of it, and
+above ``EF_MOST`` a query is compared to the whole shard, which is cheaper there. Each task audits
+a sample of its queries against brute force over its shard, and grows the sample until some have
+links: while their mean recall (a query's hit on itself left out) is short of ``recall``, the
+starting beam doubles. Hits are verified by cosine in double precision, but for those that the
+error bound of single precision already decides.
 
 Walks run in lock-step in numpy: a block of queries takes its steps together, so the cost of
-a step is one gather and one product for the block. Tasks return a count per query and a
-spanning forest of the links they saw, never all pairs of a group: a group of m copies costs
-m rows. Exactly equal vectors are one class and are counted by its size.
+a step is one gather and one product for the block. Exactly equal vectors are one class and are
+counted by its size. A query that went through a whole shard returns its count there; any other
+has few hits and returns them, and a link that either end found counts for both. Links unite
+into components through a spanning forest of what a task saw: a group of m copies costs m rows,
+never its pairs.
+
+A shard has a sixteenth of the vectors, but 16,384 at least and 262,144 at most, and so has a part
+of the queries: every task holds one graph and one part, and what is shuffled grows with
+n * n / 262,144.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with
-nothing, and no vector with one of another length (n_links 0, own component); rows that share a vec_id
-are one vector node whose links are pooled; rows with a null id have a null component, no
-links and are kept; an empty table gives an empty result.
+nothing, and no vector with one of another length (n_links 0, own component). Equal rows count as
+one vector. Rows of one vec_id with unlike vectors each have their own n_links, in which every
+other vector counts once for each id that has it; for components they are one node. Rows with a
+null id have a null component, no links and are kept; an empty table gives an empty result;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,21 +41,34 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, table
+from .common import Shelf, hot_keys, spread_join, table
 from .components import components
 
 THRESHOLD = 0.9
-M, M0, EF_BUILD, EF = 16, 32, 64, 32
-SHARD_ROWS, PART_ROWS = 1 << 16, 4096
-RECALL, AUDIT_EVERY = 0.995, 64
-QUERY_BLOCK, BATCH = 256, 1024
+M, M0, EF_BUILD, EF, EF_MOST = 16, 32, 64, 32, 256
+SHARDS, SHARD_LEAST, SHARD_MOST = 16, 1 << 14, 1 << 18
+RECALL, AUDIT_EVERY, AUDIT_LINKED = 0.995, 64, 16
+QUERY_BLOCK, BATCH, BRUTE_CELLS = 256, 1024, 1 << 24
+#: What a query task returns: a link that a beam found, a count over a whole shard, an edge of the
+#: spanning forest, and the audit (queries with links, and the sum of their recalls).
+PAIR, COUNT, EDGE, AUDIT = range(4)
+SEEN = "kind int, a long, ka long, sa int, na long, b long, kb long, sb int, nb long, n double"
+
+
+def units(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square over- or underflows."""
+    wide = raw.astype(np.float64)
+    wide /= np.abs(wide).max(1, keepdims=True, initial=1e-323)
+    return wide / np.sqrt((wide * wide).sum(1, keepdims=True))
 
 
 class Graph:
-    """Raw float32 vectors (for exact cosines), their unit form, and neighbours by layer."""
+    """Raw vectors (for exact cosines), their unit form in single precision, and neighbours by
+    layer. Equal ids may have several vectors; ``keys`` tells their classes apart."""
 
-    def __init__(self, raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, seed: int = 0):
-        self.raw, self.ids, self.sizes = raw.astype(np.float32), ids.astype(np.int64), sizes.astype(np.int64)
+    def __init__(self, raw: np.ndarray, ids: np.ndarray, sizes: np.ndarray, seed: int = 0, keys: np.ndarray | None = None):
+        self.raw, self.ids, self.sizes = raw, ids.astype(np.int64), sizes.astype(np.int64)
+        self.keys = (np.arange(len(ids)) if keys is None else keys).astype(np.int64)
         self._derive()
         n = len(self.ids)
         rng = np.random.default_rng(seed)
@@ -54,20 +76,18 @@ class Graph:
         self.adj: list[np.ndarray] = []
 
     def _derive(self) -> None:
-        wide = self.raw.astype(np.float64)
-        self.norm = np.sqrt((wide * wide).sum(1))
-        self.unit = (wide / np.maximum(self.norm, 1e-300)[:, None]).astype(np.float32)
+        self.unit = units(self.raw).astype(np.float32)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, raw=self.raw, ids=self.ids, sizes=self.sizes, level=self.level, *self.adj)
+        np.savez(out, raw=self.raw, ids=self.ids, keys=self.keys, sizes=self.sizes, level=self.level, *self.adj)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         z = np.load(io.BytesIO(data))
         g = cls.__new__(cls)
-        g.raw, g.ids, g.sizes, g.level = z["raw"], z["ids"], z["sizes"], z["level"]
+        g.raw, g.ids, g.keys, g.sizes, g.level = (z[x] for x in ("raw", "ids", "keys", "sizes", "level"))
         g.adj = [z[f"arr_{i}"] for i in range(sum(k.startswith("arr_") for k in z.files))]
         g._derive()
         g._index()
@@ -240,52 +260,70 @@ class Graph:
             adj[row(u[f])] = self._select(self.unit[u[f]], cand, np.where(cand >= 0, sim, -2), width)
 
     # -- range queries ----------------------------------------------------------------------
-    def exact(self, raw: np.ndarray, norm: np.ndarray, who: np.ndarray, hit: np.ndarray, threshold: float) -> np.ndarray:
-        dot = np.einsum("kd,kd->k", raw[who].astype(np.float64), self.raw[hit].astype(np.float64))
-        return dot / (norm[who] * self.norm[hit]) >= threshold
-
-    def within(self, raw: np.ndarray, threshold: float, ef: int) -> list[np.ndarray]:
-        """For each query the nodes found at or above the threshold."""
-        norm = np.sqrt((raw.astype(np.float64) ** 2).sum(1))
-        unit = (raw / norm[:, None]).astype(np.float32)
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(raw)
+    def within(self, raw: np.ndarray, threshold: float, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+        """(queries, r, nodes, whole) by blocks: queries[r[i]] is linked with nodes[i]; whole where
+        these queries were compared to all nodes. Each query comes once."""
+        wide = units(raw)
+        unit = wide.astype(np.float32)
+        # Twice the most that a single-precision product of unit vectors can be off.
+        margin = (raw.shape[1] + 8) * 2.0**-22
         todo, n = np.arange(len(raw)), len(self.ids)
         while len(todo):
+            whole = ef >= n or ef > EF_MOST
+            block = max(16, BRUTE_CELLS // n) if whole else max(16, min(QUERY_BLOCK, 40_000_000 // max(1, ef * 8)))
             again = []
-            block = max(16, min(QUERY_BLOCK, 40_000_000 // max(1, ef * 8)))
             for k in range(0, len(todo), block):
                 part = todo[k : k + block]
-                ids, sims = self.search(unit[part], ef) if ef < n else self._all(unit[part])
-                near = (sims >= threshold - 1e-4) & (ids >= 0)
-                r, c = np.nonzero(near)
-                hit = ids[r, c]
-                ok = self.exact(raw, norm, part[r], hit, threshold) if len(r) else np.zeros(0, bool)
-                full = near.sum(1) * 2 > ef if ef < n else np.zeros(len(part), bool)
-                cut = np.searchsorted(r, np.arange(len(part) + 1))
-                for i, p in enumerate(part):
-                    if full[i]:
-                        again.append(p)
-                    else:
-                        out[p] = hit[cut[i] : cut[i + 1]][ok[cut[i] : cut[i + 1]]]
-            todo, ef = np.array(again, np.int64), ef * 4
+                if whole:
+                    sims = unit[part] @ self.unit.T
+                    r, hit = np.nonzero(sims >= threshold - margin)
+                    sims = sims[r, hit]
+                else:
+                    ids, sims = self.search(unit[part], ef)
+                    near = (sims >= threshold - margin) & (ids >= 0)
+                    full = near.sum(1) * 2 > ef
+                    again.append(part[full])
+                    near = near[~full]
+                    r, c = np.nonzero(near)
+                    ids, sims, part = ids[~full], sims[~full], part[~full]
+                    hit, sims = ids[r, c], sims[r, c]
+                unsure = np.nonzero(sims < threshold + margin)[0]
+                if len(unsure):
+                    exact = np.einsum("kd,kd->k", wide[part[r[unsure]]], units(self.raw[hit[unsure]]))
+                    keep = np.ones(len(r), bool)
+                    keep[unsure[exact < threshold]] = False
+                    r, hit = r[keep], hit[keep]
+                yield part, r, hit, whole
+            todo, ef = np.concatenate(again) if again else np.empty(0, np.int64), ef * 4
+
+    def _others(self, raw: np.ndarray, threshold: float, ef: int) -> list[set[int]]:
+        """The nodes found for each query, without those of its own vector."""
+        out: list[set[int]] = [set() for _ in raw]
+        for part, r, hit, _ in self.within(raw, threshold, ef):
+            ok = (self.raw[hit] != raw[part[r]]).any(1)
+            for q, h in zip(part[r[ok]].tolist(), hit[ok].tolist(), strict=True):
+                out[q].add(h)
         return out
 
-    def _all(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.broadcast_to(np.arange(len(self.ids)), (len(unit), len(self.ids))), unit @ self.unit.T
-
-    def audited(self, raw: np.ndarray, keys: np.ndarray, threshold: float, recall: float, ef: int = EF) -> tuple[list[np.ndarray], int]:
-        """``within`` at the first beam whose recall on the audit sample is enough."""
-        sample = np.nonzero(keys % AUDIT_EVERY == 0)[0]
-        if not len(sample):
-            sample = np.arange(min(8, len(raw)))
-        truth = self.within(raw[sample], threshold, len(self.ids))
-        truth = [h[(self.raw[h] != raw[i]).any(1)] for i, h in zip(sample, truth, strict=True)]
-        while True:
-            got = self.within(raw[sample], threshold, ef)
-            shares = [len(np.intersect1d(a, b)) / len(b) for a, b in zip(got, truth, strict=True) if len(b)]
-            if ef >= len(self.ids) or not shares or np.mean(shares) >= recall:
-                return self.within(raw, threshold, ef), ef
+    def audited(self, raw: np.ndarray, threshold: float, recall: float, ef: int = EF) -> tuple[int, int, float]:
+        """The first beam whose recall on the audit sample is enough, the sampled queries that have
+        links, and their mean recall at that beam."""
+        order = np.random.default_rng(len(raw)).permutation(len(raw))
+        linked, truth, at, step = [], [], 0, -(-len(raw) // AUDIT_EVERY)
+        while len(linked) < AUDIT_LINKED and at < len(raw):
+            some = order[at : at + step]
+            for q, t in zip(some.tolist(), self._others(raw[some], threshold, len(self.ids)), strict=True):
+                if t:
+                    linked.append(q)
+                    truth.append(t)
+            at, step = at + step, step * 4
+        while linked:
+            got = self._others(raw[linked], threshold, ef)
+            mean = float(np.mean([len(a & b) / len(b) for a, b in zip(got, truth, strict=True)]))
+            if mean >= recall or ef > EF_MOST:
+                return ef, len(linked), mean
             ef *= 2
+        return ef, 0, 1.0
 
 
 class Forest:
@@ -312,79 +350,114 @@ class Forest:
         return hits[first]
 
 
-def _digest(x) -> tuple:
-    """(raw float32 bytes, k1, k2) of a usable vector, else nulls."""
+def _frame(kind: int, rows: int, **cols) -> pd.DataFrame:
+    """Rows of SEEN; nullable integers from the start, for 64-bit keys must not pass through floats."""
+    out = {}
+    for c, t in (x.split() for x in SEEN.split(", ")):
+        v = kind if c == "kind" else cols.get(c)
+        if t == "double":
+            out[c] = np.full(rows, np.nan) if v is None else np.broadcast_to(np.asarray(v, np.float64), rows)
+        else:
+            out[c] = pd.array(np.broadcast_to(np.asarray(0 if v is None else v, np.int64), rows).copy(), "Int64")
+            if v is None:
+                out[c][:] = pd.NA
+    return pd.DataFrame(out)
+
+
+def _digest(x, kind: type) -> tuple:
+    """(raw bytes, k1, k2) of a usable vector, else nulls. Minus zero is zero."""
     if x is None:
         return None, None, None
     v = np.asarray([np.nan if c is None else c for c in x] if isinstance(x, list) else x, np.float64)
     if v.ndim != 1 or not len(v) or not np.isfinite(v).all() or not v.any():
         return None, None, None
-    raw = v.astype(np.float32).tobytes()
+    raw = (v + 0.0).astype(kind).tobytes()
     return raw, *np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist()
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, shard_rows: int = SHARD_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row."""
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, shard_rows: int | None = None, report: Callable[[int, float], None] | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row. ``report`` is given the number of audited
+    queries with links and their mean recall."""
     shelf = Shelf(vectors.sparkSession, "hnsw")
+    # Single components stay single; anything else is kept in double precision.
+    kind = np.float32 if dict(vectors.select(F.col(col).alias("x")).dtypes)["x"] == "array<float>" else np.float64
 
     def prepare(batches):
         for batch in batches:
-            raw, k1, k2 = zip(*map(_digest, batch.column("x").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            raw, k1, k2 = zip(*(_digest(x, kind) for x in batch.column("x").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["id", "raw", "k1", "k2"])
 
     rows = shelf.put(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(col).cast("array<double>").alias("x")).mapInArrow(prepare, "id long, raw binary, k1 long, k2 long"))
+    key = ["k1", "k2"]
     usable = rows.where("raw IS NOT NULL AND id IS NOT NULL")
-    classes = shelf.put(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first(F.length("raw")).alias("w")))
-    # A row for each length of vectors: its shards and its parts of queries.
-    ceil = lambda n: F.ceil(F.col("n") / F.lit(n)).cast("int")
-    widths = shelf.put(classes.groupBy("w").agg(F.count("*").alias("n")).select("w", ceil(shard_rows).alias("shards"), ceil(part_rows).alias("parts")))
-    cl = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep", "size")
-    reps = shelf.put(usable.join(cl, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("id") == F.col("rep"))).select("rep", "size", "raw", F.length("raw").alias("w")).join(F.broadcast(widths), "w").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")))
-
-    def grow(key, pdf):
-        pdf = pdf.sort_values(["rep"], kind="stable").drop_duplicates("rep")
-        raw = np.frombuffer(b"".join(pdf["raw"]), np.float32).reshape(len(pdf), -1)
-        g = Graph(raw, pdf["rep"].to_numpy(), pdf["size"].to_numpy(), seed=int(key[1])).build()
-        return pd.DataFrame({"w": [int(key[0])], "shard": [int(key[1])], "graph": [g.dump()]})
+    classes = shelf.put(usable.groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("size"), F.count("*").alias("c"), F.first(F.length("raw")).alias("w"), F.first("raw").alias("raw")))
+    large = hot_keys(classes, key, rows.count(), "c")
+    # A row for each length of vectors: its shards, and as many parts of queries.
+    per = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(SHARD_LEAST), F.least(F.lit(SHARD_MOST), F.ceil(F.col("n") / SHARDS)))
+    widths = shelf.put(classes.groupBy("w").agg(F.count("*").alias("n")).select("w", F.ceil(F.col("n") / per).cast("int").alias("shards")))
+    node = classes.select("rep", "k1", "size", "raw", "w").join(F.broadcast(widths), "w")
+    reps = shelf.put(node.withColumn("shard", F.pmod(F.xxhash64("k1"), F.col("shards")).cast("int")))
+    vector = lambda pdf: np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(pdf), -1)
+
+    def grow(key_, pdf):
+        pdf = pdf.sort_values(["rep", "k1"], kind="stable")
+        g = Graph(vector(pdf), pdf["rep"].to_numpy(), pdf["size"].to_numpy(), seed=int(key_[1]), keys=pdf["k1"].to_numpy()).build()
+        return pd.DataFrame({"w": [int(key_[0])], "shard": [int(key_[1])], "graph": [g.dump()]})
 
     graphs = shelf.put(reps.groupBy("w", "shard").applyInPandas(grow, "w int, shard int, graph binary"))
     # Every vector to every shard of its length; a part of the queries and a graph make a task.
-    asked = reps.select("w", "rep", "size", "raw", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("to"))
-    held = graphs.join(F.broadcast(widths), "w").select("w", F.col("shard").alias("to"), "graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    every = F.sequence(F.lit(0), F.col("shards") - 1)
+    asked = reps.select("w", "rep", "k1", "size", "raw", "shard", F.pmod(F.xxhash64("k1", F.lit(1)), F.col("shards")).cast("int").alias("part"), F.explode(every).alias("to"))
+    held = graphs.join(F.broadcast(widths), "w").select("w", F.col("shard").alias("to"), "graph", F.explode(every).alias("part"))
 
-    def query(_key, left, right):
-        out_a, out_b, out_n = [], [], []
+    def query(key_, left, right):
+        out = []
         if len(left) and len(right):
-            g = Graph.load(right["graph"].iloc[0])
-            left = left.sort_values("rep", kind="stable").drop_duplicates("rep")
-            raw = np.frombuffer(b"".join(left["raw"]), np.float32).reshape(len(left), -1)
-            reps_ = left["rep"].to_numpy(np.int64)
-            found, _ = g.audited(raw, np.arange(len(left)), threshold, recall)
+            g, to = Graph.load(right["graph"].iloc[0]), int(key_[1])
+            left = left.sort_values(["rep", "k1"], kind="stable")
+            raw, reps_, keys, size, home = vector(left), *(left[c].to_numpy(np.int64) for c in ("rep", "k1", "size", "shard"))
+            ef, linked, mean = g.audited(raw, threshold, recall)
+            if linked:
+                out.append(_frame(AUDIT, 1, na=linked, n=linked * mean))
             forest = Forest(len(g.ids))
-            for rep, hits in zip(reps_.tolist(), found, strict=True):
-                if not len(hits):
-                    continue
-                own = g.ids[hits] == rep
-                links = int(g.sizes[hits].sum()) - int(g.sizes[hits][own].sum())
-                if links:
-                    out_a.append(rep)
-                    out_b.append(None)
-                    out_n.append(links)
-                for h in g.ids[forest.link(hits)].tolist():
-                    if h != rep:
-                        out_a.append(rep)
-                        out_b.append(h)
-                        out_n.append(0)
-        return pd.DataFrame({"a": pd.array(out_a, "Int64"), "b": pd.array(out_b, "Int64"), "n": pd.array(out_n, "Int64")})
-
-    seen = shelf.put(asked.groupBy("w", "to", "part").cogroup(held.groupBy("w", "to", "part")).applyInPandas(query, "a long, b long, n long"))
-    counts = seen.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    comp = components(seen.where("b IS NOT NULL").select("a", "b"), shelf)
-    out = rows.select("id", "k1", "k2").join(cl, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    out = out.withColumn("rep", F.coalesce("rep", "id")).join(counts, F.col("rep") == F.col("node"), "left").join(comp.withColumnRenamed("id", "cid"), F.col("rep") == F.col("cid"), "left")
-    label = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
-    links = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).otherwise(F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), links.alias("n_links"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
+            for part, r, hit, whole in g.within(raw, threshold, ef):
+                q = part[r]
+                other = (g.ids[hit] != reps_[q]) | (g.keys[hit] != keys[q])
+                qo, ho = q[other], hit[other]
+                if whole:
+                    links = np.bincount(r[other], g.sizes[ho], len(part))
+                    some = links > 0
+                    out.append(_frame(COUNT, int(some.sum()), a=reps_[part[some]], ka=keys[part[some]], sb=to, n=links[some]))
+                else:
+                    out.append(_frame(PAIR, len(qo), a=reps_[qo], ka=keys[qo], sa=home[qo], na=size[qo], b=g.ids[ho], kb=g.keys[ho], sb=to, nb=g.sizes[ho]))
+                cut = np.searchsorted(r, np.arange(len(part) + 1))
+                ends = [(p, forest.link(hit[cut[i] : cut[i + 1]])) for i, p in enumerate(part.tolist()) if cut[i] < cut[i + 1]]
+                a = np.repeat([reps_[p] for p, _ in ends], [len(x) for _, x in ends]).astype(np.int64)
+                b = g.ids[np.concatenate([x for _, x in ends])] if ends else a
+                out.append(_frame(EDGE, int((a != b).sum()), a=a[a != b], b=b[a != b]))
+        return pd.concat([x for x in out if len(x)] or [_frame(EDGE, 0)])
+
+    seen = shelf.put(asked.groupBy("w", "to", "part").cogroup(held.groupBy("w", "to", "part")).applyInPandas(query, SEEN))
+    shelf.drop(graphs)
+    if report:
+        audit = seen.where(F.col("kind") == AUDIT).agg(F.sum("na").alias("k"), F.sum("n").alias("s")).first()
+        report(int(audit["k"] or 0), float(audit["s"] / audit["k"]) if audit["k"] else 1.0)
+    # A link counts for both ends, whichever found it; whole comparisons have counted theirs.
+    counted = seen.where(F.col("kind") == COUNT).select("a", "ka", "sb", F.col("n").cast("long").alias("n"))
+    pair = seen.where(F.col("kind") == PAIR)
+    both = pair.select("a", "ka", "sb", "b", "kb", F.col("nb").alias("n")).union(pair.select("b", "kb", "sa", "a", "ka", "na")).distinct()
+    links = both.join(counted, ["a", "ka", "sb"], "left_anti").select("a", "ka", "n").union(counted.select("a", "ka", "n")).groupBy(F.col("a").alias("rep"), F.col("ka").alias("k1")).agg(F.sum("n").alias("links"))
+    # An id with unlike vectors may stand in several classes.
+    known = classes.select(F.col("rep").alias("id")).distinct()
+    several = spread_join(usable.select("id", *key), classes.select(*key, "rep"), key, "id", large).where("id <> rep").join(known, "id", "left_semi").select("id", "rep")
+    comp = components(seen.where(F.col("kind") == EDGE).select("a", "b").union(several), shelf)
+
+    label = classes.join(links, ["rep", "k1"], "left").join(comp, F.col("rep") == F.col("id"), "left")
+    label = shelf.put(label.select(*key, (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    shelf.drop(seen, reps, comp)
+    out = spread_join(usable.select("id", *key), label, key, "id", large).select("id", "n_links", "component_id")
+    bare = rows.where("raw IS NULL OR id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.union(bare).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,8 +239,9 @@ def test_embeddings_by_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [1.0, None] + [0.0] * 6), (1004, []), (1005, [1.0, 2.0]), (None, x[0].tolist()), (7, x[7].tolist())]
     df = spark.createDataFrame([(i, v, 1, b"g", 2) for i, v in rows], "vec_id long, embedding array<float>, label int, graph binary, shard int")
-    got = hnsw.near_duplicates(df, shard_rows=30, part_rows=16).collect()
-    assert len(got) == len(rows)
+    seen = []
+    got = hnsw.near_duplicates(df, shard_rows=30, report=lambda *x: seen.append(x)).collect()
+    assert len(got) == len(rows) and seen[0][0] > 0 and seen[0][1] >= 0.995
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     near = (u @ u.T) >= 0.9
     np.fill_diagonal(near, False)
@@ -253,8 +254,15 @@ def test_embeddings_by_brute_force(spark):
             assert r["component_id"] is None and r["n_links"] == 0
         elif i >= 1000:
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, i, True)
-        elif i != 7:  # the repeated row counts as a copy of its own
-            assert (r["n_links"], r["component_id"]) == (int(near[i].sum()) + int(near[i, 7]), label[i])
+        else:
+            assert (r["n_links"], r["component_id"]) == (int(near[i].sum()), label[i])
+
+
+def test_embeddings_of_one_id_and_of_double_precision(spark):
+    v, w, far, one = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.9999, 0.01], [0.0, 0.0, 1.0]
+    rows = [(1, v), (1, w), (2, v), (3, w), (4, far), (5, [1e-200, 0.0, 0.0]), (6, [0.0, 0.0, 1e-300]), (7, [1e200 * x for x in one]), (8, [-0.0, 0.0, -1.0]), (8, [0.0, 0.0, -1.0])]
+    got = sorted(map(tuple, hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 2, 1, False), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True), (8, 0, 8, True)]
 
 
 def test_embeddings_of_several_lengths(spark):
@@ -269,7 +277,7 @@ def test_embeddings_of_several_lengths(spark):
             rows.append((1000 * w + i, v.tolist()))
             want[1000 * w + i] = int(near[i].sum()) - 1
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, shard_rows=15, part_rows=10).collect()}
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(df, shard_rows=15).collect()}
     assert {i: r["n_links"] for i, r in got.items()} == want
     assert all(r["component_id"] // 1000 == i // 1000 for i, r in got.items()) and got[3020]["component_id"] == got[3000]["component_id"]
 

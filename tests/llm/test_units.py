@@ -188,12 +188,21 @@ def test_graph_finds_what_brute_force_finds():
     g = hnsw.Graph.load(g.dump())
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     truth = (u @ u.T) >= 0.9
-    got, _ = g.audited(x, np.arange(len(x)), 0.9, 1.0)
-    found = sum(len(set(h.tolist()) & set(np.nonzero(t)[0].tolist())) for h, t in zip(got, truth, strict=True))
-    assert all(truth[i, h].all() for i, h in enumerate(got))
-    assert found >= 0.99 * truth.sum()
+    ef, linked, mean = g.audited(x, 0.9, 1.0)
+    assert linked >= 16 and mean == 1.0
+    got = found_by(g, x, ef)
+    assert all(truth[i, list(h)].all() for i, h in enumerate(got))
+    assert sum(map(len, got)) >= 0.99 * truth.sum()
     one = hnsw.Graph(x[:1], np.arange(1), np.ones(1)).build()
-    assert [h.tolist() for h in one.within(x[:1], 0.9, 32)] == [[0]]
+    assert found_by(one, x[:1], 32) == [{0}]
+
+
+def found_by(g, x, ef):
+    out = [set() for _ in x]
+    for part, r, hit, _ in g.within(x, 0.9, ef):
+        for q, h in zip(part[r].tolist(), hit.tolist(), strict=True):
+            out[q].add(h)
+    return out
 
 
 def test_audit_weighs_queries_alike(monkeypatch):
@@ -202,16 +211,15 @@ def test_audit_weighs_queries_alike(monkeypatch):
     base = rng.normal(size=(41, 32))
     x = np.concatenate([base[:1] + rng.normal(scale=0.02, size=(400, 32)), base[1:], base[1:] + rng.normal(scale=0.02, size=(40, 32))]).astype(np.float32)
     g = hnsw.Graph(x, np.arange(len(x)), np.ones(len(x))).build()
-    within = hnsw.Graph.within
+    others = hnsw.Graph._others
 
     def short(self, raw, threshold, ef):
-        out = within(self, raw, threshold, ef)
-        return out if ef > 32 else [h if len(h) > 2 else h[:0] for h in out]
+        return [h if ef > 32 or len(h) > 1 else set() for h in others(self, raw, threshold, ef)]
 
-    monkeypatch.setattr(hnsw.Graph, "within", short)
-    keys = np.where(np.arange(len(x)) % 16 == 0, 0, 1)
-    got, ef = g.audited(x, keys, 0.9, 0.995)
-    assert ef > 32 and all(len(h) == 2 for h in got[400:])
+    monkeypatch.setattr(hnsw.Graph, "_others", short)
+    ef, linked, mean = g.audited(x, 0.9, 0.995)
+    assert ef > 32 and linked >= 16 and mean >= 0.995
+    assert all(len(h) == 2 for h in found_by(g, x, ef)[400:])
 
 
 def test_forest_spans_the_links():
