@@ -10,7 +10,8 @@ of all filters whatever the embedding's size. Long texts are scored in slabs of
 memory does not grow with a text.
 
 Defined results: null and empty texts are scored as one empty chunk; repeated rows stay
-repeated; without any label of one class the score is the share of the other, smoothed.
+repeated; without any label of one class the score is the share of the other, smoothed; an
+empty table gives an empty result; of other columns only those named here are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .labelled import held_out, training_rows
 
 CHUNK, OVERLAP, WIDTH = 512, 64, 6
 EMBED, FILTERS = 8, 16
-SLAB = 256 * (CHUNK - OVERLAP)
+SLAB_ROWS = 256
+SLAB = SLAB_ROWS * (CHUNK - OVERLAP)
 HELD_OUT_MOD, HELD_OUT_REMAINDER, THRESHOLD = 3, 1, 0.5
 
 
@@ -88,9 +90,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = 12, most_chunks: int = 8, batch: int = 32) -> Model:
-    """Adam on minibatches of documents; each epoch sees up to ``most_chunks`` chunks of a
-    document, drawn anew from its whole length."""
+def _pool(P: dict[str, np.ndarray], rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(pool, taps): the filters' maxima in each chunk and the WIDTH bytes under each maximum."""
+    span = CHUNK + WIDTH
+    pool = np.empty((len(rows), FILTERS), np.float32)
+    taps = np.empty((len(rows), FILTERS, WIDTH), np.uint8)
+    one = [P["emb"] @ P["filt"][j] for j in range(WIDTH)]
+    for k in range(0, len(rows), SLAB_ROWS):
+        part = rows[k : k + SLAB_ROWS]
+        x = np.zeros((len(part), span), np.uint8)
+        live = np.zeros((len(part), CHUNK), bool)
+        for r, raw in enumerate(part):
+            x[r, : len(raw)] = np.frombuffer(raw, np.uint8)
+            live[r, : max(1, len(raw))] = True
+        out = one[0][x[:, :CHUNK]] + P["bias"]
+        for j in range(1, WIDTH):
+            out += one[j][x[:, j : j + CHUNK]]
+        out[~live] = -1e9
+        arg = out.argmax(1)
+        pool[k : k + len(part)] = np.take_along_axis(out, arg[:, None, :], 1)[:, 0]
+        taps[k : k + len(part)] = x[np.arange(len(part))[:, None, None], arg[:, :, None] + np.arange(WIDTH)]
+    return pool, taps
+
+
+def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = 12, batch: int = 32) -> Model:
+    """Adam on minibatches of whole documents: every chunk of a text takes part in every epoch."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     P = {
@@ -105,30 +129,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = 12, mo
     M, V = ({k: np.zeros_like(v) for k, v in P.items()} for _ in range(2))
     raws = [t.encode("utf-8", "replace") for t in texts]
     step = 0
-    span = CHUNK + WIDTH
     for epoch in range(epochs):
         order = rng.permutation(len(raws))
         for k in range(0, len(order), batch):
             ids = order[k : k + batch]
             rows, owner = [], []
             for d, i in enumerate(ids):
-                at = chunk_starts(len(raws[i]))
-                for a in rng.choice(at, min(most_chunks, len(at)), replace=False):
-                    rows.append(raws[i][a : a + CHUNK])
-                    owner.append(d)
+                at = chunk_starts(len(raws[i])).tolist()
+                rows += [raws[i][a : a + CHUNK] for a in at]
+                owner += [d] * len(at)
             own = np.asarray(owner)
-            x = np.zeros((len(rows), span), np.uint8)
-            live = np.zeros((len(rows), CHUNK), bool)
-            for r, raw in enumerate(rows):
-                x[r, : len(raw)] = np.frombuffer(raw, np.uint8)
-                live[r, : max(1, len(raw))] = True
-            one = [P["emb"] @ P["filt"][j] for j in range(WIDTH)]
-            out = one[0][x[:, :CHUNK]] + P["bias"]
-            for j in range(1, WIDTH):
-                out += one[j][x[:, j : j + CHUNK]]
-            out[~live] = -1e9
-            arg = out.argmax(1)
-            pool = np.take_along_axis(out, arg[:, None, :], 1)[:, 0]
+            pool, taps = _pool(P, rows)
             act = np.maximum(pool, 0)
             nd = len(ids)
             first = np.searchsorted(own, np.arange(nd))
@@ -141,15 +152,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = 12, mo
             G = {"head": h.T @ dz + 1e-4 * P["head"], "hb": np.array([dz.sum()], np.float32)}
             dh = dz[:, None] * P["head"][None]
             win = act == top[own]
-            win &= np.cumsum(win, 0) >= 1
             dact = dh[own, :FILTERS] * win + (dh[:, FILTERS:] / count)[own]
             dact *= pool > 0
             G["bias"] = dact.sum(0)
             G["emb"], G["filt"] = np.zeros_like(P["emb"]), np.zeros_like(P["filt"])
-            rr = np.arange(len(rows))[:, None]
             cell = np.arange(FILTERS)[None]
             for j in range(WIDTH):
-                byte = x[rr, arg + j].astype(np.int64)
+                byte = taps[:, :, j].astype(np.int64)
                 dT = np.bincount((byte * FILTERS + cell).ravel(), dact.ravel(), 256 * FILTERS).reshape(256, FILTERS).astype(np.float32)
                 G["emb"] += dT @ P["filt"][j].T
                 G["filt"][j] = P["emb"].T @ dT
