@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Shelf, hot_keys, spread_join, table
 
 #: Odd multipliers, one for each word of a block (fixed values of this filter).
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
@@ -72,9 +72,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     blocks = max(1, -(-stats["n"] // keys_per_block))
 
     host, path = host_and_path(F.col(url_col).cast("string"))
+    shelf = Shelf(pages.sparkSession, "urls")
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    # A hot url is resolved once: partial aggregation precedes the shuffle.
-    keys = rows.where("host <> '' OR path <> ''").groupBy("host", "path").agg(F.lit(1).alias("_one")).select("host", "path")
+    full = rows.where("host <> '' OR path <> ''")
+    # A url is resolved once, however many rows have it: partial aggregation precedes the shuffle.
+    keys = shelf.put(full.groupBy("host", "path").agg(F.count("*").alias("n")))
+    hot = hot_keys(keys, ["host", "path"], keys.agg(F.sum("n")).first()[0] or 0)
 
     labels = F.split("host", r"\.", -1)
     suffix = keys.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("c_host"))
@@ -93,9 +96,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     hits = possible.join(F.broadcast(rules) if small else rules, (F.col("c_host") == F.col("r_host")) & (F.col("c_path") == F.col("r_path")))
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("nh"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("v"))).alias("b")
-    ).select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("b.rule").alias("rule"), F.col("b.v").alias("v"))
-    out = rows.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
-    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
+    ).select("host", "path", F.col("b.rule").alias("rule"), F.col("b.v").alias("v"))
+    # Rows without a url need no join, and rows of one common url are dealt to several tasks.
+    salt = F.col("_id").cast("string")
+    out = spread_join(full.withColumn("_by", F.xxhash64(salt)), best, ["host", "path"], "_by", hot, "left").select("_id", "host", "path", "rule", "v")
+    bare = rows.where("host = '' AND path = ''").select("_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("v"))
+    return out.union(bare).select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("v", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
