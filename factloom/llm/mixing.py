@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Shelf, table
 
 SOURCE_WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -51,7 +51,8 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: float =
         for i in over:
             target[i] = float(most * sizes[i])
         left -= sum(target[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        gone = set(over)
+        open_ = [i for i in open_ if i not in gone]
     return target
 
 
@@ -97,7 +98,7 @@ def _coprime(n: int, seed: int) -> int:
 
 
 def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights: Sequence[float] = SOURCE_WEIGHTS, shard_words: int = 1 << 18, max_shards: int = 1 << 16) -> DataFrame:
-    """``rows`` (with a long ``_size`` and a ``source``) plus _source_size, _target, _taken, and
+    """``rows`` (with longs ``_size`` and ``_hash``, of the text, and a ``source``) plus _source_size, _target, _taken, and
     what a consumer needs to cut them out: _at (its first word in its shard), _n, _q, _a, _b."""
     spark = rows.sparkSession
     sizes = {r["source"]: int(r["s"] or 0) for r in rows.groupBy("source").agg(F.sum("_size").alias("s")).collect()}
@@ -108,8 +109,7 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
     shards = [max(1, -(-w // width)) for w in words]
     key = "coalesce(concat('s', source), 'n')"
     made = spark.createDataFrame([("n" if s is None else "s" + s, n, w, t) for s, n, w, t in zip(names, shards, words, target, strict=True)], "_key string, _shards long, _source_size long, _target double")
-    order = F.xxhash64(F.lit(seed).cast("long"), "doc_id", "_size")
-    rows = rows.withColumn("_key", F.expr(key)).withColumn("_order", order)
+    rows = rows.withColumn("_key", F.expr(key)).withColumn("_order", F.xxhash64(F.lit(seed).cast("long"), "doc_id", "_size", "_hash"))
     made = F.broadcast(made) if len(names) <= BROADCAST_ROWS else made
     rows = rows.join(made, "_key").withColumn("_shard", F.pmod("_order", "_shards"))
 
@@ -131,7 +131,7 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
     few = len(plan) <= BROADCAST_ROWS
     plan = spark.createDataFrame(plan, "_key string, _shard long, _n long, _q long, _a long, _b long")
     rows = rows.join(F.broadcast(plan) if few else plan, ["_key", "_shard"])
-    laid = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id", "_size", *[F.xxhash64(c) for c in ("text",) if c in rows.columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id", "_size", "_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_at", F.sum("_size").over(laid) - F.col("_size"))
     b = block_words
     part = F.expr(
@@ -143,7 +143,8 @@ def plan_mix(rows: DataFrame, *, block_words: int = 64, seed: int = 0, weights:
 
 def mix_plan(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per row."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("_size"))
+    # The words are counted once; what is left to read three times are four narrow columns.
+    rows = Shelf(docs.sparkSession, "sizes").put(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("_size"), F.xxhash64("text").alias("_hash")))
     out = plan_mix(rows, **how)
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
@@ -154,7 +155,7 @@ def mix_documents(docs: DataFrame, *, block_words: int = 64, **how) -> DataFrame
     cols = docs.columns
     # The caller's columns travel in one struct, so none can clash with those of the plan.
     rest = [F.col(f"`{c}`") for c in cols if c not in ("text", "n_chars")]
-    held = docs.select(F.struct(*rest).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), "text", n_words().alias("_size"))
+    held = docs.select(F.struct(*rest).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), "text", n_words().alias("_size"), F.xxhash64("text").alias("_hash"))
     rows = plan_mix(held, block_words=block_words, **how)
     b = block_words
     words = rf"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
