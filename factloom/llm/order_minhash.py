@@ -8,8 +8,8 @@ equal coordinates sensitive to edit distance and not only to the set of k-mers.
 
 The permutations are rotations of one random order: every element has one hash on a circle,
 and coordinate j takes the first l elements from the j-th of m equidistant points on. One
-sort serves all coordinates. Hash and position share a long (40 and 24 bits), so both sorts
-are on primitive arrays.
+sort serves all coordinates. Hash and position share a long (34 and 30 bits: no string of
+2 GB has more words), so both sorts are on primitive arrays.
 
 Defined results: null text counts as empty; an empty text, or one of white space alone, has
 all coordinates 0; a text of fewer than k words is one k-mer; a text of fewer than l k-mers
@@ -28,7 +28,7 @@ from .common import table
 K, L, M = 3, 2, 32
 #: Rows a bucket holds at about; at most so many buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
-_LOW = (1 << 24) - 1
+_LOW = (1 << 30) - 1
 
 
 def _let(value: str, name: str, body: str) -> str:

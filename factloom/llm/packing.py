@@ -171,7 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int =
         rows = rows.select(PIECE).append_column("sequence_id", pa.array([base + b for b, _ in at], pa.int64()))
         return rows.append_column("offset", pa.array([o for _, o in at], pa.int64()))
 
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # The row number of the written table parts rows that are equal in all columns.
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id() % 1024), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -194,7 +194,7 @@ def spark_hash(*values):
 
 
 def brute_signature(text, k, ell, m):
-    low = (1 << 24) - 1
+    low = (1 << 30) - 1
     w = [spark_hash(x.encode()) for x in (text or "").translate({i: " " for i in (9, 10, 11, 12, 13)}).split(" ") if x]
     if not w:
         return [0] * m
