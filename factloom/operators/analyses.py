@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,44 +157,90 @@ def reaching_definitions_at(edges: DataFrame, ins: DataFrame) -> DataFrame:
 
 def access_paths(steps: DataFrame) -> DataFrame:
     """(iid, root, path, n): components from the root to an instruction, first a Deref of the
-    root. ``steps`` is (fn, iid, base, comp): what an instruction adds to its base's path; a
-    null base ends the walk. A function's chains are walked together, each suffix once."""
+    root. ``steps`` is (fn, iid, base, comp): what an instruction adds to its base's path, null for
+    nothing; a null base ends the walk. A function's chains are walked together, each suffix once."""
     import pandas as pd
 
+    none = -(1 << 63)  # a null would turn ids into floats
+
     def run(key, pdf):
-        base = dict(zip(pdf["iid"].tolist(), [None if b != b else int(b) for b in pdf["base"].tolist()], strict=True))
+        base = dict(zip(pdf["iid"].tolist(), [None if b == none else b for b in pdf["base"].tolist()], strict=True))
         comp = dict(zip(pdf["iid"].tolist(), pdf["comp"].tolist(), strict=True))
         done: dict[int, tuple] = {}
-        for i in base:
-            chain = []
+        on: set[int] = set()
+        for start in base:
+            chain, i = [], start
             while i not in done and base.get(i) is not None:
                 chain.append(i)
                 i = base[i]
+                if i in on:  # a cycle, as unreachable code may have: its least member is its root
+                    done[min(chain[chain.index(i) :])] = (min(chain[chain.index(i) :]), ("Deref",))
+                    on.clear()
+                    chain, i = [], start
+                    continue
+                on.add(i)
+            on.clear()
             if i not in done:
                 done[i] = (i, ("Deref",))
             for c in reversed(chain):
                 root, path = done[base[c]]
-                done[c] = (root, (*path, comp[c]))
+                done[c] = (root, path if comp[c] is None else (*path, comp[c]))
         rows = [(i, *done[i][:1], ".".join(done[i][1]), len(done[i][1])) for i in base]
         out = pd.DataFrame(rows, columns=["iid", "root", "path", "n"])
         out.insert(0, "fn", key[0])
         return out
 
-    return steps.groupBy("fn").applyInPandas(run, "fn long, iid long, root long, path string, n long")
+    return steps.withColumn("base", F.coalesce("base", F.lit(none))).groupBy("fn").applyInPandas(run, "fn long, iid long, root long, path string, n long")
 
 
 def append_paths(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of (id, base_type, end_type, comps): comps joined where a ends at b's base type."""
+    """(a, b, base_type, end_type, comps, error) of all pairs whose base types are asked for: comps
+    joined where a ends at b's base type. Paths that fit nothing have one row with the error
+    EndpointTypeMismatch and no partner."""
     x = a.select(F.col("id").alias("a"), F.col("base_type"), F.col("end_type").alias("mid"), F.col("comps").alias("c1"))
     y = b.select(F.col("id").alias("b"), F.col("base_type").alias("mid"), "end_type", F.col("comps").alias("c2"))
-    return x.join(y, "mid").select("a", "b", "base_type", "end_type", F.concat("c1", "c2").alias("comps"))
+    error = F.when(F.col("b").isNull(), F.lit("EndpointTypeMismatch"))
+    return x.join(y, "mid", "left").select("a", "b", "base_type", "end_type", F.when(F.col("b").isNotNull(), F.concat("c1", "c2")).alias("comps"), error.alias("error"))
 
 
 def reduce_path(paths: DataFrame, types: DataFrame) -> DataFrame:
-    """Without the leading component: comps are (type, op, idx) structs and the new base is the
-    type that the second one starts from, or the end type."""
-    nxt = F.when(F.size("comps") > 1, F.element_at("comps", 2)["type"]).otherwise(F.col("end_type"))
-    return paths.where(F.size("comps") > 0).select("id", nxt.alias("base_type"), "end_type", F.slice("comps", 2, F.greatest(F.size("comps") - 1, F.lit(1))).alias("comps"))
+    """(id, base_type, end_type, comps, error): without the leading component. ``types`` is (type,
+    kind, elem, fields) by name: a Deref takes a pointer's element as the new base type, a Field
+    that of a structure's fields, an Array an array's element. Anything else is irreducible."""
+    t = types.select(F.col("type").alias("base_type"), "kind", "elem", "fields")
+    op, at = F.try_element_at("comps", F.lit(1))["op"], F.try_element_at("comps", F.lit(1))["idx"]
+    new = F.when((F.col("kind") == "pointer") & (op == "Deref"), F.col("elem")).when((F.col("kind") == "struct") & (op == "Field"), F.get("fields", at)).when((F.col("kind") == "array") & (op == "Array"), F.col("elem"))
+    out = paths.join(t, "base_type", "left").select("id", new.alias("base_type"), "end_type", "comps")
+    ok = F.col("base_type").isNotNull()
+    rest = F.when(F.size("comps") > 1, F.slice("comps", 2, F.greatest(F.size("comps") - 1, F.lit(1)))).otherwise(F.slice("comps", 1, 0))
+    return out.select("id", "base_type", "end_type", F.when(ok, rest).alias("comps"), F.when(~ok, F.lit("IrreducableAccessPath")).alias("error"))
+
+
+def abstract_paths(paths: DataFrame) -> DataFrame:
+    """(id, base_type, end_type, comps): concrete paths without their base value."""
+    return paths.select("id", "base_type", "end_type", "comps")
+
+
+def follow_paths(paths: DataFrame, constants: DataFrame, most_steps: int = 64) -> DataFrame:
+    """(id, value_id, error): the constant that a path of fields leads to. ``paths`` is (id,
+    value_id, comps), ``constants`` (value_id, ckind, elements). All but constant structures, and
+    fields out of their range, end with NonConstantInPath; components other than fields with
+    CannotFollowPath. Paths of one length take one step, a join, together."""
+    from ..plans.fixpoint import cut
+
+    c = constants.where("ckind = 'struct'").select(F.col("value_id").alias("at"), "elements")
+    todo, out = cut(paths.select("id", F.col("value_id").alias("at"), "comps")), []
+    for _ in range(most_steps):
+        out.append(todo.where("size(comps) = 0").select("id", F.col("at").alias("value_id"), F.lit(None).cast("string").alias("error")))
+        todo = todo.where("size(comps) > 0")
+        other = F.col("comps")[0]["op"] != "Field"
+        step = cut(todo.join(c, "at", "left").withColumn("to", F.when(~other, F.get("elements", F.col("comps")[0]["idx"]))))
+        error = F.when(other, F.lit("CannotFollowPath")).otherwise(F.lit("NonConstantInPath"))
+        out.append(step.where("to IS NULL").select("id", F.lit(None).cast("long").alias("value_id"), error.alias("error")))
+        todo = step.where("to IS NOT NULL").select("id", F.col("to").alias("at"), F.expr("filter(comps, (x, i) -> i > 0)").alias("comps"))
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+    raise ValueError(f"a path has more than {most_steps} components")
 
 
 def externalize_path(paths: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import demangled
+from ..plans.fixpoint import closure, cut
 from ..sources.facts import Program
 from ..sources.schema import EXIT
 
@@ -16,7 +19,7 @@ LABELS = {"true_bb": "true", "false_bb": "false", "case": "equality", "default_b
 
 def terminators(program: Program) -> DataFrame:
     """(inst_id, fn, block): the last instruction of each block."""
-    last = program.instructions.groupBy("fn_id", "block_id").agg(F.max_by("inst_id", "ord").alias("inst_id"))
+    last = program.instructions.where("block_id IS NOT NULL").groupBy("fn_id", "block_id").agg(F.max_by("inst_id", "ord").alias("inst_id"))
     return last.select("inst_id", F.col("fn_id").alias("fn"), F.col("block_id").alias("block"))
 
 
@@ -66,27 +69,88 @@ def increments(program: Program) -> DataFrame:
     return atomic.unionByName(plain).distinct()
 
 
+def value_types(program: Program) -> DataFrame:
+    """(value_id, type_id) of everything that can be an operand."""
+    parts = [
+        program.values.select("value_id", "type_id"),
+        program.globals.select("value_id", "type_id"),
+        program.arguments.select("value_id", "type_id"),
+        program.functions.select(F.col("fn_id").alias("value_id"), "type_id"),
+        program.instructions.select(F.col("inst_id").alias("value_id"), "type_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).where("type_id IS NOT NULL").distinct()
+
+
+def address_indices(program: Program) -> DataFrame:
+    """(inst_id, pos, in_type, kind, value, last): what each index of an address instruction
+    indexes: the base's pointer type at position 0, then the type that the walk has come to.
+    ``value`` is the index where it is constant. The walk takes a join for each position."""
+    geps = program.instructions.where("opcode = 'getelementptr'").select("inst_id")
+    const = program.constants.where("ckind = 'int'").select("value_id", F.col("int_value").alias("value"))
+    index = cut(program.operands.where("role = 'index'").select("inst_id", "pos", "value_id").join(geps, "inst_id", "left_semi").join(const, "value_id", "left").select("inst_id", "pos", "value"))
+    last = index.groupBy("inst_id").agg(F.max("pos").alias("last"))
+    deepest = index.agg(F.max("pos")).first()[0]
+    types = program.types.select(F.col("type_id").alias("in_type"), "kind", "elem_type_id", "fields")
+    base = program.operands.where("role = 'base'").select("inst_id", "value_id").join(value_types(program), "value_id")
+    at, out = base.select("inst_id", F.col("type_id").alias("in_type")), []
+    for pos in range((deepest if deepest is not None else -1) + 1):
+        here = cut(at.join(index.where(F.col("pos") == pos), "inst_id").join(types, "in_type"))
+        out.append(here.select("inst_id", "pos", "in_type", "kind", "value"))
+        inner = F.when(F.col("kind") == "struct", F.get("fields", F.col("value").cast("int"))).otherwise(F.col("elem_type_id"))
+        at = here.select("inst_id", inner.alias("in_type"))
+    if not out:
+        return index.limit(0).select("inst_id", "pos", F.lit(0).cast("long").alias("in_type"), F.lit("").alias("kind"), "value", F.lit(0).alias("last"))
+    return reduce(DataFrame.unionByName, out).join(last, "inst_id")
+
+
 def path_steps(program: Program) -> DataFrame:
     """(fn, iid, base, comp) for ``analyses.access_paths``: what each address instruction adds.
     A one-index address is an Array step; others fold their indices in source order: a first
-    index that is not zero and every sequential type add Array, a structure adds its Field."""
+    index that is not zero and every sequential type add Array, a structure adds its Field. A cast
+    from a union's pointer adds Union, any other nothing."""
     ops = program.operands
-    ins = program.instructions.select("inst_id", "fn_id", "opcode", "type_id")
-    names = program.types.select("type_id", "struct_name", F.col("kind").alias("tkind"))
+    ins = program.instructions.select("inst_id", "fn_id", "opcode")
     pick = lambda role: ops.where(F.col("role") == role).select("inst_id", F.col("value_id").alias("base"))
     load = ins.where("opcode = 'load'").join(pick("address"), "inst_id").withColumn("comp", F.lit("Deref"))
-    union = F.coalesce(F.col("struct_name").startswith("union."), F.lit(False))
-    cast = ins.where("opcode = 'bitcast'").join(pick("casted"), "inst_id").join(names, "type_id", "left").withColumn("comp", F.when(union, F.lit("Union")))
-    index = ops.where("role IN ('index', 'field')").select("inst_id", "role", "pos", "value_id")
-    const = program.constants.select("value_id", "int_value")
-    index = index.join(const, "value_id", "left")
-    each = F.struct("pos", F.when(F.col("role") == "field", F.concat(F.lit("Field"), F.col("pos").cast("string"))).when((F.col("pos") == 0) & (F.coalesce("int_value", F.lit(-1)) == 0), F.lit("")).otherwise(F.lit("Array")).alias("c"))
-    folded = index.groupBy("inst_id").agg(F.sort_array(F.collect_list(each)).alias("l")).select("inst_id", F.when(F.size("l") == 1, F.lit("Array")).otherwise(F.array_join(F.filter(F.transform("l", lambda x: x["c"]), lambda x: x != ""), ".")).alias("comp"))
-    gep = ins.where("opcode = 'getelementptr'").join(pick("base"), "inst_id").join(folded, "inst_id")
+    unions = program.types.where("startswith(struct_name, 'union.')").select(F.col("type_id").alias("elem_type_id"))
+    to_union = program.types.where("kind = 'pointer'").join(unions, "elem_type_id", "left_semi").select("type_id")
+    of_union = value_types(program).join(to_union, "type_id", "left_semi").select(F.col("value_id").alias("base"), F.lit("Union").alias("comp"))
+    cast = ins.where("opcode = 'bitcast'").join(pick("casted"), "inst_id").join(of_union, "base", "left")
+    word = F.when(F.col("pos") == 0, F.when((F.col("last") == 0) | (F.coalesce("value", F.lit(-1)) != 0), "Array").otherwise("")).when(F.col("kind") == "struct", F.concat(F.lit("Field"), F.col("value").cast("string"))).otherwise("Array")
+    each = F.struct("pos", word.alias("c"))
+    folded = address_indices(program).groupBy("inst_id").agg(F.sort_array(F.collect_list(each)).alias("l")).select("inst_id", F.array_join(F.filter(F.transform("l", lambda x: x["c"]), lambda x: x != ""), ".").alias("comp"))
+    gep = ins.where("opcode = 'getelementptr'").join(pick("base"), "inst_id").join(folded, "inst_id").withColumn("comp", F.when(F.col("comp") != "", F.col("comp")))
     cols = [F.col("fn_id").alias("fn"), F.col("inst_id").alias("iid"), "base", "comp"]
     return load.select(*cols).unionByName(cast.select(*cols)).unionByName(gep.select(*cols))
 
 
+def memory_steps(program: Program) -> DataFrame:
+    """(fn, iid, value) of memory instructions: the value whose path is the instruction's access
+    path. Loads, stores, compare-and-exchange and read-modify-write describe what they touch, an
+    address instruction what it computes, a cast what it casts where that is one of these. Other
+    instructions have no path and no row."""
+    ops, ins = program.operands, program.instructions.select("inst_id", "fn_id", "opcode")
+    role = F.when(F.col("opcode").isin("load", "store"), "address").when(F.col("opcode").isin("cmpxchg", "atomicrmw"), "pointer")
+    touch = ins.withColumn("role", role).join(ops.select("inst_id", "role", "value_id"), ["inst_id", "role"]).select("inst_id", "fn_id", "value_id")
+    gep = ins.where("opcode = 'getelementptr'").select("inst_id", "fn_id", F.col("inst_id").alias("value_id"))
+    own = touch.unionByName(gep)
+    # A cast is seen through as far as it casts casts.
+    hops = ins.where("opcode = 'bitcast'").join(ops.where("role = 'casted'").select("inst_id", "value_id"), "inst_id").select(F.col("inst_id").alias("src"), F.col("value_id").alias("dst"))
+    seen = closure(hops).join(own.select(F.col("inst_id").alias("dst"), "value_id"), "dst").join(ins.select(F.col("inst_id").alias("src"), "fn_id"), "src").select(F.col("src").alias("inst_id"), "fn_id", "value_id")
+    return own.unionByName(seen).select(F.col("fn_id").alias("fn"), F.col("inst_id").alias("iid"), F.col("value_id").alias("value"))
+
+
+def memory_paths(program: Program) -> DataFrame:
+    """(fn, iid, root, path, n) of every memory instruction."""
+    from .analyses import access_paths
+
+    steps, asked = path_steps(program), memory_steps(program)
+    # Roots are asked for as values that take no step.
+    roots = asked.select("fn", F.col("value").alias("iid")).distinct().join(steps.select("fn", "iid"), ["fn", "iid"], "left_anti").select("fn", "iid", F.lit(None).cast("long").alias("base"), F.lit(None).cast("string").alias("comp"))
+    paths = access_paths(steps.unionByName(roots)).withColumnRenamed("iid", "value")
+    return asked.join(paths, ["fn", "value"]).select("fn", "iid", "root", "path", "n")
+
+
 def class_parents(program: Program) -> DataFrame:
     """(parent, child) names: typeinfo globals that another typeinfo's initializer names."""
     info = program.globals.select("value_id", "init_value_id", demangled("name").alias("d")).where("d.kind = 'typeinfo'").select("value_id", "init_value_id", F.col("d.name").alias("name"))

@@ -157,7 +157,9 @@ class Dataflow:
         while todo:
             b = todo.popleft()
             new = self.top
-            given = dict(self.edge(None, blocks[b][-1])) if self.edge and blocks.get(b) else {}
+            given: dict[int, Any] = {}
+            for t, f in self.edge(None, blocks[b][-1]) if self.edge and blocks.get(b) else ():
+                given[t] = self.meet(given[t], f) if t in given else f
             for t in suc.get(b, ()):
                 if t in fact:
                     new = self.meet(new, self.meet(fact[t], given[t]) if t in given else fact[t])

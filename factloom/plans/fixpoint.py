@@ -6,6 +6,7 @@ executors share: lineage stays short and a lost executor costs one round, not al
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir; a folder of our own only where it names none."""
+    """The session's spark.checkpoint.dir; a folder of our own only in local mode, where it names
+    none (executors of a cluster would not share it)."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
 
 

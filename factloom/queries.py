@@ -263,8 +263,8 @@ store_ AS (SELECT DISTINCT a AS x, b AS y FROM x WHERE op = 'error' AND k % 3 =
     proxy_ctes(
         AND,
         """pts AS (SELECT x, l FROM addr_ UNION (SELECT c.x, p.l FROM copy_ c JOIN recurring.pts p ON p.x = c.y
-  UNION SELECT d.x, h.l FROM load_ d JOIN recurring.pts m ON m.x = d.y JOIN recurring.pts h ON h.x = m.l + 1099511627776
-  UNION SELECT m.l + 1099511627776, v.l FROM store_ s JOIN recurring.pts m ON m.x = s.x JOIN recurring.pts v ON v.x = s.y))""",
+  UNION SELECT d.x, h.l FROM load_ d JOIN recurring.pts m ON m.x = d.y JOIN recurring.pts h ON h.x = m.l + 1152921504606846976
+  UNION SELECT m.l + 1152921504606846976, v.l FROM store_ s JOIN recurring.pts m ON m.x = s.x JOIN recurring.pts v ON v.x = s.y))""",
     )
     + " SELECT x, l FROM pts"
 )

@@ -1,8 +1,6 @@
 """Small hand-encoded instruction facts."""
 
-from factloom.operators import analyses as A
 from factloom.operators import ir
-from factloom.operators import pointsto as P
 from factloom.sources.facts import Program
 
 
@@ -14,26 +12,6 @@ def pairs(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_pointer_copies_calls_and_fields(spark):
-    # globals a b p q pp (101..105); f(x) { *x = &b; }  main: p = &a; q = p; pp = &p; fp = f; (*fp)(pp); s.f1 = &a
-    p = Program.from_rows(
-        spark,
-        globals=[(101, "a", "global", 0, None), (102, "b", "global", 0, None), (103, "p", "global", 0, None), (104, "q", "global", 0, None), (105, "pp", "global", 0, None), (106, "fp", "global", 0, 2)],
-        functions=[("m", 1, "main", False, 0), ("m", 2, "f", False, 0)],
-        arguments=[(2, 0, 201, "x", 0)],
-        instructions=[inst(11, "store"), inst(12, "load"), inst(13, "store"), inst(14, "store"), inst(15, "load"), inst(16, "load"), inst(17, "call"), inst(18, "getelementptr"), inst(19, "store"), inst(21, "store", fn=2, block=20)],
-        operands=[
-            (11, "address", 0, 103, None), (11, "value", 0, 101, None), (12, "address", 0, 103, None), (13, "address", 0, 104, None), (13, "value", 0, 12, None),
-            (14, "address", 0, 105, None), (14, "value", 0, 103, None), (15, "address", 0, 106, None), (16, "address", 0, 105, None), (17, "callee", 0, 15, None), (17, "arg", 0, 16, None),
-            (18, "base", 0, 107, None), (18, "field", 1, 50, None), (19, "address", 0, 18, None), (19, "value", 0, 101, None), (21, "address", 0, 201, None), (21, "value", 0, 102, None),
-        ],
-    )
-    a = P.Andersen(p)
-    got = {(x, y) for x, y in pairs(a.held(a.solve()))}
-    assert {(103, 101), (103, 102), (104, 101), (104, 102), (105, 103), (106, 2), (201, 103)} <= got
-    assert (-(50 * P.FIELDS + 2), 101) in got and not {(101, x) for _, x in got} & got
-
-
 def test_flow_edges_and_null_tests(spark):
     # b10: c = icmp eq v, null; br c, b11, b12   b11: ret   b12: invoke ... b13 unwind b14
     p = Program.from_rows(
@@ -71,20 +49,6 @@ def test_increments(spark):
     assert pairs(ir.increments(p)) == [(12, 80, 1), (15, 80, 1), (18, 80, 1), (21, 80, -1), (28, 81, -1)]
 
 
-def test_paths_of_a_structure_field(spark):
-    # p: load a; gep p 0, field 1; load
-    p = Program.from_rows(
-        spark,
-        instructions=[inst(1, "load"), inst(2, "getelementptr"), inst(3, "load"), inst(4, "getelementptr"), inst(5, "load")],
-        operands=[(1, "address", 0, 70, None), (2, "base", 0, 1, None), (2, "index", 0, 90, None), (2, "field", 1, 50, None), (3, "address", 0, 2, None), (4, "base", 0, 3, None), (4, "index", 0, 91, None), (5, "address", 0, 4, None)],
-        constants=[(90, "int", 0, None, None)],
-    )
-    steps = ir.path_steps(p)
-    roots = spark.createDataFrame([(1, 70, None, None)], steps.schema)
-    got = {r["iid"]: (r["root"], r["path"]) for r in A.access_paths(steps.union(roots)).collect()}
-    assert got[2] == (70, "Deref.Deref.Field1") and got[5] == (70, "Deref.Deref.Field1.Deref.Array.Deref")
-
-
 def test_classes_from_globals(spark):
     p = Program.from_rows(
         spark,

@@ -82,7 +82,23 @@ def test_path_append_reduce_externalize(spark):
     a = spark.createDataFrame([(1, "%struct.T.3", "i32", [("%struct.T.3", "Deref", None), ("T", "Field", 1)])], schema)
     b = spark.createDataFrame([(2, "i32", "i8", [("i32", "Array", None)]), (3, "i64", "i8", [])], schema)
     got = A.append_paths(a, b).collect()
-    assert len(got) == 1 and (got[0]["b"], got[0]["end_type"], len(got[0]["comps"])) == (2, "i8", 3)
-    red = A.reduce_path(a, None).first()
-    assert red["base_type"] == "T" and len(red["comps"]) == 1
+    assert len(got) == 1 and (got[0]["b"], got[0]["end_type"], len(got[0]["comps"]), got[0]["error"]) == (2, "i8", 3, None)
+    none = A.append_paths(b, a).collect()
+    assert [(r["a"], r["b"], r["error"]) for r in sorted(none)] == [(2, None, "EndpointTypeMismatch"), (3, None, "EndpointTypeMismatch")]
+    types = spark.createDataFrame([("%struct.T.3", "pointer", "T", None), ("T", "struct", None, ["i8", "i32"]), ("A", "array", "i64", None)], "type string, kind string, elem string, fields array<string>")
+    more = spark.createDataFrame([(4, "T", "i32", [("T", "Field", 1)]), (5, "T", "i32", [("T", "Field", 2)]), (6, "A", "i64", [("A", "Array", None)]), (7, "A", "i64", []), (8, "i32", "i32", [("i32", "Deref", None)])], schema)
+    red = {r["id"]: (r["base_type"], None if r["comps"] is None else len(r["comps"]), r["error"]) for r in A.reduce_path(a.union(more), types).collect()}
+    bad = (None, None, "IrreducableAccessPath")
+    assert red == {1: ("T", 1, None), 4: ("i32", 0, None), 5: bad, 6: ("i64", 0, None), 7: bad, 8: bad}
     assert A.externalize_path(a).first()["name"] == "T"
+    assert A.abstract_paths(a).columns == ["id", "base_type", "end_type", "comps"]
+
+
+def test_paths_are_followed_into_constants(spark):
+    consts = spark.createDataFrame([(1, "struct", [2, 3]), (2, "int", None), (3, "struct", [2, 4]), (4, "null", None)], "value_id long, ckind string, elements array<long>")
+    f, d = (lambda i: ("t", "Field", i)), ("t", "Deref", None)
+    rows = [(10, 1, []), (11, 1, [f(0)]), (12, 1, [f(1), f(1)]), (13, 1, [f(2)]), (14, 1, [f(0), f(0)]), (15, 1, [f(1), d])]
+    paths = spark.createDataFrame(rows, "id long, value_id long, comps array<struct<type: string, op: string, idx: int>>")
+    got = {r["id"]: (r["value_id"], r["error"]) for r in A.follow_paths(paths, consts).collect()}
+    bad = (None, "NonConstantInPath")
+    assert got == {10: (1, None), 11: (2, None), 12: (4, None), 13: bad, 14: bad, 15: (None, "CannotFollowPath")}
