@@ -89,6 +89,32 @@ def block_returns(edges: DataFrame, returned: DataFrame) -> tuple[DataFrame, Dat
     return both.where("NOT poisoned").select("fn", "block", "value"), both.where("poisoned").select("fn", "block")
 
 
+def instruction_returns(ins: DataFrame, returns: DataFrame) -> DataFrame:
+    """(fn, iid, value): the one value that a function returns once an instruction has run, where
+    its block must return one. ``ins`` is (fn, b, iid), ``returns`` (fn, block, value)."""
+    return ins.select("fn", F.col("b").alias("block"), "iid").join(returns, ["fn", "block"]).select("fn", "iid", "value")
+
+
+def may_return(edges: DataFrame, returned: DataFrame) -> DataFrame:
+    """(fn, block, value): every value that some path from a block returns."""
+    import pandas as pd
+
+    def run(key, left, right):
+        _, pre = K.adjacency(zip(left["src"].tolist(), left["dst"].tolist(), strict=True))
+        rows = {(b, v) for r, v in zip(right["block"].tolist(), right["value"].tolist(), strict=True) for b in (r, *K.reachable(pre, r))}
+        out = pd.DataFrame(sorted(rows), columns=["block", "value"])
+        out.insert(0, "fn", key[0])
+        return out
+
+    return edges.groupBy("fn").cogroup(returned.groupBy("fn")).applyInPandas(run, "fn long, block long, value long")
+
+
+def at_instructions(facts: DataFrame, ins: DataFrame) -> DataFrame:
+    """Facts of a block's entry, (fn, block, ...), at each of its instructions: for analyses whose
+    facts change on edges only."""
+    return ins.select("fn", F.col("b").alias("block"), "iid").join(facts, ["fn", "block"])
+
+
 def scalar_effects(edges: DataFrame, ins: DataFrame, compat: bool = False) -> DataFrame:
     """(fn, arg, effect): arguments whose memory every path to the exit changes by +1 or -1
     (the last change counts). ``ins`` has arg and effect, null where an instruction has none.
@@ -114,9 +140,7 @@ def _union(a, b):
     return b if a is None else a if b is None else a | b
 
 
-def liveness(edges: DataFrame, ins: DataFrame) -> DataFrame:
-    """(fn, block, var) live where the block starts. ``ins`` has use_var and def_var or null."""
-
+def _live() -> K.Dataflow:
     def transfer(f, i):
         f = f or frozenset()
         if i["def_var"] == i["def_var"] and i["def_var"] is not None:
@@ -125,10 +149,26 @@ def liveness(edges: DataFrame, ins: DataFrame) -> DataFrame:
             f = f | {int(i["use_var"])}
         return f
 
+    return K.Dataflow(None, frozenset(), _union, transfer, forward=False)
+
+
+def liveness(edges: DataFrame, ins: DataFrame) -> DataFrame:
+    """(fn, block, var) live where the block starts. ``ins`` has use_var and def_var or null."""
+
     def emit(a, blocks, facts, suc):
         return ((b, v) for b, f in facts.items() if f and b != K.EXIT for v in f)
 
-    return dataflow(edges, ins, lambda: K.Dataflow(None, frozenset(), _union, transfer, forward=False), emit, "block long, var long")
+    return dataflow(edges, ins, _live, emit, "block long, var long")
+
+
+def live_at(edges: DataFrame, ins: DataFrame) -> DataFrame:
+    """(fn, iid, n_live): variables live at the point before each instruction; none in blocks from
+    which no path leaves the function."""
+
+    def emit(a, blocks, facts, suc):
+        return ((int(i["iid"]), len(f or ())) for b, body in blocks.items() for i, f in zip(body, a.at(blocks, facts, suc, b), strict=True))
+
+    return dataflow(edges, ins, _live, emit, "iid long, n_live long")
 
 
 def _reaching() -> K.Dataflow:

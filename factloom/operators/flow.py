@@ -111,6 +111,36 @@ def instruction_edges(ins: DataFrame, edges: DataFrame, per_block: int = 4) -> D
     return inner.union(jumps.select(F.col("term").alias("src"), F.coalesce("head", F.lit(-1)).alias("dst")))
 
 
+def instruction_immediate_dominators(ins: DataFrame, idom: DataFrame, column: str = "idom", post: bool = False) -> DataFrame:
+    """(fn, iid, idom): the instruction before (after) it in its block, or the last (first) one of
+    the block's immediate (post)dominator. ``ins`` is (fn, b, ord, iid), ``idom`` (fn, block,
+    idom). The first of the entry, and what stands alone in unreachable blocks, have no row."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("fn", "b").orderBy(F.col("ord").desc() if post else F.col("ord"))
+    i = ins.select("fn", "b", "ord", "iid").withColumn("prev", F.lag("iid").over(w))
+    inner = i.where("prev IS NOT NULL").select("fn", "iid", F.col("prev").alias("idom"))
+    head = i.where("prev IS NULL").select("fn", F.col("b").alias("block"), "iid")
+    pick = F.min_by if post else F.max_by
+    last = ins.groupBy("fn", "b").agg(pick("iid", "ord").alias("last"))
+    up = idom.select("fn", "block", F.col(column).alias("b")).join(last, ["fn", "b"])
+    live = idom.select("fn", "block").distinct()
+    # Within blocks that cannot be reached nothing dominates anything; the entry's own are kept.
+    reach = live.unionByName(idom.select("fn", F.col(column).alias("block"))).distinct()
+    inner = inner.join(i.select("iid", F.col("b").alias("block")), "iid").join(reach, ["fn", "block"], "left_semi").select("fn", "iid", "idom")
+    return inner.unionByName(head.join(up, ["fn", "block"]).select("fn", "iid", F.col("last").alias("idom")))
+
+
+def instruction_dominators(ins: DataFrame, dom: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(fn, iid, dom): all instructions before one in its block, and all of its strictly dominating
+    blocks (fn, block, dom). ``reachable`` is (fn, block)."""
+    i = ins.select("fn", "b", "ord", "iid")
+    j = i.select("fn", F.col("b").alias("b2"), F.col("ord").alias("ord2"), F.col("iid").alias("dom"))
+    own = i.join(j.withColumnRenamed("b2", "b"), ["fn", "b"]).where("ord2 < ord").join(reachable.withColumnRenamed("block", "b"), ["fn", "b"], "left_semi").select("fn", "iid", "dom")
+    above = i.join(dom.select("fn", F.col("block").alias("b"), F.col("dom").alias("b2")), ["fn", "b"]).join(j, ["fn", "b2"]).select("fn", "iid", "dom")
+    return own.unionByName(above)
+
+
 def dataflow(edges: DataFrame, ins: DataFrame, analysis: Callable[[], K.Dataflow], emit: Callable, columns: str, entry: int = 0) -> DataFrame:
     """Runs an analysis in every function. ``ins`` has (fn, b, ord, ...); an instruction is a
     dict of its other columns. ``emit(analysis, blocks, facts, suc)`` gives the result rows."""

@@ -204,3 +204,60 @@ def vtable_slots(program: Program, pointer_bits: int = 64) -> DataFrame:
     s4 = site.join(cast, F.col("la") == F.col("bc")).join(one, F.col("bt") == F.col("g")).join(inner, F.col("gb") == F.col("c2")).join(from_gep, F.col("ct") == F.col("table")).where("obj = this")
     s4 = s4.select("inst_id", "this", F.expr(f"k * 8 div {pointer_bits}").alias("slot"))
     return s1.unionByName(s2).unionByName(s3).unionByName(s4).distinct()
+
+
+def function_nodes(program: Program) -> DataFrame:
+    """(fn): every function of the call graph, whether it is called or not."""
+    return program.functions.select(F.col("fn_id").alias("fn")).distinct()
+
+
+def loads_libraries(program: Program) -> DataFrame:
+    """(module_id, uses_dlopen): whether a module names the function that loads libraries."""
+    return program.functions.groupBy("module_id").agg(F.max(F.col("name") == "dlopen").alias("uses_dlopen"))
+
+
+def module_constructors(program: Program) -> DataFrame:
+    """(fn): functions that run before main: the second member of each entry of the list of
+    constructors, seen through a cast."""
+    start = program.globals.where("name = 'llvm.global_ctors' AND init_value_id IS NOT NULL").select(F.col("init_value_id").alias("value_id"))
+    parts = program.constants.select("value_id", "elements")
+    entry = start.join(parts, "value_id").select(F.explode("elements").alias("value_id"))
+    member = entry.join(parts, "value_id").select(F.get("elements", F.lit(1)).alias("value_id"))
+    casts = program.operands.where("role = 'casted'").select(F.col("inst_id").alias("value_id"), F.col("value_id").alias("to"))
+    return member.join(casts, "value_id", "left").select(F.coalesce("to", "value_id").alias("fn")).join(function_nodes(program), "fn", "left_semi").distinct()
+
+
+def function_parameters(program: Program) -> DataFrame:
+    """(type_id, pos, parameter): parameter types of function types and of pointers to them."""
+    own = program.types.where("kind = 'function'").select("type_id", "fields")
+    to = program.types.where("kind = 'pointer'").select(F.col("type_id").alias("p"), F.col("elem_type_id").alias("type_id")).join(own, "type_id").select(F.col("p").alias("type_id"), "fields")
+    return own.unionByName(to).select("type_id", F.posexplode("fields").alias("pos", "parameter"))
+
+
+def function_pointers(program: Program) -> DataFrame:
+    """(value_id): values whose type is a pointer to a function."""
+    fns = program.types.where("kind = 'function'").select(F.col("type_id").alias("elem_type_id"))
+    return value_types(program).join(program.types.where("kind = 'pointer'").join(fns, "elem_type_id", "left_semi").select("type_id"), "type_id", "left_semi").select("value_id")
+
+
+def first_instructions(program: Program, condition: str) -> DataFrame:
+    """(fn, inst_id): the first instruction of each function, in the order of its blocks, that
+    meets an SQL condition."""
+    found = program.instructions.where("block_id IS NOT NULL").where(condition)
+    return found.groupBy(F.col("fn_id").alias("fn")).agg(F.min_by("inst_id", F.struct("block_id", "ord")).alias("inst_id"))
+
+
+def load_targets(program: Program) -> DataFrame:
+    """(value_id, target): the address that a load loads from; other values have no row."""
+    return program.instructions.where("opcode = 'load'").select("inst_id").join(program.operands.where("role = 'address'").select("inst_id", "value_id"), "inst_id").select(F.col("inst_id").alias("value_id"), F.col("value_id").alias("target"))
+
+
+#: The allocator and the release of standard C.
+C_ALLOCATORS, C_RELEASES = ("malloc", "calloc"), ("free",)
+
+
+def allocations(program: Program, allocators: tuple[str, ...] = C_ALLOCATORS, releases: tuple[str, ...] = C_RELEASES) -> DataFrame:
+    """(inst_id, fn, kind): direct calls of allocators, and of what releases memory."""
+    named = program.functions.select(F.col("fn_id").alias("value_id"), F.when(F.col("name").isin(*allocators), "allocates").when(F.col("name").isin(*releases), "releases").alias("kind")).where("kind IS NOT NULL")
+    calls = program.instructions.where("opcode IN ('call', 'invoke')").select("inst_id", F.col("fn_id").alias("fn"))
+    return calls.join(program.operands.where("role = 'callee'").select("inst_id", "value_id"), "inst_id").join(named, "value_id").select("inst_id", "fn", "kind")

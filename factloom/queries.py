@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from .functions import dot
 from .operators import analyses as A
 from .operators import callgraph as C
-from .operators import flow
+from .operators import flow, ir
 from .operators import pointsto as P
 from .operators.icfg import icfg
 from .operators.ifds import Problem
 from .plans.fixpoint import closure
+from .sources import event_facts as X
 from .sources.facts import EventProgram, proxy_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -504,3 +505,157 @@ def dot_callgraph(p):
 
 
 __all__ = ["QUERIES", "SQL", "closure"]
+
+# -- at instructions ----------------------------------------------------------------------------
+@query(f"{proxy_ctes(FLOW, PLIVE, PAVOID, PDOM)} SELECT c.fn, c.dst AS a, c.src AS b, (c.src = c.dst OR EXISTS (SELECT 1 FROM pdom d WHERE d.fn = c.fn AND d.dom = c.dst AND d.block = c.src)) AS dominates FROM cfg c")
+def postdominates(p):
+    return flow.dominates(p.flow, p.cfg.select("fn", F.col("dst").alias("a"), F.col("src").alias("b")), post=True)
+
+
+IDOM = """dep AS (SELECT fn, block, count(*) AS n FROM dom GROUP BY fn, block),
+idm AS (SELECT d.fn, d.block, max_by(d.dom, coalesce(x.n, 0)) AS idom FROM dom d LEFT JOIN dep x ON x.fn = d.fn AND x.block = d.dom GROUP BY d.fn, d.block)"""
+
+
+@query(
+    f"""{proxy_ctes(LIVE, AVOID, DOM, IDOM)} SELECT z.fn, z.iid, a.iid AS idom FROM ins z JOIN live l ON l.fn = z.fn AND l.block = FLOOR(z.ord / 4.0) JOIN ins a ON a.fn = z.fn AND a.ord = z.ord - 1 WHERE z.ord % 4 <> 0 AND EXISTS (SELECT 1 FROM idm w WHERE w.fn = z.fn)
+UNION ALL SELECT z.fn, z.iid, k.tid FROM ins z JOIN idm m ON m.fn = z.fn AND m.block = FLOOR(z.ord / 4.0) JOIN blk k ON k.fn = m.fn AND k.b = m.idom WHERE z.ord % 4 = 0"""
+)
+def idom_inst(p):
+    return flow.instruction_immediate_dominators(_blocks(p), flow.immediate_dominators(p.cfg))
+
+
+@query(
+    f"""{proxy_ctes(LIVE, AVOID, DOM)}, i AS (SELECT fn, iid, ord, CAST(FLOOR(ord / 4.0) AS BIGINT) AS b FROM ins)
+SELECT z.fn, z.iid, a.iid AS dom FROM i z JOIN live l ON l.fn = z.fn AND l.block = z.b JOIN i a ON a.fn = z.fn AND a.b = z.b AND a.ord < z.ord
+UNION ALL SELECT z.fn, z.iid, a.iid FROM i z JOIN dom d ON d.fn = z.fn AND d.block = z.b JOIN i a ON a.fn = d.fn AND a.b = d.dom"""
+)
+def dominators_inst(p):
+    return flow.instruction_dominators(_blocks(p), flow.dominators(p.cfg), flow.reachable_from_entry(p.flow))
+
+
+LABEL = """lab AS (SELECT fn, b AS block, tid % 16 AS value FROM blk WHERE term = 'purchase'
+  UNION SELECT c.fn, c.src, l.value FROM lab l JOIN flow c ON c.fn = l.fn AND c.dst = l.block JOIN pdom d ON d.fn = c.fn AND d.block = c.src AND d.dom = l.block)"""
+
+
+def _returned(p: EventProgram) -> DataFrame:
+    return p.blk.where("term = 'purchase'").select("fn", F.col("b").alias("block"), (F.col("tid") % 16).alias("value"))
+
+
+@query(
+    f"""{proxy_ctes(FLOW, PLIVE, PAVOID, PDOM, LABEL)} SELECT DISTINCT c.fn, c.src AS block FROM lab l JOIN flow c ON c.fn = l.fn AND c.dst = l.block
+WHERE NOT EXISTS (SELECT 1 FROM pdom d WHERE d.fn = c.fn AND d.block = c.src AND d.dom = l.block) AND NOT EXISTS (SELECT 1 FROM lab z WHERE z.fn = c.fn AND z.block = c.src)"""
+)
+def poisoned_blocks(p):
+    return A.block_returns(p.flow, _returned(p))[1]
+
+
+@query(f"{proxy_ctes(FLOW, PLIVE, PAVOID, PDOM, LABEL)} SELECT i.fn, i.iid, l.value FROM ins i JOIN lab l ON l.fn = i.fn AND l.block = FLOOR(i.ord / 4.0)")
+def instruction_return(p):
+    return A.instruction_returns(_blocks(p), A.block_returns(p.flow, _returned(p))[0])
+
+
+@query(
+    f"""{proxy_ctes(FLOW)}, m AS (SELECT fn, b AS block, tid % 16 AS value FROM blk WHERE term = 'purchase' UNION SELECT c.fn, c.src, m.value FROM m JOIN flow c ON c.fn = m.fn AND c.dst = m.block)
+SELECT fn, block, value FROM m"""
+)
+def may_return(p):
+    return A.may_return(p.flow, _returned(p))
+
+
+@query(
+    f"""{proxy_ctes(FLOW, PLIVE, DEFS)}, lv AS (SELECT DISTINCT u.fn, u.b AS block, u.uv AS var FROM i u JOIN plive r ON r.fn = u.fn AND r.block = u.b WHERE u.uv IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM i d WHERE d.fn = u.fn AND d.b = u.b AND d.ord < u.ord AND d.dv = u.uv)
+  UNION SELECT c.fn, c.src, l.var FROM lv l JOIN cfg c ON c.fn = l.fn AND c.dst = l.block WHERE NOT EXISTS (SELECT 1 FROM kill z WHERE z.fn = c.fn AND z.b = c.src AND z.v = l.var)),
+pt AS (SELECT a.iid, u.uv AS v FROM i a JOIN plive r ON r.fn = a.fn AND r.block = a.b JOIN i u ON u.fn = a.fn AND u.b = a.b AND u.ord >= a.ord AND u.uv IS NOT NULL
+    WHERE NOT EXISTS (SELECT 1 FROM i d WHERE d.fn = a.fn AND d.b = a.b AND d.ord >= a.ord AND d.ord < u.ord AND d.dv = u.uv)
+  UNION SELECT a.iid, l.var FROM i a JOIN cfg c ON c.fn = a.fn AND c.src = a.b JOIN lv l ON l.fn = c.fn AND l.block = c.dst WHERE NOT EXISTS (SELECT 1 FROM i d WHERE d.fn = a.fn AND d.b = a.b AND d.ord >= a.ord AND d.dv = l.var))
+SELECT i.fn, i.iid, count(pt.v) AS n_live FROM i LEFT JOIN pt ON pt.iid = i.iid GROUP BY i.fn, i.iid"""
+)
+def live_at(p):
+    return A.live_at(p.flow, _defs(p))
+
+
+# -- queries over instruction facts ---------------------------------------------------------------
+QUADS = f"quad AS ({X.QUAD})"
+
+
+def _kinds(src: str, rows: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT k.fn, k.b AS src, {dst} AS dst, '{kind}' AS kind FROM blk k JOIN fns f ON f.fn = k.fn WHERE {where}" for dst, kind, where in rows)
+
+
+FACT_FLOW = _kinds(
+    "blk",
+    [
+        ("LEAST(k.b + 2 + k.tid % 3, f.mb)", "true", "k.term = 'click' AND k.b < f.mb"), ("k.b + 1", "false", "k.term = 'click' AND k.b < f.mb"), ("k.b + 1", "other", "k.term = 'error' AND k.b < f.mb"),
+        ("GREATEST(k.b - 2, 0)", "equality", "k.term = 'error' AND k.b < f.mb"), ("k.b + 1", "other", "k.term IN ('view', 'signup') AND k.b < f.mb"), ("-1", "other", "k.term = 'purchase' OR k.b = f.mb"),
+    ],
+)
+
+
+@query(f"{proxy_ctes()} SELECT fn + {X.FN} AS fn, src, dst, kind FROM ({FACT_FLOW})")
+def ir_flow_edges(p):
+    return ir.flow_edges(X.facts(p)).select("fn", "src", "dst", "kind")
+
+
+@query(
+    f"{proxy_ctes(QUADS)} SELECT q.fn + {X.FN} AS fn, q.b, q.i0 AS value, CASE WHEN q.k1 % 3 = 0 THEN LEAST(q.b + 2 + q.i3 % 3, f.mb) ELSE q.b + 1 END AS null_block, "
+    "CASE WHEN q.k1 % 3 = 0 THEN q.b + 1 ELSE LEAST(q.b + 2 + q.i3 % 3, f.mb) END AS other_block FROM quad q JOIN fns f ON f.fn = q.fn JOIN blk k ON k.fn = q.fn AND k.b = q.b "
+    "WHERE q.t = 1 AND k.term = 'click' AND q.b < f.mb AND q.k1 % 3 < 2 AND (q.k1 % 2 = 0 OR q.k1 % 5 <> 0)"
+)
+def ir_null_tests(p):
+    return ir.branch_null_tests(X.facts(p))
+
+
+@query(
+    f"""{proxy_ctes(QUADS)}, e AS (SELECT i2, fn, k0, k1, k2, {X.ADDED} AS c FROM quad WHERE t = 0)
+SELECT i2 AS inst_id, {X.slot("k0")} AS address, CAST(CASE WHEN k1 % 2 = 0 THEN c ELSE -c END AS BIGINT) AS effect FROM e WHERE c <> 2 AND k2 % 4 <> 0 AND (k1 % 2 = 0 OR k1 % 3 <> 0)
+UNION ALL SELECT i2, {X.slot("k2")}, CAST(CASE WHEN k2 % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) FROM quad WHERE t = 1 AND k2 % 3 = 0"""
+)
+def ir_increments(p):
+    return ir.increments(X.facts(p))
+
+
+@query(
+    f"""{proxy_ctes(QUADS)} SELECT fn + {X.FN} AS fn, i2 AS iid, {X.STORED_TO} AS root, 'Deref' AS path FROM quad WHERE t = 0
+UNION ALL SELECT fn + {X.FN}, i2, {X.slot("k2")}, 'Deref' FROM quad WHERE t = 1
+UNION ALL SELECT fn + {X.FN}, i2, {X.slot("k0")}, 'Deref.Deref' || CASE WHEN k1 % 3 = 0 OR k1 % 4 = 3 THEN '.Array' ELSE '' END ||
+  CASE WHEN k1 % 4 = 0 THEN '.Field' || CAST(k2 % 4 AS VARCHAR) WHEN k1 % 4 < 3 THEN '.Field1.Field' || CAST(k2 % 3 AS VARCHAR) ELSE '' END FROM quad WHERE t = 2
+UNION ALL SELECT fn + {X.FN}, i2, {X.slot("k0 + k2")}, 'Deref' FROM quad WHERE t = 3"""
+)
+def ir_written_paths(p):
+    program = X.facts(p)
+    writes = program.instructions.where("opcode IN ('store', 'atomicrmw')").select(F.col("inst_id").alias("iid"))
+    return ir.memory_paths(program).join(writes, "iid", "left_semi").select("fn", "iid", "root", "path")
+
+
+HELD = f"""st AS (SELECT {X.slot("k0 + k2")} AS g, {X.POINTED} AS v, k2 % 3 AS how, {X.slot("k0")} AS src FROM quad WHERE t = 3
+  UNION ALL SELECT {X.slot("k0")}, {X.slot("k2")}, 1, -1 FROM quad WHERE t = 2 AND k1 % 4 = 3),
+held AS (SELECT g, v FROM st WHERE how <> 0 UNION SELECT st.g, h.v FROM held h JOIN st ON st.how = 0 AND st.src = h.g)"""
+
+
+@query(
+    f"""{proxy_ctes(QUADS, HELD)}, args AS (SELECT {X.CALLED} - {X.FN} AS f, {X.slot("k1")} AS v FROM quad WHERE t = 3 AND k1 % 2 = 0
+  UNION SELECT h.v - {X.FN}, q.g1 FROM (SELECT {X.slot("k0")} AS g0, {X.slot("k1")} AS g1 FROM quad WHERE t = 3 AND k1 % 2 = 1) q JOIN held h ON h.g = q.g0 AND h.v BETWEEN {X.FN} AND {X.ARG - 1})
+SELECT g AS value_id, v AS target FROM held UNION SELECT f + {X.ARG}, v FROM args"""
+)
+def ir_points_to(p):
+    a = P.Andersen(X.facts(p))
+    return a.held(a.solve()).where(f"value_id BETWEEN {X.ARG} AND {X.CONST - 1}")
+
+
+@query(
+    f"""{proxy_ctes(QUADS, HELD)}, c AS (SELECT fn + {X.FN} AS src, {X.CALLED} AS f, k1 % 2 AS how, {X.slot("k0")} AS g FROM quad WHERE t = 3)
+SELECT DISTINCT src, f AS dst, 'direct' AS kind FROM c WHERE how = 0 UNION ALL SELECT DISTINCT src, -100, 'unknown' FROM c WHERE how = 1
+UNION ALL SELECT DISTINCT src, h.v, 'indirect' FROM c JOIN held h ON h.g = c.g WHERE how = 1 AND h.v BETWEEN {X.FN} AND {X.ARG - 1}"""
+)
+def ir_call_edges(p):
+    program = X.facts(p)
+    functions = program.functions.select(F.col("fn_id").alias("target"))
+    return C.call_edges(program, P.Andersen(program).points_to().join(functions, "target", "left_semi"))
+
+
+@query(f"{proxy_ctes()} SELECT fn + {X.FN} AS fn, fn + {X.ARG} AS value_id, CAST({X.STRUCT_PP} AS BIGINT) AS type_id FROM fns UNION ALL SELECT fn + {X.FN}, {X.GLOBAL} + fn * 8 + s, {X.STRUCT_PP} FROM fns CROSS JOIN range(0, 8) r(s)")
+def ir_value_types(p):
+    program = X.facts(p)
+    t = ir.value_types(program).where(f"value_id BETWEEN {X.ARG} AND {X.CONST - 1}")
+    return t.select(F.expr(f"CASE WHEN value_id < {X.GLOBAL} THEN value_id - {X.ARG - X.FN} ELSE (value_id - {X.GLOBAL}) div 8 + {X.FN} END").alias("fn"), "value_id", "type_id")

@@ -337,3 +337,34 @@ def test_files_are_modules_of_one_program(spark, tmp_path):
     for bad in ("define void @f() {\n  store i32 %x, i32* %y\n  ret void\n}", "define void @f() {\n  ret void", "@x = global nonsense 1"):
         with pytest.raises((ParseError, IndexError)):
             program_from_text(spark, bad)
+
+
+def test_what_a_module_names(spark):
+    text = """
+declare i8* @malloc(i64)
+declare void @free(i8*)
+declare i8* @dlopen(i8*, i32)
+define internal void @init() {
+  %1 = call i8* @malloc(i64 8)
+  call void @free(i8* %1)
+  ret void
+}
+@llvm.global_ctors = appending global [1 x { i32, void ()* }] [{ i32, void ()* } { i32 65535, void ()* @init }]
+define void @run(void (i32)* %f, i32* %p) {
+  %1 = load i32* %p
+  call void %f(i32 %1)
+  ret void
+}
+"""
+    p = program_from_text(spark, text)
+    at = {r["fn_id"]: r["name"] for r in p.functions.collect()}
+    assert [at[r["fn"]] for r in ir.module_constructors(p).collect()] == ["init"]
+    assert ir.loads_libraries(p).first()["uses_dlopen"] and ir.function_nodes(p).count() == 5
+    assert sorted((at[r["fn"]], r["kind"]) for r in ir.allocations(p).collect()) == [("init", "allocates"), ("init", "releases")]
+    args = {r["value_id"]: r["name"] for r in p.arguments.collect()}
+    assert [args.get(r["value_id"]) for r in ir.function_pointers(p).where(f"value_id IN ({', '.join(map(str, args))})").collect()] == ["f"]
+    assert {(at[r["fn"]]) for r in ir.first_instructions(p, "opcode = 'load'").collect()} == {"run"}
+    assert [args[r["target"]] for r in ir.load_targets(p).collect()] == ["p"]
+    rendered = {r["type_id"]: r["rendered"] for r in p.types.collect()}
+    got = {(rendered[r["type_id"]], r["pos"], rendered[r["parameter"]]) for r in ir.function_parameters(p).collect()}
+    assert {("void (i32)", 0, "i32"), ("void (i32)*", 0, "i32"), ("i8* (i8*, i32)", 1, "i32")} <= got
