@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import closure, cut, fixpoint
 from ..sources.facts import Program
 from ..sources.schema import UNKNOWN
+from . import kernels as K
 
 
 def canonical(program: Program) -> DataFrame:
@@ -84,15 +85,37 @@ def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
         best = cut(best.join(changed.withColumnRenamed("c", "new"), "fn", "left").select("fn", F.coalesce("new", "c").alias("c")))
 
 
-def scc(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Graphs of so many edges at most (counted, 16 bytes each) go to one task; beyond, by rounds.
+SMALL_EDGES = 200_000
+
+
+def _in_one_task(edges: DataFrame, kernel: Callable[[K.Adj], dict[int, int]], columns: str) -> DataFrame:
+    """What a kernel makes of a whole small graph."""
+    names = [c.split()[0] for c in columns.split(",")]
+
+    def run(pdf):
+        import pandas as pd
+
+        suc, _ = K.adjacency(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
+        return pd.DataFrame(list(kernel(suc).items()), columns=names)
+
+    return cut(edges.select("src", "dst", F.lit(True).alias("all")).groupBy("all").applyInPandas(run, columns))
+
+
+def scc(edges: DataFrame, nodes: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(fn, scc): the least function of each strongly connected component.
 
+    A graph of at most ``small`` edges is solved by one task, any other by rounds:
     Nodes without an edge in, or out of, what is left are components of their own and are
     trimmed. Then colours spread forward, the least function that reaches a node, and the
     component of each colour's root is what also reaches the root within its colour. Found
     components go and the rest starts again. Everything is one row per node and per edge."""
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     found: list[DataFrame] = []
+    n = left.count()
+    if n <= small:
+        got = _in_one_task(left, K.components, "fn long, scc long")
+        return nodes.join(got, "fn", "left").select("fn", F.coalesce("scc", "fn").alias("scc"))
     while True:
         n = left.count()
         while n:
@@ -127,19 +150,25 @@ def condense(edges: DataFrame, comp: DataFrame) -> DataFrame:
     return b.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
 
 
-def levels(condensed: DataFrame, comp: DataFrame) -> DataFrame:
-    """(scc, level): 0 where nothing is called, else one more than the highest callee. The
-    leaves are peeled off, so the rounds are the longest call chain."""
+def levels(condensed: DataFrame, comp: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """(scc, level): 0 where nothing is called, else one more than the highest callee. One task
+    does a graph of at most ``small`` edges; of others the leaves are peeled off, so the rounds are
+    the longest call chain."""
     left = cut(condensed)
-    nodes = cut(comp.select("scc").distinct())
+    if left.count() <= small:
+        got = _in_one_task(left, K.heights, "scc long, level long")
+        return comp.select("scc").distinct().join(got, "scc", "left").select("scc", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+    calls = left.select(F.col("src").alias("scc")).distinct()
+    leaf = cut(comp.select("scc").distinct().join(calls, "scc", "left_anti"))
     out, level = [], 0
     while True:
-        leaf = cut(nodes.join(left.select(F.col("src").alias("scc")).distinct(), "scc", "left_anti"))
         out.append(leaf.withColumn("level", F.lit(level).cast("long")))
-        nodes = cut(nodes.join(leaf, "scc", "left_anti"))
-        if nodes.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+        # Whoever calls a leaf, and nothing that is left, is a leaf of the next level.
+        met = left.join(leaf.select(F.col("scc").alias("dst")), "dst", "left_semi").select(F.col("src").alias("scc")).distinct()
         left = cut(left.join(leaf.select(F.col("scc").alias("dst")), "dst", "left_anti"))
+        leaf = cut(met.join(left.select(F.col("src").alias("scc")).distinct(), "scc", "left_anti"))
+        if leaf.isEmpty():
+            return reduce(DataFrame.unionByName, out)
         level += 1
 
 

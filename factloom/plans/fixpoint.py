@@ -1,33 +1,62 @@
 """Semi-naive least fixpoints over DataFrames.
 
 Each round joins only the last round's new rows and is written to the checkpoint folder, which
-executors share: lineage stays short and a lost executor costs one round, not all.
+executors share: lineage stays short and a lost executor costs one round, not all. Rounds are
+written as Parquet, so the planner knows their sizes and broadcasts what is small.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_roots: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir; a folder of our own only in local mode, where it names
-    none (executors of a cluster would not share it)."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the session's spark.checkpoint.dir; one of our own only in
+    local mode, where the session names none (executors of a cluster would not share it)."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    if sc.applicationId not in _roots:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            held = sc._jsc.sc().getCheckpointDir()
+            named = held.get() if held.isDefined() else None
+        if not named:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="factloom-checkpoint-")
+        root = _roots[sc.applicationId] = f"{named}/rounds-{uuid.uuid4().hex[:12]}"
+
+        def remove() -> None:
+            with contextlib.suppress(Exception):  # the session has ended; its folder goes with the application
+                path = sc._jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(remove)
+    return _roots[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written: computed once, without lineage, of known size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")  # the statement's shuffle files go with it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class DidNotSettle(RuntimeError):
