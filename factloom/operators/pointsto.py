@@ -44,7 +44,7 @@ class TypePointsTo:
         f = self.functions.select(F.col("fn_id").alias("target"), F.col("type_id").alias("pointee_type_id"))
         own = self.functions.select(F.col("fn_id").alias("value_id"), F.col("fn_id").alias("target"))
         values = self.values if self.same is None else self.values.join(self.same.select("value_id"), "value_id", "left_anti")
-        out = values.where("pointee_type_id IS NOT NULL").join(self.functions.select(F.col("fn_id").alias("value_id")), "value_id", "left_anti").join(f, "pointee_type_id").select("value_id", "target").unionByName(own)
+        out = values.where("pointee_type_id IS NOT NULL").join(f, "pointee_type_id").select("value_id", "target").unionByName(own)
         if self.same is not None:
             out = out.unionByName(self.same.join(out.withColumnRenamed("value_id", "root_id"), "root_id").select("value_id", "target"))
         return out.distinct()
