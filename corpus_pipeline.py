@@ -10,7 +10,12 @@ and read again as the next stage's docs. All but the last return the columns of
    pass over it, and once with the words of its extra blocks.
 5. packing: token pieces and their place in sequences of 1024.
 
-Nulls, empty texts, repeated rows and empty tables are defined by the operators' docstrings.
+Defined results: null and empty texts are scored like any other, link with nothing and hold no
+secret; mixing takes no words of them, so they go there. Repeated rows are near-duplicates and one
+stays; rows that share a doc_id and have unlike texts all stay, as do rows with a null doc_id.
+Columns beside doc_id, text, source and n_chars pass through whatever their names. Ties go to the
+least doc_id. An empty table, or one without labels, runs through; without documents the result
+is empty.
 """
 
 from __future__ import annotations
