@@ -99,11 +99,11 @@ def control_dependences(edges: DataFrame, transitive: bool = False, compat: bool
 
 def instruction_edges(ins: DataFrame, edges: DataFrame, per_block: int = 4) -> DataFrame:
     """(src, dst) between instructions: each to the next of its block, a terminator to the first
-    of each successor, exits to -1."""
+    of each successor, exits to -1. Without a column b, blocks are ``per_block`` instructions."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("fn", "b").orderBy("ord")
-    i = ins.withColumn("b", F.floor(F.col("ord") / per_block)).withColumn("next", F.lead("iid").over(w)).withColumn("first", F.first("iid").over(w))
+    i = (ins if "b" in ins.columns else ins.withColumn("b", F.floor(F.col("ord") / per_block))).withColumn("next", F.lead("iid").over(w)).withColumn("first", F.first("iid").over(w))
     inner = i.where("next IS NOT NULL").select(F.col("iid").alias("src"), F.col("next").alias("dst"))
     last = i.where("next IS NULL").select("fn", F.col("b").alias("src"), F.col("iid").alias("term"))
     head = i.where("iid = first").select("fn", F.col("b").alias("dst"), F.col("iid").alias("head"))

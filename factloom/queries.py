@@ -13,7 +13,7 @@ from .operators import analyses as A
 from .operators import callgraph as C
 from .operators import flow, ir
 from .operators import pointsto as P
-from .operators.icfg import icfg
+from .operators.icfg import icfg, program_icfg
 from .operators.ifds import Problem
 from .plans.fixpoint import closure
 from .sources import event_facts as X
@@ -434,16 +434,18 @@ def icfg_edges(p):
     return icfg(flow.instruction_edges(p.ins, p.flow), calls, entries, exits)
 
 
-def _ifds(p: EventProgram) -> Problem:
+def _ifds(p: EventProgram, extern: DataFrame | None = None) -> Problem:
     """Taint over four variables of a function. A view taints k % 4; a click copies k % 4 to
     iid % 4 (which loses its own); an error cleans k % 4; a call passes k % 4 to the callee's 0
     and gets the callee's 0 back into iid % 4; all other facts skip the callee. Function 0 and
-    every tenth are entries. Nodes are iid + 1, so that a return node's negation differs."""
+    every tenth are entries. Nodes are iid + 1, so that a return node's negation differs. Further
+    calls (extern) have the same local facts."""
     node = F.col("iid") + 1
     ins, sites = p.ins.select("fn", "iid", "op", "k"), _sites(p)
     facts = F.array(*[F.lit(i).cast("long") for i in range(-1, 4)])
     edges = flow.instruction_edges(p.ins, p.flow).where("dst <> -1")
-    called = sites.select(F.col("src").alias("fn"), F.col("node").alias("iid"))
+    every = sites if extern is None else sites.unionByName(extern)
+    called = every.select(F.col("src").alias("fn"), F.col("node").alias("iid"))
     pair = (
         "CASE WHEN d = -1 THEN IF(op = 'view', array(-1L, k % 4), array(-1L)) WHEN op = 'click' AND d = k % 4 THEN array_distinct(array(d, iid % 4)) "
         "WHEN op = 'click' AND d = iid % 4 THEN CAST(array() AS array<bigint>) WHEN op = 'error' AND d = k % 4 THEN CAST(array() AS array<bigint>) ELSE array(d) END"
@@ -455,19 +457,19 @@ def _ifds(p: EventProgram) -> Problem:
     c = sites.select(F.col("node").alias("iid"), "src", "fn", "k")
     pass_ = c.select(node.alias("node"), "fn", F.explode(F.expr("array(struct(-1L AS d, -1L AS d2), struct(k % 4 AS d, 0L AS d2))")).alias("x")).select("node", "fn", "x.d", "x.d2")
     back = c.select(node.alias("node"), "fn", F.lit(0).cast("long").alias("d"), (F.col("iid") % 4).alias("d2"))
-    past = c.withColumn("d", F.explode(facts)).where("d <> iid % 4").select(F.col("src").alias("fn"), node.alias("node"), "d", F.col("d").alias("d2"))
+    past = every.withColumnRenamed("node", "iid").withColumn("d", F.explode(facts)).where("d <> iid % 4").select(F.col("src").alias("fn"), node.alias("node"), "d", F.col("d").alias("d2"))
     entry = p.ins.where("ord = 0").select("fn", node.alias("node"))
     start = _nodes(p).where("fn % 10 = 0").select("fn", F.lit(-1).cast("long").alias("d"))
     exits = p.blk.where("term = 'purchase'").select((F.col("tid") + 1).alias("node"), "fn")
     return Problem(entry, start, f1.unionByName(f2), pass_, exits, back, past)
 
 
+IFDS_BACK = "bk AS (SELECT node + 1 AS node, fn, CAST(0 AS BIGINT) AS d, node % 4 AS d2 FROM site)"
 IFDS = """flowd AS (SELECT i.iid + 1 AS node, e.dst + 1 AS succ, d.d, i.op, i.k, i.iid FROM ins i JOIN ie e ON e.src = i.iid AND e.dst <> -1 CROSS JOIN (SELECT CAST(x AS BIGINT) AS d FROM range(-1, 4) t(x)) d WHERE i.iid NOT IN (SELECT node FROM site)),
 fl AS (SELECT node, succ, d, d AS d2 FROM flowd WHERE d = -1 OR NOT ((op = 'click' AND d = iid % 4 AND d <> k % 4) OR (op = 'error' AND d = k % 4))
   UNION SELECT node, succ, d, k % 4 FROM flowd WHERE d = -1 AND op = 'view' UNION SELECT node, succ, d, iid % 4 FROM flowd WHERE op = 'click' AND d = k % 4
   UNION SELECT -(s.node + 1), e.dst + 1, d.x, d.x FROM site s JOIN ie e ON e.src = s.node AND e.dst <> -1 CROSS JOIN (SELECT CAST(x AS BIGINT) AS x FROM range(-1, 4) t(x)) d),
 ps AS (SELECT node + 1 AS node, fn, CAST(-1 AS BIGINT) AS d, CAST(-1 AS BIGINT) AS d2 FROM site UNION SELECT node + 1, fn, k % 4, CAST(0 AS BIGINT) FROM site),
-bk AS (SELECT node + 1 AS node, fn, CAST(0 AS BIGINT) AS d, node % 4 AS d2 FROM site),
 pa AS (SELECT s.node + 1 AS node, CAST(x AS BIGINT) AS d FROM site s CROSS JOIN range(-1, 4) t(x) WHERE x <> s.node % 4),
 f AS (SELECT CAST(0 AS BIGINT) AS tag, e.fn AS a, CAST(-1 AS BIGINT) AS b, e.node + 1 AS c, CAST(-1 AS BIGINT) AS d FROM entry_ e WHERE e.fn % 10 = 0
  UNION (SELECT 0, p.a, p.b, fl.succ, fl.d2 FROM recurring.f p JOIN fl ON fl.node = p.c AND fl.d = p.d WHERE p.tag = 0
@@ -479,16 +481,44 @@ f AS (SELECT CAST(0 AS BIGINT) AS tag, e.fn AS a, CAST(-1 AS BIGINT) AS b, e.nod
   UNION SELECT 0, p.a, p.b, -p.c, s.d FROM recurring.f p JOIN recurring.f s ON s.tag = 3 AND s.b = p.c AND s.c = p.d WHERE p.tag = 0))"""
 
 
-@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS)} SELECT DISTINCT c AS node, d AS fact FROM f WHERE tag = 0 AND c >= 0 AND d <> -1")
+@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS_BACK, IFDS)} SELECT DISTINCT c AS node, d AS fact FROM f WHERE tag = 0 AND c >= 0 AND d <> -1")
 def ifds_reach(p):
     return Problem.facts(_ifds(p).solve())
 
 
-@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS)} SELECT r.relation, count(f.tag) AS n FROM (VALUES (0, 'path'), (1, 'incoming'), (2, 'end'), (3, 'summary')) r(tag, relation) LEFT JOIN f ON f.tag = r.tag GROUP BY r.relation")
+@query(f"{proxy_ctes(FLOW, INST, SITES, ICFG, IFDS_BACK, IFDS)} SELECT r.relation, count(f.tag) AS n FROM (VALUES (0, 'path'), (1, 'incoming'), (2, 'end'), (3, 'summary')) r(tag, relation) LEFT JOIN f ON f.tag = r.tag GROUP BY r.relation")
 def ifds_edge_count(p):
     return Problem.sizes(_ifds(p).solve())
 
 
+def _extern_sites(p: EventProgram) -> DataFrame:
+    """Calls of three functions without a body, numbered past the defined ones: the first returns
+    its argument, the second nothing, and of the third, the unknown one, the result is tainted."""
+    n = p.events.agg((F.max("user_id") + 1).alias("n"))
+    return p.ins.where("op = 'signup' AND k % 16 = 1").join(F.broadcast(n)).select(F.col("iid").alias("node"), F.col("fn").alias("src"), F.expr("n + iid % 3").alias("fn"), "k")
+
+
+#: The same calls, with sites, entries, exits and returns widened by them.
+EXTERN = f"""bound AS (SELECT MAX(user_id) + 1 AS n, MAX(event_id) + 1 AS m FROM events),
+{SITES.replace("site AS (", "site AS (SELECT i.iid AS node, i.fn AS src, n.n + i.iid % 3 AS fn, i.k FROM ins i CROSS JOIN bound n WHERE i.op = 'signup' AND i.k % 16 = 1 UNION ALL ")},
+entry_ AS (SELECT fn, iid AS node FROM ins WHERE ord = 0 UNION ALL SELECT n + x, m + x FROM bound CROSS JOIN range(0, 3) r(x)),
+exits AS (SELECT fn, tid AS node FROM blk WHERE term = 'purchase' UNION ALL SELECT n + x, m + x FROM bound CROSS JOIN range(0, 3) r(x)),
+bk AS (SELECT node + 1 AS node, fn, CAST(CASE WHEN fn = n + 2 THEN -1 ELSE 0 END AS BIGINT) AS d, node % 4 AS d2 FROM site CROSS JOIN bound WHERE fn <> n + 1)"""
+
+
+@query(f"{proxy_ctes(FLOW, INST, EXTERN, IFDS.replace('WHERE e.fn % 10 = 0', 'WHERE e.fn % 10 = 0 AND e.fn < (SELECT n FROM bound)'))} SELECT DISTINCT c AS node, d AS fact FROM f WHERE tag = 0 AND c >= 0 AND d <> -1")
+def ifds_extern_reach(p):
+    sites = _extern_sites(p)
+    bound = p.events.agg((F.max("user_id") + 1).alias("n"), (F.max("event_id") + 2).alias("m"))
+    externs = bound.withColumn("x", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    to = sites.select((F.col("node") + 1).alias("node"), F.col("node").alias("iid"), "fn", "k")
+    pass_ = to.select("node", "fn", F.explode(F.expr("array(struct(-1L AS d, -1L AS d2), struct(k % 4 AS d, 0L AS d2))")).alias("x")).select("node", "fn", "x.d", "x.d2")
+    gives = externs.where("x <> 1").select((F.col("n") + F.col("x")).alias("fn"), F.expr("IF(x = 2, -1L, 0L)").alias("d"))  # two rows
+    back = to.join(F.broadcast(gives), "fn").select("node", "fn", "d", (F.col("iid") % 4).alias("d2"))
+    bodiless = externs.select((F.col("n") + F.col("x")).alias("fn"), (F.col("m") + F.col("x")).alias("node"))
+    return Problem.facts(_ifds(p, sites).with_externs(bodiless, pass_, back).solve())
+
+
 # -- graph text -------------------------------------------------------------------------------
 @query(f"{proxy_ctes(FLOW)} SELECT fn, '  ' || CAST(src AS VARCHAR) || ' -> ' || CAST(dst AS VARCHAR) || ';' AS line FROM flow")
 def dot_cfg(p):
@@ -659,3 +689,20 @@ def ir_value_types(p):
     program = X.facts(p)
     t = ir.value_types(program).where(f"value_id BETWEEN {X.ARG} AND {X.CONST - 1}")
     return t.select(F.expr(f"CASE WHEN value_id < {X.GLOBAL} THEN value_id - {X.ARG - X.FN} ELSE (value_id - {X.GLOBAL}) div 8 + {X.FN} END").alias("fn"), "value_id", "type_id")
+
+
+@query(
+    f"""{proxy_ctes(QUADS, HELD)}, c AS (SELECT i1 AS site, {X.CALLED} AS f, k1 % 2 AS how, {X.slot("k0")} AS g, {X.FN} + n AS u FROM quad WHERE t = 3),
+tg AS (SELECT site, f FROM c WHERE how = 0 UNION SELECT site, h.v FROM c JOIN held h ON h.g = c.g WHERE how = 1 AND h.v BETWEEN {X.FN} AND {X.ARG - 1}),
+hd AS (SELECT k.fn, k.b, COALESCE(q.i0, k.tid) AS node FROM blk k LEFT JOIN quad q ON q.fn = k.fn AND q.b = k.b), fe AS (SELECT DISTINCT fn, src, dst FROM ({FACT_FLOW}) WHERE dst <> -1)
+SELECT i0 AS src, i1 AS dst, 'intra' AS kind FROM quad UNION ALL SELECT CASE WHEN t = 3 THEN -i1 ELSE i1 END, i2, 'intra' FROM quad UNION ALL SELECT i2, i3, 'intra' FROM quad
+UNION ALL SELECT k.tid, h.node, 'intra' FROM fe JOIN blk k ON k.fn = fe.fn AND k.b = fe.src JOIN hd h ON h.fn = fe.fn AND h.b = fe.dst
+UNION ALL SELECT site, -site, 'call_to_return' FROM c UNION ALL SELECT tg.site, h.node, 'call_to_entry' FROM tg JOIN hd h ON h.fn + {X.FN} = tg.f AND h.b = 0
+UNION ALL SELECT k.tid, -tg.site, 'return_to_call' FROM tg JOIN blk k ON k.fn + {X.FN} = tg.f AND k.term = 'purchase'
+UNION ALL SELECT site, u, 'call_to_entry' FROM c WHERE how = 1 UNION ALL SELECT u, -site, 'return_to_call' FROM c WHERE how = 1"""
+)
+def ir_icfg(p):
+    program = X.facts(p)
+    functions = program.functions.select(F.col("fn_id").alias("target"))
+    # A library: every function may be entered from outside.
+    return program_icfg(program, P.Andersen(program).points_to().join(functions, "target", "left_semi"), ir.function_nodes(program))

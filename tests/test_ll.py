@@ -6,6 +6,7 @@ from factloom.operators import analyses as A
 from factloom.operators import callgraph as C
 from factloom.operators import flow, ir
 from factloom.operators import pointsto as P
+from factloom.operators.icfg import outside, program_icfg
 from factloom.sources.facts import MissingTable
 from factloom.sources.ll import ParseError, program_from_files, program_from_text
 
@@ -368,3 +369,39 @@ define void @run(void (i32)* %f, i32* %p) {
     rendered = {r["type_id"]: r["rendered"] for r in p.types.collect()}
     got = {(rendered[r["type_id"]], r["pos"], rendered[r["parameter"]]) for r in ir.function_parameters(p).collect()}
     assert {("void (i32)", 0, "i32"), ("void (i32)*", 0, "i32"), ("i8* (i8*, i32)", 1, "i32")} <= got
+
+
+CALLS = """
+declare void @puts(i8*)
+@f = common global void (i8*)* null
+define void @log(i8* %s) {
+  call void @puts(i8* %s)
+  ret void
+}
+define i32 @main(i8* %s) {
+  call void @log(i8* %s)
+  %1 = load void (i8*)** @f
+  call void %1(i8* %s)
+  ret i32 0
+}
+"""
+
+
+@pytest.mark.parametrize("roots,head,opened", [(("main",), "", False), (("main", "log"), "", True), (("main",), "declare i8* @dlopen(i8*, i32)\n", True)])
+def test_calls_into_the_open(spark, roots, head, opened):
+    p = program_from_text(spark, head + CALLS)
+    fn = {r["name"]: r["fn_id"] for r in p.functions.collect()}
+    entry = spark.createDataFrame([(fn[r],) for r in roots], "fn long")
+    none = spark.createDataFrame([], "value_id long, target long")
+    got = sorted((r["src"], r["dst"], r["kind"]) for r in program_icfg(p, none, entry).collect())
+    at = {(r["fn_id"], r["ord"]): r["inst_id"] for r in p.instructions.collect()}
+    log, main = ([at[k] for k in sorted(k for k in at if k[0] == fn[n])] for n in ("log", "main"))
+    puts = fn["puts"]
+    want = [(log[0], puts, "call_to_entry"), (puts, -log[0], "return_to_call"), (log[0], -log[0], "call_to_return"), (-log[0], log[1], "intra")]
+    want += [(main[0], log[0], "call_to_entry"), (log[1], -main[0], "return_to_call"), (main[0], -main[0], "call_to_return"), (-main[0], main[1], "intra")]
+    want += [(main[1], main[2], "intra"), (main[2], -main[2], "call_to_return"), (-main[2], main[3], "intra")]
+    if opened:
+        node = outside(p, entry).first()["node"]
+        assert node not in set(at.values()) | set(fn.values())
+        want += [(main[2], node, "call_to_entry"), (node, -main[2], "return_to_call")]
+    assert got == sorted(want)

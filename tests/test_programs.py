@@ -1,8 +1,10 @@
 """Hand-encoded programs: expected answers follow from the sources by reading."""
 
+from factloom.functions import names
 from factloom.operators import analyses as A
 from factloom.operators import callgraph as C
 from factloom.operators import pointsto as P
+from factloom.operators.ifds import Problem
 from factloom.plans.fixpoint import closure
 from factloom.sources.facts import Program, UnknownInput
 
@@ -103,3 +105,25 @@ def test_paths_are_followed_into_constants(spark):
     got = {r["id"]: (r["value_id"], r["error"]) for r in A.follow_paths(paths, consts).collect()}
     bad = (None, "NonConstantInPath")
     assert got == {10: (1, None), 11: (2, None), 12: (4, None), 13: bad, 14: bad, 15: (None, "CannotFollowPath")}
+
+
+def test_names_are_read_and_written(spark):
+    for text in ("f", "a::b::c", "std::vector<int>"):
+        assert names.parse_name(text).text() == text
+    for text in ("", "a::", "::b", "a:b", "a::::b"):
+        assert names.parse_name(text) is None
+    assert names.demangle("_ZN3foo3BarD2Ev").text() == "foo::Bar::~Bar" and names.demangle("_ZNK3foo3Bar3getEv").text() == "foo::Bar::get"
+    rows = spark.createDataFrame([(0, ["a", "b"]), (1, ["a:"]), (2, [""]), (3, []), (4, None), (5, ["a", None])], "i int, p array<string>")
+    assert pairs(rows.select("i", names.joined_name("p").alias("t"))) == [(0, "a::b"), (1, None), (2, None), (3, None), (4, None), (5, None)]
+
+
+def test_functions_without_a_body_in_problems(spark):
+    # 1: call of 7 (external), 2: after it. Fact 0 enters; 7 gets it as 5 and gives 5 back as 3.
+    d = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cols.split()))
+    flow = d([(1, -1, 2, 3, 3), (1, -1, 2, -1, -1)], "fn node succ d d2")
+    edge = "node fn d d2"
+    problem = Problem(d([(1, 1)], "fn node"), d([(1, 0), (1, -1)], "fn d"), flow, d([], edge), d([(2, 1)], "node fn"), d([], edge), d([(1, 1, -1, -1)], "fn node d d2"))
+    assert pairs(Problem.facts(problem.solve())) == [(1, 0)]
+    solved = problem.with_externs(d([(7, 70)], "fn node"), d([(1, 7, 0, 5)], edge), d([(1, 7, 5, 3)], edge)).solve()
+    assert pairs(Problem.facts(solved)) == [(1, 0), (2, 3), (70, 5)]
+    assert pairs(solved["summary"]) == [(1, 0, 3)]
