@@ -371,7 +371,7 @@ define void @run(void (i32)* %f, i32* %p) {
     assert {("void (i32)", 0, "i32"), ("void (i32)*", 0, "i32"), ("i8* (i8*, i32)", 1, "i32")} <= got
 
 
-CALLS = """
+FINDER_CALLS = """
 declare void @puts(i8*)
 @f = common global void (i8*)* null
 define void @log(i8* %s) {
@@ -389,7 +389,7 @@ define i32 @main(i8* %s) {
 
 @pytest.mark.parametrize("roots,head,opened", [(("main",), "", False), (("main", "log"), "", True), (("main",), "declare i8* @dlopen(i8*, i32)\n", True)])
 def test_calls_into_the_open(spark, roots, head, opened):
-    p = program_from_text(spark, head + CALLS)
+    p = program_from_text(spark, head + FINDER_CALLS)
     fn = {r["name"]: r["fn_id"] for r in p.functions.collect()}
     entry = spark.createDataFrame([(fn[r],) for r in roots], "fn long")
     none = spark.createDataFrame([], "value_id long, target long")
