@@ -3,7 +3,9 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def run(spark, folder, name):
     return [r.asDict() for r in registry.queries()[name](spark, folder[0]).collect()]
 
 
-@pytest.mark.parametrize("name", ["op1_minhash", "op2_quality", "op3_mixing", "op4_packing", "op7_order_minhash", "op8_toxicity", "op9_token_counts", "op10_secrets"])
+@pytest.mark.parametrize("name", ["op1_minhash", "op2_quality", "op3_mixing", "op4_packing", "op7_order_minhash", "op8_toxicity", "op9_token_counts", "op10_secrets", "op11_fill_in_middle", "op12_quality_rules", "op13_periodic_runs"])
 def test_an_empty_table_gives_an_empty_result(spark, folder, name):
     assert registry.queries()[name](spark, folder[1]).count() == 0
 
@@ -167,6 +169,99 @@ def test_secrets(spark, folder):
     assert spans[105] == f"entropy:2:{2 + len(RANDOM)}" and spans[100] == spans[103] == ""
 
 
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def by_id_and(rows, make):
+    """Sorted lines of what each (id, text, source) should give."""
+    return sorted(repr(make(i, t or "", s)) for i, t, s in rows)
+
+
+def test_fill_in_middle(spark, folder):
+    def want(i, t, _):
+        h = hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()
+        h1, h2, _, h4 = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+        units = re.findall(r"[^\n]*\n|[^\n]+", t)
+        n = len(units)
+        a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+        pre, mid, suf = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        if not t or any(m in t for m in ("<P>", "<S>", "<M>")):
+            return i, n, "plain", None, None, sha(t), sha(t)
+        out = f"<S>{suf}<P>{pre}<M>{mid}" if h4 % 100 < 50 else f"<P>{pre}<S>{suf}<M>{mid}"
+        return i, n, "spm" if h4 % 100 < 50 else "psm", len(pre), len(mid), sha(out), sha(t)
+
+    got = run(spark, folder, "op11_fill_in_middle")
+    cols = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got) == by_id_and(folder[2], want)
+
+
+def repeats(words):
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    times = {}
+    for w in windows:
+        times[w] = times.get(w, 0) + 1
+    return len({k + o for k, w in enumerate(windows) if times[w] > 1 for o in range(3)})
+
+
+def test_quality_rules(spark, folder):
+    normal = lambda line: re.sub("[0-9]", "0", " ".join(WORD.findall(line)).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    texts, holders = {}, {}
+    for _, t, s in folder[2]:
+        texts.setdefault(s, set()).add(t or "")
+        for line in (t or "").split("\n"):
+            holders.setdefault((s, normal(line)), set()).add(t or "")
+    frequent = {k for k, v in holders.items() if k[1] and len(v) > max(10, len(texts[k[0]]) * 0.01)}
+
+    def want(i, t, s):
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n, again = len(words), repeats(words)
+        gone = sum(len(WORD.findall(x)) for x in lines if (s, normal(x)) in frequent)
+        failed = n < 50 or 100 * again > 50 * n
+        return i, n, sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), again, failed, not failed and 100 * (n - gone) >= 30 * n, gone
+
+    got = run(spark, folder, "op12_quality_rules")
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"]
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got) == by_id_and(folder[2], want)
+
+
+def all_runs(words):
+    """(start, length, period) of every run, period by period and place by place."""
+    out, seen, n = [], set(), len(words)
+    number = {}
+    ids = np.asarray([number.setdefault(w, len(number)) for w in words], np.int64)
+    for q in range(1, n // 3 + 1):
+        same = np.concatenate([[False], ids[:-q] == ids[q:], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a + q >= max(24, 3 * q) and (a, b - a + q) not in seen:
+                seen.add((a, b - a + q))
+                out.append((a, b - a + q, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_periodic_runs(spark, folder):
+    def want(i, t, _):
+        words = WORD.findall(t)
+        h, n = 1 if i is None else zlib.crc32(str(i).encode()), len(words)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[k if k < a else a + (k - a) % p] for k in range(n)]
+        runs = all_runs(words)
+        gone = {k for a, m, q in runs for k in range(a + q, a + m)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+        lines = "".join(f"{a},{m},{q}\n" for a, m, q in runs)
+        return i, len(runs), *best, None if best[1] is None else 1000 * best[1] // best[2], sha(lines), sha(" ".join(w for k, w in enumerate(words) if k not in gone))
+
+    got = run(spark, folder, "op13_periodic_runs")
+    cols = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    # A text without a run, and not planted, is its words joined by one space too.
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got) == by_id_and(folder[2], want)
+    assert sum(r["n_runs"] > 0 for r in got) > 5
+
+
 def test_pipeline_on_hard_and_empty_tables(spark, folder):
     import corpus_pipeline
 
