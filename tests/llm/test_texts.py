@@ -71,7 +71,7 @@ def test_runs_of_random_texts():
         got.setdefault(row[0], []).append(row[1:])
     for k, words in enumerate(docs):
         assert got.get(k, []) == all_runs(words), words
-    assert sum(map(len, got.values())) > 300
+    assert sum(map(len, got.values())) > 200
 
 
 def test_chunks_of_the_grid(monkeypatch):
@@ -129,7 +129,7 @@ def test_lines_that_many_documents_share(spark, monkeypatch, few):
 
 
 def test_depleted_documents_go(spark):
-    rows = [(i, f"{body(i, 20)}\n" + "\n".join(f"menu entry {chr(97 + k)} of this site here" for k in range(12)), "s") for i in range(30)]
+    rows = [(i, f"{body(i, 20)}\n" + "\n".join(" ".join(f"menu{chr(97 + k)}{chr(97 + j)}" for j in range(7)) for k in range(12)), "s") for i in range(30)]
     got = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(not r["base_failed"] and not r["kept"] and r["removed_words"] == 84 for r in got)
     kept = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), least_left=15).collect()
