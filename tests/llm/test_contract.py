@@ -240,7 +240,18 @@ def all_runs(words):
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
-def test_periodic_runs(spark, folder):
+@pytest.fixture(scope="module")
+def longer(spark, folder, tmp_path_factory):
+    """The same folder with texts of up to 300 words, some of them periodic by themselves."""
+    rng = np.random.default_rng(3)
+    rows = [(1000 + i, " \t\n\x0b"[i % 4].join(map(str, rng.integers(0, 3 + i % 40, i))) + " z y" * (i % 23), "a") for i in range(300)]
+    out = tmp_path_factory.mktemp("longer")
+    hard = spark.read.parquet(f"{folder[0]}/documents.parquet").select("doc_id", "text", "source")
+    hard.unionByName(spark.createDataFrame(rows, "doc_id long, text string, source string")).write.parquet(f"{out}/documents.parquet")
+    return str(out), None, folder[2] + rows
+
+
+def test_periodic_runs(spark, longer):
     def want(i, t, _):
         words = WORD.findall(t)
         h, n = 1 if i is None else zlib.crc32(str(i).encode()), len(words)
@@ -255,11 +266,11 @@ def test_periodic_runs(spark, folder):
         lines = "".join(f"{a},{m},{q}\n" for a, m, q in runs)
         return i, len(runs), *best, None if best[1] is None else 1000 * best[1] // best[2], sha(lines), sha(" ".join(w for k, w in enumerate(words) if k not in gone))
 
-    got = run(spark, folder, "op13_periodic_runs")
+    got = run(spark, longer, "op13_periodic_runs")
     cols = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     # A text without a run, and not planted, is its words joined by one space too.
-    assert sorted(repr(tuple(r[c] for c in cols)) for r in got) == by_id_and(folder[2], want)
-    assert sum(r["n_runs"] > 0 for r in got) > 5
+    assert sorted(repr(tuple(r[c] for c in cols)) for r in got) == by_id_and(longer[2], want)
+    assert sum(r["n_runs"] > 0 for r in got) > 40
 
 
 def test_pipeline_on_hard_and_empty_tables(spark, folder):
