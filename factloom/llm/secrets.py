@@ -11,7 +11,9 @@ suppressed. Runs of letters are left to their class's threshold; of those with l
 cases or with / + = only spans that read like words are suppressed.
 
 Defined results: null text counts as empty; empty text has no span; whole texts are scanned
-whatever their length; repeated rows stay repeated; other columns pass or are left out.
+whatever their length, in time proportional to it; spans that start together come in the order of
+their kinds; repeated rows stay repeated; an empty table gives an empty result; other columns,
+whatever their names, pass through ``redact_documents`` and are left out of the scan.
 """
 
 from __future__ import annotations
@@ -91,21 +93,36 @@ def window_entropy(s: str, window: int = WINDOW) -> Iterator[tuple[int, float]]:
             yield i - window + 1, log_w - total / window
 
 
+def union(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of what spans, sorted by start, cover together: apart from each other and in order."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if out and a <= out[-1][1]:
+            if b > out[-1][1]:
+                out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str, covered: list[tuple[int, int, str]]) -> Iterator[tuple[int, str]]:
-    """(start, characters) of what the base spans, sorted by start, leave of each candidate run."""
-    k = 0
+    """(start, characters) of what the base spans, sorted by start, leave of each candidate run.
+    Runs and covered stretches are both in order, so each is passed once."""
+    gone, k = union(covered), 0
     for m in CANDIDATE.finditer(text):
         at, end = m.span()
-        for a, b, _ in covered[k:]:
-            if a >= end:
-                break
+        while k < len(gone) and gone[k][1] <= at:
+            k += 1
+        while k < len(gone) and gone[k][0] < end:
+            a, b = gone[k]
             if a - at >= WINDOW:
                 yield at, text[at:a]
             at = max(at, b)
+            if b > end:
+                break
+            k += 1
         if end - at >= WINDOW:
             yield at, text[at:end]
-        while k < len(covered) and covered[k][1] <= end:
-            k += 1
 
 
 def word_like(s: str) -> bool:
