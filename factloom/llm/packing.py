@@ -7,10 +7,13 @@ is opened. Only piece lengths are packed, never ids: a piece is 40 bytes whateve
 
 Pieces are dealt by hash to groups of about ``group_pieces`` and each group is packed on its
 own, so no task holds more; the padding of a group is that of one or two open windows and
-of what the fit leaves over. The result depends on the rows only, not on partitions.
+of what the fit leaves over. Equal pieces (of equal ids and texts) are counted, which takes no more
+than one row of them from each task, and dealt in lots of ``lot`` copies that are spread over the
+groups like any other piece. So the result depends on the rows only, not on partitions.
 
 Defined results: null and empty texts are the end id alone; equal rows are exchangeable and
-stay repeated; an empty table gives an empty result; other columns are left out.
+stay repeated; pieces of one length are packed by id (null first), start and checksum; an empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -156,23 +159,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = 16384) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end_id: int = END_ID, group_pieces: int = 16384, lot: int = 256) -> DataFrame:
     """The pieces with sequence_id and offset."""
     shelf = Shelf(docs.sparkSession, "packing")
-    pieces = shelf.put(token_pieces(docs, tokenizer, window, end_id))
-    n = pieces.count()
+    counted = token_pieces(docs, tokenizer, window, end_id).groupBy(*PIECE).agg(F.count("*").alias("copies"))
+    pieces = shelf.put(counted)
+    n = pieces.agg(F.sum("copies").alias("n")).first()["n"] or 0
     groups = max(1, -(-n // group_pieces))
     kind = dict(pieces.dtypes)["doc_id"]
 
     def run(key, rows):
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.take(pa.array(np.repeat(np.arange(len(rows)), rows.column("copies").to_numpy()))).select(PIECE)
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
         at = best_fit(rows.column("length").to_pylist(), window)
         base = key[0].as_py() << 32
-        rows = rows.select(PIECE).append_column("sequence_id", pa.array([base + b for b, _ in at], pa.int64()))
+        rows = rows.append_column("sequence_id", pa.array([base + b for b, _ in at], pa.int64()))
         return rows.append_column("offset", pa.array([o for _, o in at], pa.int64()))
 
-    # The row number of the written table parts rows that are equal in all columns.
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id() % 1024), F.lit(groups)))
+    lots = pieces.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {lot}"))))
+    lots = lots.withColumn("copies", F.least(F.lit(lot), F.col("copies") - F.col("l") * lot))
+    dealt = lots.withColumn("g", F.pmod(F.xxhash64(*PIECE, "l"), F.lit(groups))).drop("l")
     return dealt.groupBy("g").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
