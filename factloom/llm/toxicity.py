@@ -11,10 +11,12 @@ A last logistic step maps the highest window's logit to a probability.
 At scoring time a word adds a single number (its bag's average times the softmax's
 difference), which a worker keeps in a bounded cache.
 
-Defined results: null texts, empty ones and those without words are scored like the cleanest document
-of the training rows; texts of any
-length are scored whole, runs without spaces too; repeated rows stay repeated; without any label of one class the
-score is the share of the other, smoothed.
+Defined results: null texts, empty ones and those of white space and sentence marks alone are scored
+like the cleanest document of the training rows; texts of any length are scored whole, runs without
+spaces too; equal texts score alike and repeated rows stay repeated; of windows that tie the first
+is trained on; without any label of one class the score is the share of the other, smoothed; an empty table
+gives an empty result; other columns pass through ``keep_clean`` and are left out of the query,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +44,9 @@ CACHE_WORDS = 150_000
 #: n-gram is in a piece, and a word of up to nine characters stands whole in one.
 LONGEST, PIECE = 64, 16
 HELD_OUT_MOD, HELD_OUT_REMAINDER, THRESHOLD = 4, 2, 0.3
-_TOKEN = re.compile(r"[^\W_][^\s,;:.!?()\"|]*")
+#: A token is a run without white space, less the sentence marks at its ends: symbols, marks within
+#: it and characters of any script stay, so "$hit", "@ss" and "sh!t" keep the n-grams they are made of.
+_TOKEN = re.compile(r"[^\s,;:.!?()\"|](?:\S*[^\s,;:.!?()\"|])?")
 JOINTS = re.compile(r"[-_/+=#&~\u3001\u3002\uff0c\uff01\uff1f]+")
 
 
