@@ -102,7 +102,7 @@ def _pool(P: dict[str, np.ndarray], rows: list[bytes]) -> tuple[np.ndarray, np.n
         live = np.zeros((len(part), CHUNK), bool)
         for r, raw in enumerate(part):
             x[r, : len(raw)] = np.frombuffer(raw, np.uint8)
-            live[r, : max(1, len(raw))] = True
+            live[r, : max(1, min(CHUNK, len(raw)))] = True
         out = one[0][x[:, :CHUNK]] + P["bias"]
         for j in range(1, WIDTH):
             out += one[j][x[:, j : j + CHUNK]]
@@ -136,7 +136,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = 12, ba
             rows, owner = [], []
             for d, i in enumerate(ids):
                 at = chunk_starts(len(raws[i])).tolist()
-                rows += [raws[i][a : a + CHUNK] for a in at]
+                rows += [raws[i][a : a + CHUNK + WIDTH - 1] for a in at]  # filters read on past a chunk, as in scoring
                 owner += [d] * len(at)
             own = np.asarray(owner)
             pool, taps = _pool(P, rows)
