@@ -1,7 +1,8 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-The k-mers (runs of k words) of a text are numbered by occurrence, so the second "a b c" is
-another element than the first. A coordinate takes the l elements that are least under its
+The k-mers (runs of k words; a word of more than 32 characters, as in text without spaces, counts
+as its characters) of a text are numbered by occurrence, so the second "a b c" is another element
+than the first. A coordinate takes the l elements that are least under its
 permutation, puts them back into text order and hashes the tuple: two texts agree in a
 coordinate only where they share these k-mers in the same order, which makes the share of
 equal coordinates sensitive to edit distance and not only to the set of k-mers.
@@ -15,7 +16,8 @@ Defined results: null text counts as empty; an empty text, or one of white space
 all coordinates 0; a text of fewer than k words is one k-mer; a text of fewer than l k-mers
 uses what it has; equal texts have equal fingerprints; whole texts are used whatever their
 length. "Next" is by descending doc_id, null ids last, equal ids by hash and then text; after
-the last comes the first; a single document is its own next.
+the last comes the first; a single document is its own next; an empty table gives an empty result;
+other columns are left out of the query, and pass through ``fingerprint`` whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, L, M = 3, 2, 32
+#: Longer words are taken character by character, so many at a time.
+LONG_WORD, BLOCK = 32, 4096
 #: Rows a bucket holds at about; at most so many buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 _LOW = (1 << 30) - 1
@@ -46,7 +50,11 @@ def _lower_bound(array: str, key: str, high: str) -> str:
 
 def signature(text: str, k: int = K, l: int = L, m: int = M) -> str:  # noqa: E741
     """SQL of the m coordinates (array<bigint>, 32 bits each) of a text expression."""
-    words = rf"transform(filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w))"
+    split = rf"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+    # Long words go by blocks, so that no more than a block's characters are objects at a time.
+    chars = rf"flatten(transform(regexp_extract_all(w, '(?s).{{1,{BLOCK}}}', 0), x -> transform(split(x, ''), c -> xxhash64(c))))"
+    mixed = f"flatten(transform(ws, w -> CASE WHEN length(w) > {LONG_WORD} THEN {chars} ELSE array(xxhash64(w)) END))"
+    words = _let(split, "ws", f"CASE WHEN exists(ws, w -> length(w) > {LONG_WORD}) THEN {mixed} ELSE transform(ws, w -> xxhash64(w)) END")
     tuple_ = ", ".join(f"wh[i + {j}]" for j in range(k))
     kmers = f"CASE WHEN size(wh) = 0 THEN CAST(array() AS array<bigint>) WHEN size(wh) < {k} THEN array(xxhash64(wh)) ELSE transform(sequence(0, size(wh) - {k}), i -> xxhash64({tuple_})) END"
     by_kmer = f"sort_array(transform(kh, (x, i) -> (x & {~_LOW}L) | (i & {_LOW})))"
