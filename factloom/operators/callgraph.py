@@ -1,7 +1,7 @@
 """Call graphs: edges, neighbours, closures, strongly connected components, bottom-up levels.
 
 Functions are many, so these are relational: equi-joins and fixpoints, never a whole graph in
-one task.
+one task, whatever its size.
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import closure, cut, fixpoint
+from ..plans.fixpoint import DidNotSettle, closure, cut, drop, fixpoint
 from ..sources.facts import Program
 from ..sources.schema import UNKNOWN
-from . import kernels as K
 
 
 def canonical(program: Program) -> DataFrame:
@@ -72,75 +71,112 @@ def project_defined(edges: DataFrame, defined: DataFrame) -> DataFrame:
     return edges.join(defined.select(F.col("fn").alias("src")), "src", "left_semi").join(defined.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fn, c): the least c of what reaches a node along (src, dst), itself included. One row a
-    node; a round moves only labels that changed."""
-    best = cut(values)
-    changed = best
-    while True:
-        got = edges.join(changed.select(F.col("fn").alias("src"), "c"), "src").groupBy(F.col("dst").alias("fn")).agg(F.min("c").alias("new"))
-        changed = cut(best.join(got, "fn").where("new < c").select("fn", F.col("new").alias("c")))
-        if changed.isEmpty():
-            return best
-        best = cut(best.join(changed.withColumnRenamed("c", "new"), "fn", "left").select("fn", F.coalesce("new", "c").alias("c")))
-
+#: No loop here runs longer; one that would raises DidNotSettle.
+MOST_ROUNDS = 10_000
 
-#: Graphs of so many edges at most (counted, 16 bytes each) go to one task; beyond, by rounds.
-SMALL_EDGES = 200_000
 
-
-def _in_one_task(edges: DataFrame, kernel: Callable[[K.Adj], dict[int, int]], columns: str) -> DataFrame:
-    """What a kernel makes of a whole small graph."""
-    names = [c.split()[0] for c in columns.split(",")]
-
-    def run(pdf):
-        import pandas as pd
-
-        suc, _ = K.adjacency(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))
-        return pd.DataFrame(list(kernel(suc).items()), columns=names)
-
-    return cut(edges.select("src", "dst", F.lit(True).alias("all")).groupBy("all").applyInPandas(run, columns))
+def _spread(values: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(fn, c): the least c of what reaches a node along (src, dst), itself included. One row a
+    node; a round moves only labels that changed."""
+    best = cut(values.select("fn", "c", F.lit(True).alias("moved")))
+    for _ in range(most_rounds):
+        moved = best.where("moved").select(F.col("fn").alias("src"), "c")
+        got = edges.join(moved, "src").groupBy(F.col("dst").alias("fn")).agg(F.min("c").alias("new"))
+        less = F.coalesce(F.col("new") < F.col("c"), F.lit(False))
+        before, best = best, cut(best.join(got, "fn", "left").select("fn", F.when(less, F.col("new")).otherwise(F.col("c")).alias("c"), less.alias("moved")))
+        drop(before)
+        if best.where("moved").isEmpty():
+            return best.select("fn", "c")
+    raise DidNotSettle(f"{most_rounds} rounds")
+
+
+def _chains(left: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """((fn, u, w) of nodes between u and w with one way in and one way out all along, (fn, c) of
+    nodes on a ring of such nodes); None without any. Both ends are found by doubling."""
+    ins = left.groupBy(F.col("dst").alias("fn")).agg(F.count("*").alias("n_in"), F.min("src").alias("u"))
+    outs = left.groupBy(F.col("src").alias("fn")).agg(F.count("*").alias("n_out"), F.min("dst").alias("w"))
+    at = cut(ins.join(outs, "fn").where("n_in = 1 AND n_out = 1").select("fn", "u", "w", F.least("fn", "w").alias("c"), F.lit(True).alias("open")))
+    n = at.count()
+    if not n:
+        drop(at)
+        return None
+    # After as many rounds a pointer that is still within has passed every node of its ring.
+    for _ in range(n.bit_length() + 1):
+        ahead = at.select(F.col("fn").alias("w"), F.col("w").alias("w2"), F.col("c").alias("c2"))
+        back = at.select(F.col("fn").alias("u"), F.col("u").alias("u2"))
+        step = at.join(ahead, "w", "left").join(back, "u", "left")
+        before, at = at, cut(step.select("fn", F.coalesce("u2", "u").alias("u"), F.coalesce("w2", "w").alias("w"), F.least("c", "c2").alias("c"), (F.col("u2").isNotNull() | F.col("w2").isNotNull()).alias("open")))
+        drop(before)
+        if at.where("open").isEmpty():
+            break
+    inner = at.select(F.col("fn").alias("w"))
+    return at.join(inner, "w", "left_anti").select("fn", "u", "w"), at.join(inner, "w", "left_semi").select("fn", "c")
 
 
-def scc(edges: DataFrame, nodes: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+def scc(edges: DataFrame, nodes: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(fn, scc): the least function of each strongly connected component.
 
-    A graph of at most ``small`` edges is solved by one task, any other by rounds:
-    Nodes without an edge in, or out of, what is left are components of their own and are
-    trimmed. Then colours spread forward, the least function that reaches a node, and the
-    component of each colour's root is what also reaches the root within its colour. Found
-    components go and the rest starts again. Everything is one row per node and per edge."""
+    Three steps alternate until no edge is left. Nodes without an edge in, or out of, what is left
+    are components of their own and go. Nodes with one way in and one way out go too, replaced by
+    an edge past them: they belong to a component that holds both ends of their chain, else to
+    none. Then every node takes the least of the random colours of what reaches it: a component
+    has one colour, so edges between colours go, and what reaches a colour's own node within it is
+    that node's component. Everything is one row a node and one an edge."""
     left = cut(edges.select("src", "dst").where("src <> dst").distinct())
     found: list[DataFrame] = []
+    passed: list[DataFrame] = []
     n = left.count()
-    if n <= small:
-        got = _in_one_task(left, K.components, "fn long, scc long")
-        return nodes.join(got, "fn", "left").select("fn", F.coalesce("scc", "fn").alias("scc"))
-    while True:
-        n = left.count()
+    for _ in range(most_rounds):
         while n:
             ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-            left = cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
-            m = left.count()
-            if m == n:
+            before, left = left, cut(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
+            drop(before)
+            m, n = n, left.count()
+            if m - n <= m // 8:  # what is left of long tails goes with the chains
                 break
-            n = m
         if not n:
             break
-        core = left.select(F.col("src").alias("fn")).distinct()
-        colour = _spread(core.withColumn("c", F.col("fn")), left)
+        if chain := _chains(left):
+            between, ring = cut(chain[0]), cut(chain[1])
+            passed.append(between)
+            found.append(ring)
+            gone = between.select("fn").union(ring.select("fn"))
+            rest = left.join(gone.withColumnRenamed("fn", "src"), "src", "left_anti").join(gone.withColumnRenamed("fn", "dst"), "dst", "left_anti")
+            before, left = left, cut(rest.select("src", "dst").union(between.where("u <> w").select("u", "w")).distinct())
+            drop(before)
+            m, n = n, left.count()
+            if n <= m // 2:
+                continue
+        core = left.select(F.col("src").alias("fn")).union(left.select(F.col("dst"))).distinct()
+        own = F.struct(F.xxhash64("fn").alias("h"), F.col("fn").alias("root"))
+        colour = cut(_spread(core.withColumn("c", own), left, most_rounds).select("fn", F.col("c.root").alias("c")))
         c1, c2 = colour.select(F.col("fn").alias("src"), F.col("c").alias("cs")), colour.select(F.col("fn").alias("dst"), F.col("c").alias("cd"))
-        within = cut(left.join(c1, "src").join(c2, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        # Backward from the root: it is the least of its colour, so its own number spreads.
-        back = _spread(colour.select("fn", F.when(F.col("fn") == F.col("c"), F.col("fn")).otherwise(F.lit((1 << 63) - 1)).alias("c")), within)
-        got = cut(back.where(F.col("c") < (1 << 63) - 1).select("fn", F.col("c").alias("scc")))
+        within = cut(left.join(c1, "src").join(c2, "dst").where("cs = cd").select("src", "dst"))
+        back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reach = _spread(colour.select("fn", F.when(F.col("fn") == F.col("c"), F.lit(0)).otherwise(F.lit(1)).alias("c")), back, most_rounds)
+        got = cut(reach.where("c = 0").select("fn").join(colour, "fn"))
         found.append(got)
         gone = got.select("fn")
-        left = cut(left.join(gone.withColumnRenamed("fn", "src"), "src", "left_anti").join(gone.withColumnRenamed("fn", "dst"), "dst", "left_anti"))
-    if not found:
+        before, left = left, cut(within.join(gone.withColumnRenamed("fn", "src"), "src", "left_anti").join(gone.withColumnRenamed("fn", "dst"), "dst", "left_anti"))
+        drop(before, within, colour)
+        n = left.count()
+    else:
+        raise DidNotSettle(f"{most_rounds} rounds")
+    drop(left)
+    if not found and not passed:
         return nodes.select("fn", F.col("fn").alias("scc"))
-    got = reduce(DataFrame.unionByName, found)
-    return nodes.join(got, "fn", "left").select("fn", F.coalesce("scc", "fn").alias("scc"))
+    one = reduce(DataFrame.unionByName, found) if found else nodes.select("fn", F.col("fn").alias("c")).limit(0)
+    # Chains come back last in, first out: their ends may have been on chains of a later round.
+    for between in reversed(passed):
+        u, w = one.select(F.col("fn").alias("u"), F.col("c").alias("cu")), one.select(F.col("fn").alias("w"), F.col("c").alias("cw"))
+        ends = between.join(u, "u", "left").join(w, "w", "left").select("fn", "u", F.coalesce("cu", "u").alias("cu"), F.coalesce("cw", "w").alias("cw")).where("cu = cw")
+        inner = ends.select("fn", F.col("cu").alias("c"))
+        # An end that was not found before is now in a component with its chain.
+        outer = ends.where("u = cu").select(F.col("u").alias("fn"), F.col("cu").alias("c")).distinct()
+        one = cut(one.unionByName(inner).unionByName(outer).distinct())
+    least = one.groupBy("c").agg(F.min("fn").alias("scc"))
+    named = one.join(least, "c").select("fn", "scc")
+    return nodes.join(named, "fn", "left").select("fn", F.coalesce("scc", "fn").alias("scc"))
 
 
 def condense(edges: DataFrame, comp: DataFrame) -> DataFrame:
@@ -150,43 +186,63 @@ def condense(edges: DataFrame, comp: DataFrame) -> DataFrame:
     return b.where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct()
 
 
-def levels(condensed: DataFrame, comp: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
-    """(scc, level): 0 where nothing is called, else one more than the highest callee. One task
-    does a graph of at most ``small`` edges; of others the leaves are peeled off, so the rounds are
-    the longest call chain."""
-    left = cut(condensed)
-    if left.count() <= small:
-        got = _in_one_task(left, K.heights, "scc long, level long")
-        return comp.select("scc").distinct().join(got, "scc", "left").select("scc", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
-    calls = left.select(F.col("src").alias("scc")).distinct()
-    leaf = cut(comp.select("scc").distinct().join(calls, "scc", "left_anti"))
-    out, level = [], 0
-    while True:
-        out.append(leaf.withColumn("level", F.lit(level).cast("long")))
-        # Whoever calls a leaf, and nothing that is left, is a leaf of the next level.
-        met = left.join(leaf.select(F.col("scc").alias("dst")), "dst", "left_semi").select(F.col("src").alias("scc")).distinct()
-        left = cut(left.join(leaf.select(F.col("scc").alias("dst")), "dst", "left_anti"))
-        leaf = cut(met.join(left.select(F.col("src").alias("scc")).distinct(), "scc", "left_anti"))
-        if leaf.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        level += 1
+def levels(condensed: DataFrame, comp: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(scc, level): 0 where nothing is called, else one more than the highest callee.
+
+    Every component follows one callee; how far that leads is found by doubling, so the rounds are
+    the logarithm of the longest chain. Components with a callee that leads further turn to it,
+    until none has one. One row a component and one an edge, whatever the paths."""
+    edges = cut(condensed.select("src", "dst").distinct())
+    follow = cut(edges.groupBy("src").agg(F.min("dst").alias("to")))
+    for _ in range(most_rounds):
+        # (src, to, n): n calls lead to a component that calls nothing, or to one further on.
+        far = cut(follow.select("src", "to", F.lit(1).cast("long").alias("n"), F.lit(True).alias("open")))
+        for _ in range(64):
+            ahead = far.select(F.col("src").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
+            before, far = far, cut(far.join(ahead, "to", "left").select("src", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("n2").isNotNull().alias("open")))
+            drop(before)
+            if far.where("open").isEmpty():
+                break
+        height = far.select(F.col("src").alias("dst"), F.col("n").alias("h"))
+        best = edges.join(height, "dst", "left").groupBy("src").agg(F.max(F.struct(F.coalesce("h", F.lit(0)).alias("h"), F.col("dst").alias("to"))).alias("b"))
+        turned = far.select("src", "n").join(follow, "src").join(best, "src").select("src", F.when(F.col("b.h") + 1 > F.col("n"), F.col("b.to")).otherwise(F.col("to")).alias("to"), (F.col("b.h") + 1 > F.col("n")).alias("turned"))
+        before, follow = follow, cut(turned)
+        drop(before)
+        if follow.where("turned").isEmpty():
+            got = cut(far.select(F.col("src").alias("scc"), F.col("n").alias("level")))
+            drop(far, follow, edges)
+            return comp.select("scc").distinct().join(got, "scc", "left").select("scc", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
+        drop(far)
+    raise DidNotSettle(f"{most_rounds} rounds")
 
 
 @dataclass
 class Step:
     """One analysis of a composed bottom-up traversal. ``fn(members, callee_facts, earlier)``
     gives the component's summary from its functions, the summaries of what they call, and the
-    summaries that earlier steps made for the component; it runs until nothing changes."""
+    summaries that earlier steps made for the component; it runs until nothing changes. A step
+    with ``bodies`` gets a fourth argument, the rows of each member (function to list of dicts).
+    Without ``inherits`` a component's summary does not take over those of its callees, and
+    ``callee_facts`` holds them beside what the component has so far."""
 
     name: str
     fn: Callable
     depends_on: tuple[str, ...] = ()
+    bodies: bool = False
+    inherits: bool = True
+
 
+def bottom_up(edges: DataFrame, nodes: DataFrame, steps: list[Step], bodies: DataFrame | None = None, roots_only: bool = False, stored: list[int] | None = None) -> DataFrame:
+    """(scc, step, summary): summaries of all components, or of those that nothing calls.
 
-def bottom_up(edges: DataFrame, nodes: DataFrame, steps: list[Step]) -> DataFrame:
-    """(scc, step, summary): summaries of all components, callees first, a stage per level and a
-    task group per component. Summaries are strings, merged as sets, so the order of merging
-    does not matter. A step's dependencies must precede it."""
+    A relation counts, for each component, the callees that are still open and the callers that
+    have still to read it. A round takes all components without an open callee, a task group each,
+    with the summaries of what they call; then their callers wait for less, and summaries that the
+    last caller has read are dropped. ``stored``, if given, gets the number of summaries that each
+    round left to be read. ``bodies`` (fn, ...) are rows that steps may read of each function.
+
+    Summaries are strings, merged as sets, so the order of merging does not matter. A step's
+    dependencies must precede it. A component's functions go to one task."""
     done: set[str] = set()
     for s in steps:
         if not set(s.depends_on) <= done:
@@ -194,37 +250,61 @@ def bottom_up(edges: DataFrame, nodes: DataFrame, steps: list[Step]) -> DataFram
         done.add(s.name)
     comp = cut(scc(edges, nodes))
     cond = cut(condense(edges, comp))
-    lev = cut(levels(cond, comp))
-    members = cut(comp.join(lev, "scc"))
-    top = members.agg(F.max("level")).first()[0]
-    done_rows = None
+    out_of, into = cond.groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("waits")), cond.groupBy(F.col("dst").alias("scc")).agg(F.count("*").alias("readers"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    # top: nothing calls it.
+    state = cut(comp.select("scc").distinct().join(out_of, "scc", "left").join(into, "scc", "left").select("scc", zero("waits"), zero("readers"), F.col("readers").isNull().alias("top")))
+    read = bodies is not None
+    of = comp.join(bodies, "fn", "left") if read else comp
 
     def run(key, left, right):
         import pandas as pd
 
-        fns = sorted(left["fn"].tolist())
+        fns = sorted(set(left["fn"].tolist()))
+        rows = {int(f): g.drop(columns=["fn", "scc"]).to_dict("records") for f, g in left.groupby("fn")} if read else {}
         callee = {s.name: set(right.loc[right["step"] == s.name, "summary"]) for s in steps} if len(right) else {}
         mine: dict[str, set[str]] = {}
         for s in steps:
-            now = set(callee.get(s.name, ()))
+            below = set(callee.get(s.name, ()))
+            now = below if s.inherits else set()
             while True:
-                new = now | set(s.fn(fns, now, mine))
+                new = now | set(s.fn(fns, now | below, mine, *([rows] if s.bodies else [])))
                 if new == now:
                     break
                 now = new
             mine[s.name] = now
-        rows = [(key[0], n, v) for n, vs in mine.items() for v in sorted(vs)]
-        return pd.DataFrame(rows, columns=["scc", "step", "summary"])
-
-    for level in range((top if top is not None else -1) + 1):
-        here = members.where(F.col("level") == level)
-        if done_rows is None:
-            below = here.select("scc").limit(0).withColumn("step", F.lit("")).withColumn("summary", F.lit(""))
-        else:
-            below = cond.join(here.select(F.col("scc").alias("src")).distinct(), "src", "left_semi").join(done_rows.withColumnRenamed("scc", "dst"), "dst").select(F.col("src").alias("scc"), "step", "summary").distinct()
+        out = [(key[0], n, v) for n, vs in mine.items() for v in sorted(vs)]
+        return pd.DataFrame(out, columns=["scc", "step", "summary"])
+
+    empty = cond.sparkSession.createDataFrame([], "scc long, step string, summary string")
+    held, kept = empty, []
+    while not (ready := state.where("waits = 0")).isEmpty():
+        here = of.join(ready.select("scc"), "scc", "left_semi")
+        calls = cond.join(ready.select(F.col("scc").alias("src")), "src", "left_semi")
+        below = calls.join(held.withColumnRenamed("scc", "dst"), "dst").select(F.col("src").alias("scc"), "step", "summary").distinct()
         made = cut(here.groupBy("scc").cogroup(below.groupBy("scc")).applyInPandas(run, "scc long, step string, summary string"))
-        done_rows = made if done_rows is None else cut(done_rows.unionByName(made))
-    return done_rows
+        closed = cond.join(ready.select(F.col("scc").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("closed"))
+        heard = calls.groupBy(F.col("dst").alias("scc")).agg(F.count("*").alias("heard"))
+        # Components that are done stay as long as they are read, with a negative wait.
+        left = F.when(F.col("waits") == 0, F.lit(-1)).otherwise(F.col("waits") - F.coalesce("closed", F.lit(0))).cast("long")
+        then = cut(state.join(closed, "scc", "left").join(heard, "scc", "left").select("scc", left.alias("waits"), (F.col("readers") - F.coalesce("heard", F.lit(0))).alias("readers"), "top").where("waits >= 0 OR readers > 0"))
+        wanted = then.where("waits < 0 AND readers > 0").select("scc")
+        before, held = held, cut(held.unionByName(made).join(wanted, "scc", "left_semi"))
+        if stored is not None:
+            stored.append(held.count())
+        if roots_only:
+            kept.append(cut(made.join(ready.where("top").select("scc"), "scc", "left_semi")))
+            drop(made)
+        else:
+            kept.append(made)
+        if len(kept) > 8:
+            merged = cut(reduce(DataFrame.unionByName, kept))
+            drop(*kept)
+            kept = [merged]
+        drop(before, state)
+        state = then
+    drop(held, state, comp, cond)
+    return reduce(DataFrame.unionByName, kept) if kept else empty
 
 
 def reaching_maximum(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -233,12 +313,14 @@ def reaching_maximum(edges: DataFrame, values: DataFrame) -> DataFrame:
     best = cut(values.groupBy("fn").agg(F.max("value").alias("best")))
     e = cut(edges.select("src", "dst").distinct())
     changed = best
-    while not changed.isEmpty():
+    for _ in range(MOST_ROUNDS):
+        if changed.isEmpty():
+            return best
         got = e.join(changed.withColumnRenamed("fn", "dst"), "dst").groupBy(F.col("src").alias("fn")).agg(F.max("best").alias("new"))
         up = best.join(got, "fn", "full_outer")
         changed = cut(up.where("new IS NOT NULL AND (best IS NULL OR new > best)").select("fn", F.col("new").alias("best")))
         best = cut(best.join(changed.withColumnRenamed("best", "new"), "fn", "full_outer").select("fn", F.coalesce("new", "best").alias("best")))
-    return best
+    raise DidNotSettle(f"{MOST_ROUNDS} rounds")
 
 
 __all__ = ["Step", "bottom_up", "call_edges", "call_sites", "call_targets", "callees", "callers", "canonical", "condense", "fixpoint", "levels", "project_defined", "reaching_maximum", "reflexive_closure", "scc"]

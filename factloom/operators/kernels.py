@@ -34,62 +34,6 @@ def reachable(suc: Adj, start: int) -> set[int]:
     return seen
 
 
-def components(suc: Adj) -> dict[int, int]:
-    """Node to the least node of its strongly connected component. Depth first with an explicit
-    stack: a node whose walk comes back to nothing older closes a component."""
-    number: dict[int, int] = {}
-    low: dict[int, int] = {}
-    out: dict[int, int] = {}
-    open_: list[int] = []
-    for root in sorted(suc):
-        if root in number:
-            continue
-        work = [(root, iter(suc.get(root, ())))]
-        number[root] = low[root] = len(number)
-        open_.append(root)
-        while work:
-            node, rest = work[-1]
-            for nxt in rest:
-                if nxt not in number:
-                    number[nxt] = low[nxt] = len(number)
-                    open_.append(nxt)
-                    work.append((nxt, iter(suc.get(nxt, ()))))
-                    break
-                if nxt not in out:
-                    low[node] = min(low[node], number[nxt])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == number[node]:
-                    members = [open_.pop()]
-                    while members[-1] != node:
-                        members.append(open_.pop())
-                    out.update(dict.fromkeys(members, min(members)))
-    return out
-
-
-def heights(suc: Adj) -> dict[int, int]:
-    """Node of an acyclic graph to its height: 0 without successors, else one more than the
-    highest of them."""
-    nodes = set(suc) | {x for v in suc.values() for x in v}
-    pre: dict[int, list[int]] = defaultdict(list)
-    left = {n: len(suc.get(n, ())) for n in nodes}
-    for a, v in suc.items():
-        for b in v:
-            pre[b].append(a)
-    todo = deque(n for n in nodes if not left[n])
-    out = dict.fromkeys(todo, 0)
-    while todo:
-        b = todo.popleft()
-        for a in pre[b]:
-            out[a] = max(out.get(a, 0), out[b] + 1)
-            left[a] -= 1
-            if not left[a]:
-                todo.append(a)
-    return out
-
-
 def reverse_postorder(suc: Adj, root: int) -> list[int]:
     out, seen, stack = [], {root}, [(root, iter(suc.get(root, ())))]
     while stack:

@@ -56,7 +56,19 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads again; other frames, and None, are passed over."""
+    for f in frames:
+        path = getattr(f, "_cut_path", None) if f is not None else None
+        if path:
+            sc = f.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class DidNotSettle(RuntimeError):
@@ -76,7 +88,9 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
             return known
         parts.append(delta)
         if len(parts) > 8:
-            parts = [cut(reduce(DataFrame.unionByName, parts))]
+            merged = cut(reduce(DataFrame.unionByName, parts))
+            drop(*parts[:-1])  # the last is read once more, as the delta
+            parts = [merged]
         known = reduce(DataFrame.unionByName, parts)
     raise DidNotSettle(f"{most_rounds} rounds")
 

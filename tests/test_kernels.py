@@ -77,15 +77,3 @@ def test_names():
     assert demangle("_ZThn16_N1A1fEv").kind == "thunk"
     assert demangle("_ZTI4Base").kind == "typeinfo" and demangle("main") is None
     assert type_name("%struct.T.12") == "T" and type_name("class.a::B") == "a::B"
-
-
-@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=30))
-def test_components_and_heights(edges):
-    suc, _ = K.adjacency(edges)
-    comp = K.components(suc)
-    reach = {n: K.reachable(suc, n) | {n} for n in comp}
-    assert set(comp) == {x for e in edges for x in e}
-    assert all(comp[n] == min(m for m in reach[n] if n in reach[m]) for n in comp)
-    top, _ = K.adjacency((comp[a], comp[b]) for a, b in edges if comp[a] != comp[b])
-    got = K.heights(top)
-    assert all(got[a] == 1 + max(got[b] for b in v) for a, v in top.items()) and all(h == 0 for n, h in got.items() if n not in top)

@@ -36,10 +36,9 @@ def test_bottom_up_order_of_a_small_cycle(spark):
     # main -> g <-> f -> h
     e = spark.createDataFrame([(1, 3), (3, 2), (2, 3), (2, 4)], "src long, dst long")
     n = spark.createDataFrame([(1,), (2,), (3,), (4,)], "fn long")
-    for small in (0, 100):  # by rounds, and in one task
-        comp = C.scc(e, n, small)
-        assert pairs(comp) == [(1, 1), (2, 2), (3, 2), (4, 4)]
-        assert pairs(C.levels(C.condense(e, comp), comp, small)) == [(1, 2), (2, 1), (4, 0)]
+    comp = C.scc(e, n)
+    assert pairs(comp) == [(1, 1), (2, 2), (3, 2), (4, 4)]
+    assert pairs(C.levels(C.condense(e, comp), comp)) == [(1, 2), (2, 1), (4, 0)]
 
 
 def test_copies_through_two_levels_of_pointers(spark):
