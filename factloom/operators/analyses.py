@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import closure
+from ..sources.facts import Program
 from . import kernels as K
 from .flow import dataflow, reachable_from_entry
 
@@ -56,36 +57,80 @@ def null_facts(edges: DataFrame, tests: DataFrame) -> DataFrame:
     return dataflow(edges, ins, lambda: K.Dataflow(None, frozenset(), meet, lambda f, i: f, edge), emit, "block long, value long, polarity long")
 
 
-def block_returns(edges: DataFrame, returned: DataFrame) -> tuple[DataFrame, DataFrame]:
+def phi_edges(program: Program) -> DataFrame:
+    """(fn, phi, at, value, block): what a phi node of block ``at`` is when it is reached from ``block``."""
+    phi = program.instructions.where("opcode = 'phi'").select(F.col("inst_id").alias("phi"), F.col("fn_id").alias("fn"), F.col("block_id").alias("at"))
+    return phi.join(program.operands.where("role = 'incoming'").select(F.col("inst_id").alias("phi"), F.col("value_id").alias("value"), F.col("block_id").alias("block")), "phi").select("fn", "phi", "at", "value", "block")
+
+
+def returned_values(program: Program) -> DataFrame:
+    """(fn, block, value): what the return of a block returns."""
+    ret = program.instructions.where("opcode = 'ret'").select("inst_id", F.col("fn_id").alias("fn"), F.col("block_id").alias("block"))
+    return ret.join(program.operands.where("role = 'retval'").select("inst_id", F.col("value_id").alias("value")), "inst_id").select("fn", "block", "value")
+
+
+def _with_phis(returned: DataFrame, phis: DataFrame | None) -> DataFrame:
+    """Returns and, marked by a phi, what phi nodes are; no column is null, so that ids stay whole."""
+    none = F.lit(_NO_PHI)
+    rows = returned.select("fn", "block", "value", none.alias("phi"), F.lit(0).cast("long").alias("at"))
+    return rows if phis is None else rows.unionByName(phis.select("fn", "block", "value", "phi", "at"))
+
+
+_NO_PHI = -(1 << 62)
+
+
+def _split(right) -> tuple[list[tuple[int, int]], dict[int, list[tuple[int, int]]], dict[int, int]]:
+    """(returns, phi to its (value, block) pairs, phi to its block) of a function's rows."""
+    returns, phis, at = [], {}, {}
+    for b, v, phi, a in zip(right["block"].tolist(), right["value"].tolist(), right["phi"].tolist(), right["at"].tolist(), strict=True):
+        if phi == _NO_PHI:
+            returns.append((b, v))
+        else:
+            phis.setdefault(phi, []).append((v, b))
+            at[phi] = a
+    return returns, phis, at
+
+
+def block_returns(edges: DataFrame, returned: DataFrame, phis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((fn, block, value) that a block must return, (fn, block) poisoned).
 
     From each return block (fn, block, value) the value goes to a predecessor when the block
-    postdominates it; a block that is reached only otherwise is poisoned. Independent of the
-    order of visits: any postdominating derivation wins."""
+    postdominates it; a block that is reached only otherwise is poisoned. A returned phi node, of
+    ``phis`` (as phi_edges has them), labels no block: each of its values goes to the block that
+    it comes from instead, if that is postdominated, and so on for phi nodes of phi nodes.
+    Independent of the order of visits: any postdominating derivation wins, and a block with two
+    values, as in a loop that returns what it last had, is poisoned."""
     import pandas as pd
 
     def run(key, left, right):
         e = list(zip(left["src"].tolist(), left["dst"].tolist(), strict=True))
         suc, pre = K.adjacency(e)
         ipdom = K.immediate_dominators(pre, suc, K.EXIT)
-        todo = list(zip(right["block"].tolist(), right["value"].tolist(), strict=True))
-        label, tried = {}, set()
+        todo, of, _ = _split(right)
+        over = {b: set(K.ancestors(ipdom, b)) for b in {*pre, *suc, *(b for x in of.values() for _, b in x)}}
+        label, tried, seen = {}, set(), set()
         while todo:
             b, v = todo.pop()
-            if b in label:
+            if (b, v) in seen:
                 continue
-            label[b] = v
-            for p in pre.get(b, ()):
-                if b in K.ancestors(ipdom, p):
-                    todo.append((p, v))
+            seen.add((b, v))
+            if v in of:
+                above = of[v]
+            else:
+                label.setdefault(b, set()).add(v)
+                above = [(v, p) for p in pre.get(b, ())]
+            for w, p in above:
+                if b in over[p]:
+                    todo.append((p, w))
                 else:
                     tried.add(p)
-        rows = [(b, v, False) for b, v in label.items()] + [(p, None, True) for p in tried - set(label)]
+        rows = [(b, *vs, False) for b, vs in label.items() if len(vs) == 1]
+        rows += [(p, None, True) for p in (tried - set(label)) | {b for b, vs in label.items() if len(vs) > 1}]
         out = pd.DataFrame(rows, columns=["block", "value", "poisoned"]).astype({"value": "Int64"})
         out.insert(0, "fn", key[0])
         return out
 
-    both = edges.groupBy("fn").cogroup(returned.groupBy("fn")).applyInPandas(run, "fn long, block long, value long, poisoned boolean")
+    both = edges.groupBy("fn").cogroup(_with_phis(returned, phis).groupBy("fn")).applyInPandas(run, "fn long, block long, value long, poisoned boolean")
     return both.where("NOT poisoned").select("fn", "block", "value"), both.where("poisoned").select("fn", "block")
 
 
@@ -95,18 +140,26 @@ def instruction_returns(ins: DataFrame, returns: DataFrame) -> DataFrame:
     return ins.select("fn", F.col("b").alias("block"), "iid").join(returns, ["fn", "block"]).select("fn", "iid", "value")
 
 
-def may_return(edges: DataFrame, returned: DataFrame) -> DataFrame:
-    """(fn, block, value): every value that some path from a block returns."""
+def may_return(edges: DataFrame, returned: DataFrame, phis: DataFrame | None = None) -> DataFrame:
+    """(fn, block, value): every value that some path from a block returns. A phi node of ``phis``
+    is the value from its own block on; before that, each path has the value that comes by it."""
     import pandas as pd
 
     def run(key, left, right):
         _, pre = K.adjacency(zip(left["src"].tolist(), left["dst"].tolist(), strict=True))
-        rows = {(b, v) for r, v in zip(right["block"].tolist(), right["value"].tolist(), strict=True) for b in (r, *K.reachable(pre, r))}
+        todo, of, at = _split(right)
+        rows: set[tuple[int, int]] = set()
+        while todo:
+            b, v = todo.pop()
+            if (b, v) in rows:
+                continue
+            rows.add((b, v))
+            todo += [(p, w) for w, p in of[v]] if at.get(v) == b else [(p, v) for p in pre.get(b, ())]
         out = pd.DataFrame(sorted(rows), columns=["block", "value"])
         out.insert(0, "fn", key[0])
         return out
 
-    return edges.groupBy("fn").cogroup(returned.groupBy("fn")).applyInPandas(run, "fn long, block long, value long")
+    return edges.groupBy("fn").cogroup(_with_phis(returned, phis).groupBy("fn")).applyInPandas(run, "fn long, block long, value long")
 
 
 def at_instructions(facts: DataFrame, ins: DataFrame) -> DataFrame:

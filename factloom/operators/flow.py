@@ -158,3 +158,41 @@ def dataflow(edges: DataFrame, ins: DataFrame, analysis: Callable[[], K.Dataflow
         return out
 
     return edges.groupBy("fn").cogroup(ins.groupBy("fn")).applyInPandas(run, f"fn long, {columns}")
+
+
+def dataflow_in(edges: DataFrame, ins: DataFrame, environment: DataFrame, analysis: Callable[[K.Environment], K.Dataflow], emit: Callable, columns: str, told: str, entry: int = 0) -> tuple[DataFrame, DataFrame]:
+    """An analysis in every function whose transfers read a relation and write rows of their own.
+
+    ``environment`` (fn, ...) has what the transfers of each function may ask for: summaries of its
+    callees, say. ``analysis(env)`` makes the analysis around a K.Environment; transfers call
+    ``env.ask(column=value)`` for rows and ``env.tell(*row)`` to write one. Gives the facts that
+    ``emit`` picks, (fn, *columns), and the rows written once facts have settled, (fn, *told)."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ..plans.fixpoint import cut
+
+    names, said = ([c.split()[0] for c in x.split(",")] for x in (columns, told))
+    kinds = T.StructType.fromDDL(f"{columns}, {told}") if not set(names) & set(said) else None
+    if kinds is None:
+        raise ValueError("columns of facts and of told rows need names of their own")
+    out = f"fn long, {columns}, {told}, _told boolean"
+    arrow = pa.schema([("fn", pa.int64())] + [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64()) for f in kinds.fields] + [("_told", pa.bool_())])
+    flagged = edges.select("fn", F.col("src").alias("_src"), F.col("dst").alias("_dst")).unionByName(environment, allowMissingColumns=True)
+
+    def run(key, left, right):
+        rows = left.to_pylist()
+        suc, pre = K.adjacency((r["_src"], r["_dst"]) for r in rows if r["_src"] is not None)
+        env = K.Environment([r for r in rows if r["_src"] is None])
+        blocks: dict[int, list] = {}
+        for r in right.sort_by("ord").to_pylist():
+            blocks.setdefault(r["b"], []).append(r)
+        a = analysis(env)
+        facts = a.solve(blocks, suc, pre, entry)
+        fn = key[0].as_py()
+        made = [{"fn": fn, **dict(zip(names, row, strict=True)), "_told": False} for row in emit(a, blocks, facts, suc)]
+        made += [{"fn": fn, **dict(zip(said, row, strict=True)), "_told": True} for row in env.settled(lambda: a.replay(blocks, facts, suc))]
+        return pa.Table.from_pylist(made, schema=arrow)
+
+    both = cut(flagged.groupBy("fn").cogroup(ins.groupBy("fn")).applyInArrow(run, out))
+    return both.where("NOT _told").select("fn", *names), both.where("_told").select("fn", *said)

@@ -106,13 +106,48 @@ def control_dependences(edges: Iterable[tuple[int, int]], ipdom: dict[int, int],
     return out
 
 
+class Environment:
+    """What the transfers of one function may read, write and keep: rows of relations, rows of their
+    own, and a dict that lives as long as the function's analysis.
+
+    An analysis asks its transfers again and again until facts settle. What they write on the way is
+    forgotten; only a last pass from the settled facts is written down, each row once."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.kept: dict = {}
+        self._by: dict[tuple[str, ...], dict[tuple, list[dict]]] = {}
+        self._told: dict[tuple, None] | None = None
+
+    def ask(self, **key) -> list[dict]:
+        """The rows with these values in these columns."""
+        names = tuple(sorted(key))
+        if names not in self._by:
+            index = self._by[names] = defaultdict(list)
+            for r in self.rows:
+                index[tuple(r[n] for n in names)].append(r)
+        return self._by[names].get(tuple(key[n] for n in names), [])
+
+    def tell(self, *row) -> None:
+        if self._told is not None:
+            self._told[row] = None
+
+    def settled(self, replay: Callable[[], None]) -> list[tuple]:
+        """What is written during a last pass."""
+        self._told = {}
+        replay()
+        told, self._told = list(self._told), None
+        return told
+
+
 @dataclass
 class Dataflow:
     """A monotone analysis: a lattice by ``top`` and ``meet`` (meet(a, top) = a, finite height),
     the fact at the start, and a transfer for each instruction. ``edge`` may give, for a
     terminator, facts of single successors; those it leaves out get the plain result, those
     that are no successors are discarded, and repeated ones are met. Backward analyses start
-    at the virtual exit, and their edge facts are consulted as well."""
+    at the virtual exit; there ``edge`` is asked with the fact of each successor and says what
+    of it goes back over the edge. Transfers may read and write an Environment."""
 
     top: Any
     start: Any
@@ -156,13 +191,7 @@ class Dataflow:
         fact, todo = {EXIT: self.start}, deque(pre.get(EXIT, ()))
         while todo:
             b = todo.popleft()
-            new = self.top
-            given: dict[int, Any] = {}
-            for t, f in self.edge(None, blocks[b][-1]) if self.edge and blocks.get(b) else ():
-                given[t] = self.meet(given[t], f) if t in given else f
-            for t in suc.get(b, ()):
-                if t in fact:
-                    new = self.meet(new, self.meet(fact[t], given[t]) if t in given else fact[t])
+            new = self._below(b, fact, blocks, suc)
             for i in reversed(blocks.get(b, [])):
                 new = self.transfer(new, i)
             if b not in fact or fact[b] != new:
@@ -170,9 +199,27 @@ class Dataflow:
                 todo.extend(pre.get(b, ()))
         return fact
 
+    def _below(self, b, fact, blocks, suc):
+        """The fact under a block's last instruction, from its successors' facts."""
+        new = self.top
+        for t in suc.get(b, ()):
+            if t in fact:
+                given = [f for x, f in self.edge(fact[t], blocks[b][-1]) if x == t] if self.edge and blocks.get(b) else []
+                for f in given or [fact[t]]:
+                    new = self.meet(new, f)
+        return new
+
+    def replay(self, blocks: dict[int, list[Any]], facts: dict[int, Any], suc: Adj) -> None:
+        """Runs each visited block once from the settled facts, for what transfers write."""
+        for b, body in blocks.items():
+            if b in facts:
+                after = self.at(blocks, facts, suc, b)
+                if self.edge and self.forward and body:
+                    self.edge(after[-1], body[-1])
+
     def at(self, blocks: dict[int, list[Any]], facts: dict[int, Any], suc: Adj, block: int) -> list[Any]:
-        """The fact after each instruction of a block (for backward ones: above it), edge facts
-        aside; top in a block that was never visited."""
+        """The fact after each instruction of a block (for backward ones: above it); top in a block
+        that was never visited."""
         out = []
         if self.forward:
             f = facts.get(block)
@@ -180,10 +227,7 @@ class Dataflow:
                 f = self.top if f is None else self.transfer(f, i)
                 out.append(f)
             return out
-        f = self.top
-        for t in suc.get(block, ()):
-            if t in facts:
-                f = self.meet(f, facts[t])
+        f = self._below(block, facts, blocks, suc)
         for i in reversed(blocks[block]):
             f = self.transfer(f, i) if block in facts else self.top
             out.append(f)
