@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import demangled
-from ..plans.fixpoint import closure, cut
+from ..functions.names import demangled, strip_type_prefix
+from ..plans.fixpoint import closure, cut, fixpoint
 from ..sources.facts import Program
 from ..sources.schema import EXIT
 
@@ -191,7 +191,7 @@ def vtable_slots(program: Program, pointer_bits: int = 64) -> DataFrame:
     index = ops.where("role = 'index'").join(const, "value_id").groupBy("inst_id").agg(F.sort_array(F.collect_list(F.struct("pos", "int_value"))).alias("l"))
     gep = via("getelementptr", "base", "g", "gb").join(index.select(F.col("inst_id").alias("g"), F.transform("l", lambda x: x["int_value"]).alias("ix")), "g")
     zero = gep.where("ix = array(0L, 0L)")
-    site = via("call", "callee", "inst_id", "fp").join(ops.where("role = 'arg' AND pos = 0").select("inst_id", F.col("value_id").alias("this")), "inst_id")
+    site = via("call", "callee", "inst_id", "fp").unionByName(via("invoke", "callee", "inst_id", "fp")).join(ops.where("role = 'arg' AND pos = 0").select("inst_id", F.col("value_id").alias("this")), "inst_id")
     site = site.join(via("load", "address", "fp", "la"), "fp")
     load, cast = via("load", "address", "lo", "lb"), via("bitcast", "casted", "bc", "bt")
     from_cast = load.join(cast, F.col("lb") == F.col("bc")).select(F.col("lo").alias("table"), F.col("bt").alias("obj"))
@@ -216,7 +216,7 @@ def loads_libraries(program: Program) -> DataFrame:
     return program.functions.groupBy("module_id").agg(F.max(F.col("name") == "dlopen").alias("uses_dlopen"))
 
 
-def module_constructors(program: Program) -> DataFrame:
+def load_time_functions(program: Program) -> DataFrame:
     """(fn): functions that run before main: the second member of each entry of the list of
     constructors, seen through a cast."""
     start = program.globals.where("name = 'llvm.global_ctors' AND init_value_id IS NOT NULL").select(F.col("init_value_id").alias("value_id"))
@@ -227,17 +227,74 @@ def module_constructors(program: Program) -> DataFrame:
     return member.join(casts, "value_id", "left").select(F.coalesce("to", "value_id").alias("fn")).join(function_nodes(program), "fn", "left_semi").distinct()
 
 
+def module_constructors(program: Program) -> DataFrame:
+    """(fn): the defined functions that construct an object without its virtual bases (tag C2); these
+    are made for every class, whatever else is."""
+    fns = program.functions.where("NOT is_external").select(F.col("fn_id").alias("fn"), demangled("name").alias("d"))
+    return fns.where("d.tag = 'C2'").select("fn")
+
+
+def class_types(program: Program) -> DataFrame:
+    """(fn, class, type_id, error): for each such constructor the class that it constructs, by the
+    name of the structure that its first parameter points to; ExpectedClassType where that is no
+    pointer to a named structure."""
+    first = program.arguments.where("pos = 0").select(F.col("fn_id").alias("fn"), F.col("type_id").alias("p"))
+    to = program.types.where("kind = 'pointer'").select(F.col("type_id").alias("p"), F.col("elem_type_id").alias("type_id"))
+    named = program.types.where("kind = 'struct' AND struct_name IS NOT NULL").select("type_id", strip_type_prefix("struct_name").alias("class"))
+    made = module_constructors(program).join(first, "fn", "left").join(to, "p", "left").join(named, "type_id", "left")
+    ok = F.col("class").isNotNull()
+    return made.select("fn", "class", F.when(ok, F.col("type_id")).alias("type_id"), F.when(~ok, F.lit("ExpectedClassType")).alias("error"))
+
+
+def names_to_types(program: Program, names: DataFrame) -> DataFrame:
+    """(class, type_id, error) of names (class); NoType for one that no constructor constructs."""
+    known = class_types(program).where("error IS NULL").groupBy("class").agg(F.min("type_id").alias("type_id"))
+    return names.select("class").join(known, "class", "left").withColumn("error", F.when(F.col("type_id").isNull(), F.lit("NoType")))
+
+
+def types_to_names(program: Program) -> DataFrame:
+    """(type_id, class, error) of all types; NoName for what is no named structure."""
+    named = F.when((F.col("kind") == "struct") & F.col("struct_name").isNotNull(), strip_type_prefix("struct_name"))
+    return program.types.select("type_id", named.alias("class"), F.when(named.isNull(), F.lit("NoName")).alias("error"))
+
+
+def virtual_calls(program: Program, pointer_bits: int = 64) -> DataFrame:
+    """(inst_id, target, kind) of calls and invokes: ``direct`` calls have the defined function that
+    they name, seen through casts; ``virtual`` ones, of the shapes that vtable_slots knows, what
+    stands in their slot in the vtables of the static class of their first argument and of all
+    classes below it. Classes without a vtable, or with a shorter one, are passed over."""
+    from .analyses import class_ancestors, virtual_targets
+    from .callgraph import call_sites
+
+    defined = program.functions.where("NOT is_external").select(F.col("fn_id").alias("callee"))
+    direct = call_sites(program).join(defined, "callee", "left_semi").select("inst_id", F.col("callee").alias("target"), F.lit("direct").alias("kind"))
+    to = program.types.where("kind = 'pointer'").select("type_id", F.col("elem_type_id").alias("of"))
+    named = types_to_names(program).where("error IS NULL").select(F.col("type_id").alias("of"), "class")
+    static = value_types(program).join(to, "type_id").join(named, "of").select(F.col("value_id").alias("this"), "class")
+    calls = cut(vtable_slots(program, pointer_bits).join(static, "this").select(F.col("inst_id").alias("site"), "class", "slot"))
+    above, tables = class_parents(program), cut(vtables(program))
+    classes = tables.select("class").union(above.select("parent")).union(above.select("child")).union(calls.select("class")).distinct()
+    found = virtual_targets(calls, class_ancestors(above, classes), tables)
+    return direct.unionByName(found.select(F.col("site").alias("inst_id"), "target", F.lit("virtual").alias("kind")))
+
+
+def function_types(program: Program) -> DataFrame:
+    """(type_id, function_type_id): function types, and pointers to them through any number of pointers."""
+    up = program.types.where("kind = 'pointer' AND elem_type_id IS NOT NULL").select(F.col("elem_type_id").alias("below"), F.col("type_id").alias("above"))
+    own = program.types.where("kind = 'function'").select("type_id", F.col("type_id").alias("function_type_id"))
+    return fixpoint(own, lambda delta, known: delta.join(up, F.col("type_id") == F.col("below")).select(F.col("above").alias("type_id"), "function_type_id"))
+
+
 def function_parameters(program: Program) -> DataFrame:
     """(type_id, pos, parameter): parameter types of function types and of pointers to them."""
-    own = program.types.where("kind = 'function'").select("type_id", "fields")
-    to = program.types.where("kind = 'pointer'").select(F.col("type_id").alias("p"), F.col("elem_type_id").alias("type_id")).join(own, "type_id").select(F.col("p").alias("type_id"), "fields")
-    return own.unionByName(to).select("type_id", F.posexplode("fields").alias("pos", "parameter"))
+    own = program.types.where("kind = 'function'").select(F.col("type_id").alias("function_type_id"), "fields")
+    return function_types(program).join(own, "function_type_id").select("type_id", F.posexplode("fields").alias("pos", "parameter"))
 
 
 def function_pointers(program: Program) -> DataFrame:
-    """(value_id): values whose type is a pointer to a function."""
-    fns = program.types.where("kind = 'function'").select(F.col("type_id").alias("elem_type_id"))
-    return value_types(program).join(program.types.where("kind = 'pointer'").join(fns, "elem_type_id", "left_semi").select("type_id"), "type_id", "left_semi").select("value_id")
+    """(value_id): values whose type is a pointer, or a pointer to pointers, to a function."""
+    pointers = program.types.where("kind = 'pointer'").select("type_id")
+    return value_types(program).join(function_types(program).join(pointers, "type_id", "left_semi"), "type_id", "left_semi").select("value_id")
 
 
 def first_instructions(program: Program, condition: str) -> DataFrame:
@@ -252,12 +309,14 @@ def load_targets(program: Program) -> DataFrame:
     return program.instructions.where("opcode = 'load'").select("inst_id").join(program.operands.where("role = 'address'").select("inst_id", "value_id"), "inst_id").select(F.col("inst_id").alias("value_id"), F.col("value_id").alias("target"))
 
 
-#: The allocator and the release of standard C.
-C_ALLOCATORS, C_RELEASES = ("malloc", "calloc"), ("free",)
+#: The allocators and the release of standard C.
+C_ALLOCATORS, C_RELEASES = ("malloc", "calloc", "alloca"), ("free",)
 
 
 def allocations(program: Program, allocators: tuple[str, ...] = C_ALLOCATORS, releases: tuple[str, ...] = C_RELEASES) -> DataFrame:
-    """(inst_id, fn, kind): direct calls of allocators, and of what releases memory."""
-    named = program.functions.select(F.col("fn_id").alias("value_id"), F.when(F.col("name").isin(*allocators), "allocates").when(F.col("name").isin(*releases), "releases").alias("kind")).where("kind IS NOT NULL")
-    calls = program.instructions.where("opcode IN ('call', 'invoke')").select("inst_id", F.col("fn_id").alias("fn"))
-    return calls.join(program.operands.where("role = 'callee'").select("inst_id", "value_id"), "inst_id").join(named, "value_id").select("inst_id", "fn", "kind")
+    """(inst_id, fn, kind): calls and invokes, seen through casts, of functions without a body that
+    allocate, and of those that release memory. A program's own function of that name is none."""
+    from .callgraph import call_sites
+
+    named = program.functions.where("is_external").select(F.col("fn_id").alias("callee"), F.when(F.col("name").isin(*allocators), "allocates").when(F.col("name").isin(*releases), "releases").alias("kind")).where("kind IS NOT NULL")
+    return call_sites(program).join(named, "callee").select("inst_id", F.col("src").alias("fn"), "kind")

@@ -1,4 +1,5 @@
-"""Named queries over the program of pointers (sources.event_pointers), each with its own SQL."""
+"""Named queries over the programs of pointers and of classes (sources.event_pointers, part_classes), each
+with its own SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 from .operators import analyses as A
 from .operators import ir, nullness
 from .operators import pointsto as P
-from .queries import query
+from .queries import QUERIES, SQL, query
 from .sources import event_pointers as X
+from .sources import part_classes as C
 from .sources.facts import proxy_ctes
 
 #: Shared parts of the SQL: flow, what is reached, tests, and facts that tests make on edges.
@@ -162,3 +164,29 @@ def ir_poisoned_blocks(p):
 def ir_may_return(p):
     program = X.facts(p)
     return A.may_return(ir.flow_edges(program).select("fn", "src", "dst").distinct(), A.returned_values(program), A.phi_edges(program))
+
+
+# -- classes ------------------------------------------------------------------------------------------
+def ir_class_types(spark, sf_dir):
+    return ir.class_types(C.facts(spark, sf_dir))
+
+
+def ir_class_names(spark, sf_dir):
+    program = C.facts(spark, sf_dir)
+    return ir.names_to_types(program, ir.class_parents(program).select(F.col("parent").alias("class")).distinct())
+
+
+def ir_virtual_calls(spark, sf_dir):
+    return ir.virtual_calls(C.facts(spark, sf_dir))
+
+
+QUERIES |= {"ir_class_types": ir_class_types, "ir_class_names": ir_class_names, "ir_virtual_calls": ir_virtual_calls}
+PARTS = """pt AS (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS p FROM part), pc AS (SELECT p, CASE WHEN p // 3 IN (SELECT p FROM pt) AND p // 3 <> p THEN p // 3 END AS parent FROM pt)"""
+SQL |= {
+    "ir_class_types": f"WITH {PARTS} SELECT {C.FN} + p * 16 + 8 AS fn, 'C' || CAST(p AS VARCHAR) AS class, {C.STRUCT} + p AS type_id, CAST(NULL AS VARCHAR) AS error FROM pc",
+    "ir_class_names": f"WITH {PARTS} SELECT DISTINCT 'C' || CAST(parent AS VARCHAR) AS class, {C.STRUCT} + parent AS type_id, CAST(NULL AS VARCHAR) AS error FROM pc WHERE parent IS NOT NULL",
+    "ir_virtual_calls": f"""WITH RECURSIVE {PARTS}, anc AS (SELECT p, p AS up FROM pc UNION ALL SELECT a.p, c.parent FROM anc a JOIN pc c ON c.p = a.up WHERE c.parent IS NOT NULL),
+vt AS (SELECT p, CAST(s AS BIGINT) AS s, {C.FN} + 16 * (CASE WHEN p % (s + 2) <> 0 OR p < {C.SLOTS} OR parent IS NULL THEN p ELSE parent END) + s AS f FROM pc CROSS JOIN range(0, {C.SLOTS}) r(s))
+SELECT DISTINCT {C.INST} + c.p * 16 + 4 AS inst_id, vt.f AS target, 'virtual' AS kind FROM pc c JOIN anc a ON a.up = c.p JOIN vt ON vt.p = a.p AND vt.s = c.p % {C.SLOTS} WHERE c.p % 7 = 0
+UNION ALL SELECT {C.INST} + p * 16 + 5, {C.FN} + p * 16 + 8, 'direct' FROM pc WHERE p % 7 = 0""",
+}

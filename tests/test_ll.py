@@ -359,7 +359,7 @@ define void @run(void (i32)* %f, i32* %p) {
 """
     p = program_from_text(spark, text)
     at = {r["fn_id"]: r["name"] for r in p.functions.collect()}
-    assert [at[r["fn"]] for r in ir.module_constructors(p).collect()] == ["init"]
+    assert [at[r["fn"]] for r in ir.load_time_functions(p).collect()] == ["init"]
     assert ir.loads_libraries(p).first()["uses_dlopen"] and ir.function_nodes(p).count() == 5
     assert sorted((at[r["fn"]], r["kind"]) for r in ir.allocations(p).collect()) == [("init", "allocates"), ("init", "releases")]
     args = {r["value_id"]: r["name"] for r in p.arguments.collect()}
