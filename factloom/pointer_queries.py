@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import analyses as A
 from .operators import ir, nullness
 from .operators import pointsto as P
+from .operators.artefacts import Artefacts
 from .queries import QUERIES, SQL, query
 from .sources import event_pointers as X
 from .sources import part_classes as C
@@ -71,10 +72,8 @@ def ir_null_arguments(p):
 @query(f"{_with(FLOW, LIVE, TESTS, NOTHING_TOLD, FACTS)} SELECT i.fn, i.inst AS iid, f.v AS value, f.pol AS polarity FROM xi i JOIN xfact f ON f.fn = i.fn AND f.b = i.b")
 def ir_null_at(p):
     program = X.facts(p)
-    edges = ir.flow_edges(program).select("fn", "src", "dst").distinct()
-    facts = A.null_facts(edges, ir.branch_null_tests(program))
-    body = program.instructions.select(F.col("fn_id").alias("fn"), F.col("block_id").alias("b"), F.col("inst_id").alias("iid"))
-    return A.at_instructions(facts, body).select("fn", "iid", "value", "polarity")
+    made = Artefacts.of(program)
+    return A.at_instructions(made["null_facts"], made["body"]).select("fn", "iid", "value", "polarity")
 
 
 # -- what functions need of their arguments ---------------------------------------------------------
@@ -145,16 +144,12 @@ tried AS (SELECT v.fn, f.src AS b FROM lab v JOIN xf f ON f.fn = v.fn AND f.dst
 
 @query(f"{_with(FLOW, RETURNS, POST, VISIT)} SELECT fn, b AS block, min(val) AS value FROM lab GROUP BY fn, b HAVING count(DISTINCT val) = 1")
 def ir_block_returns(p):
-    program = X.facts(p)
-    edges = ir.flow_edges(program).select("fn", "src", "dst").distinct()
-    return A.block_returns(edges, A.returned_values(program), A.phi_edges(program))[0]
+    return Artefacts.of(X.facts(p))["returns"]
 
 
 @query(f"{_with(FLOW, RETURNS, POST, VISIT)} SELECT fn, b AS block FROM tried WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.fn = tried.fn AND l.b = tried.b) UNION SELECT fn, b FROM lab GROUP BY fn, b HAVING count(DISTINCT val) > 1")
 def ir_poisoned_blocks(p):
-    program = X.facts(p)
-    edges = ir.flow_edges(program).select("fn", "src", "dst").distinct()
-    return A.block_returns(edges, A.returned_values(program), A.phi_edges(program))[1]
+    return Artefacts.of(X.facts(p))["poisoned"]
 
 
 @query(
@@ -162,8 +157,17 @@ def ir_poisoned_blocks(p):
   UNION SELECT m.fn, h.blk, h.val FROM m JOIN xph h ON h.phi = m.val AND h.at_ = m.b)) SELECT fn, b AS block, val AS value FROM m"""
 )
 def ir_may_return(p):
-    program = X.facts(p)
-    return A.may_return(ir.flow_edges(program).select("fn", "src", "dst").distinct(), A.returned_values(program), A.phi_edges(program))
+    return Artefacts.of(X.facts(p))["may_return"]
+
+
+# -- postdominators at instructions -------------------------------------------------------------------
+IPDOM = """dep AS (SELECT fn, b, count(*) AS n FROM xpd GROUP BY fn, b), ipd AS (SELECT d.fn, d.b, max_by(d.dom, coalesce(x.n, 0)) AS up FROM xpd d LEFT JOIN dep x ON x.fn = d.fn AND x.b = d.dom GROUP BY d.fn, d.b),
+xo2 AS (SELECT fn, inst, b, LEAD(inst) OVER (PARTITION BY fn, b ORDER BY ord) AS nx, ROW_NUMBER() OVER (PARTITION BY fn, b ORDER BY ord) AS nth FROM xi), seen AS (SELECT fn, b FROM ipd UNION SELECT fn, up FROM ipd)"""
+
+
+@query(f"{_with(FLOW, POST, IPDOM)} SELECT i.fn, i.inst AS iid, i.nx AS ipdom FROM xo2 i JOIN seen s ON s.fn = i.fn AND s.b = i.b WHERE i.nx IS NOT NULL UNION ALL SELECT i.fn, i.inst, h.inst FROM xo2 i JOIN ipd d ON d.fn = i.fn AND d.b = i.b JOIN xo2 h ON h.fn = i.fn AND h.b = d.up AND h.nth = 1 WHERE i.nx IS NULL")
+def ir_ipdom_inst(p):
+    return Artefacts.of(X.facts(p))["ipdom_inst"].withColumnRenamed("idom", "ipdom")
 
 
 # -- classes ------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from .operators import analyses as A
 from .operators import callgraph as C
 from .operators import flow, ir
 from .operators import pointsto as P
+from .operators.artefacts import Artefacts
 from .operators.icfg import icfg, program_icfg
 from .operators.ifds import Problem
 from .plans.fixpoint import closure
@@ -669,8 +670,7 @@ held AS (SELECT g, v FROM st WHERE how <> 0 UNION SELECT st.g, h.v FROM held h J
 SELECT g AS value_id, v AS target FROM held UNION SELECT f + {X.ARG}, v FROM args"""
 )
 def ir_points_to(p):
-    a = P.Andersen(X.facts(p))
-    return a.held(a.solve()).where(f"value_id BETWEEN {X.ARG} AND {X.CONST - 1}")
+    return Artefacts.of(X.facts(p))["held"].where(f"value_id BETWEEN {X.ARG} AND {X.CONST - 1}")
 
 
 @query(
@@ -679,9 +679,7 @@ SELECT DISTINCT src, f AS dst, 'direct' AS kind FROM c WHERE how = 0 UNION ALL S
 UNION ALL SELECT DISTINCT src, h.v, 'indirect' FROM c JOIN held h ON h.g = c.g WHERE how = 1 AND h.v BETWEEN {X.FN} AND {X.ARG - 1}"""
 )
 def ir_call_edges(p):
-    program = X.facts(p)
-    functions = program.functions.select(F.col("fn_id").alias("target"))
-    return C.call_edges(program, P.Andersen(program).points_to().join(functions, "target", "left_semi"))
+    return Artefacts.of(X.facts(p))["calls"]
 
 
 @query(f"{proxy_ctes()} SELECT fn + {X.FN} AS fn, fn + {X.ARG} AS value_id, CAST({X.STRUCT_PP} AS BIGINT) AS type_id FROM fns UNION ALL SELECT fn + {X.FN}, {X.GLOBAL} + fn * 8 + s, {X.STRUCT_PP} FROM fns CROSS JOIN range(0, 8) r(s)")
@@ -703,6 +701,5 @@ UNION ALL SELECT site, u, 'call_to_entry' FROM c WHERE how = 1 UNION ALL SELECT
 )
 def ir_icfg(p):
     program = X.facts(p)
-    functions = program.functions.select(F.col("fn_id").alias("target"))
     # A library: every function may be entered from outside.
-    return program_icfg(program, P.Andersen(program).points_to().join(functions, "target", "left_semi"), ir.function_nodes(program))
+    return program_icfg(program, Artefacts.of(program)["points_to"], ir.function_nodes(program))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import cut, drop
 from .facts import EventProgram, Program
 from .schema import TABLES
 
@@ -77,6 +77,11 @@ _OPERANDS = [
 
 
 def facts(p: EventProgram) -> Program:
+    """The program, made once for all queries over the same log."""
+    return p.once("instructions", lambda: make(p))
+
+
+def make(p: EventProgram) -> Program:
     """The fact tables, each a few selections over the log's blocks."""
     spark: SparkSession = p.spark
     # Every table selects from these two several times: they are made once.
@@ -117,7 +122,9 @@ def facts(p: EventProgram) -> Program:
             out = out.unionByName(x)
         return out
 
-    return Program(spark, {t: cut(whole(t)) if t in ("instructions", "operands") else whole(t) for t in TABLES})
+    tables = {t: cut(whole(t)) for t in TABLES if t not in ("values", "types", "constants")}
+    drop(blocks, quad)
+    return Program(spark, tables | {t: whole(t) for t in ("values", "types", "constants")})
 
 
 def _by_fn():

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import cut, drop
 from .facts import EventProgram, Program
 from .schema import TABLES
 
@@ -88,6 +88,11 @@ CTES = [*(f"{n} AS ({q})" for n, q in EVENTS.items()), f"xi AS ({I})", f"xo AS (
 
 
 def facts(p: EventProgram) -> Program:
+    """The program, made once for all queries over the same log."""
+    return p.once("pointers", lambda: make(p))
+
+
+def make(p: EventProgram) -> Program:
     """The fact tables of the program of pointers."""
     spark = p.spark
     # Each text names the relations before it; those that others read several times are written.
@@ -113,15 +118,16 @@ def facts(p: EventProgram) -> Program:
     fns = made["fns"]
     one = spark.range(1)
     tables = {
-        "functions": table("functions", fns.selectExpr("'events'", f"{FN} + fn", "concat('f', fn)", "false", str(FUNCTION)).union(spark.range(EXTERNS).selectExpr("'events'", f"{EXTERN} + id", "concat('e', id)", "true", str(FUNCTION)))),
-        "arguments": table("arguments", fns.selectExpr(f"{FN} + fn", "0", f"{ARG} + fn", "'x'", str(POINTER))),
+        "functions": cut(table("functions", fns.selectExpr("'events'", f"{FN} + fn", "concat('f', fn)", "false", str(FUNCTION)).union(spark.range(EXTERNS).selectExpr("'events'", f"{EXTERN} + id", "concat('e', id)", "true", str(FUNCTION))))),
+        "arguments": cut(table("arguments", fns.selectExpr(f"{FN} + fn", "0", f"{ARG} + fn", "'x'", str(POINTER)))),
         # Even globals start as null, odd ones as the address of a function without a body.
         "globals": table("globals", spark.range(GLOBALS).selectExpr(f"{GLOBAL} + id", "concat('g', id)", "'global'", str(DOUBLE), f"CASE WHEN id % 2 = 0 THEN {NULL} ELSE {EXTERN} END")),
-        "blocks": table("blocks", made["blk"].selectExpr(f"{FN} + fn", "b", "b", "concat('b', b)")),
+        "blocks": cut(table("blocks", made["blk"].selectExpr(f"{FN} + fn", "b", "b", "concat('b', b)"))),
         "instructions": cut(table("instructions", sql(I).selectExpr("inst", "fn", "b", "ord", "op", "ty", "CAST(NULL AS STRING)", "pred"))),
         "operands": cut(table("operands", sql(O))),
         "values": spark.createDataFrame([(NULL, "constant", POINTER, None)], TABLES["values"]),
         "constants": table("constants", one.selectExpr(str(NULL), "'null'", "NULL", "NULL", "NULL").union(spark.range(2).selectExpr(f"{ZERO} + id", "'int'", "id", "NULL", "NULL"))),
         "types": spark.createDataFrame(TYPES, TABLES["types"]),
     }
+    drop(made["blk"], *[made[n] for n in EVENTS])
     return Program(spark, tables)

@@ -6,10 +6,13 @@ instance, is just columns that no query selects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.catalogue import shared
+from ..plans.fixpoint import drop
 from .schema import TABLES
 
 
@@ -50,6 +53,13 @@ class Program:
             raise MissingTable(name)
         return self._tables[name]
 
+    def drop(self) -> None:
+        """Deletes the tables that were written for this program, and its artefacts."""
+        held = self.__dict__.get("_artefacts")
+        if held is not None:
+            held.release()
+        drop(*self._tables.values())
+
     def write(self, path: str) -> None:
         for t, df in self._tables.items():
             df.write.mode("overwrite").parquet(f"{path}/{t}.parquet")
@@ -82,13 +92,19 @@ def proxy_ctes(*more: str) -> str:
 class EventProgram:
     """The proxy relations over an events table, in the DataFrame API."""
 
-    def __init__(self, events: DataFrame):
+    def __init__(self, events: DataFrame, path: str | None = None):
         self.spark = events.sparkSession
-        self.events = events
+        self.events, self.path = events, path
 
     @classmethod
     def read(cls, spark: SparkSession, sf_dir: str) -> EventProgram:
-        return cls(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        path = f"{sf_dir}/events.parquet"
+        return cls(spark.read.parquet(path), path)
+
+    def once(self, kind: str, make: Callable[[], Program]) -> Program:
+        """What ``make`` gives, once for all queries of the application over this log; without a path
+        it is made each time."""
+        return make() if self.path is None else shared(self.spark, kind, self.path, make, Program.drop)
 
     def _sql(self, name: str, **needs: DataFrame) -> DataFrame:
         return self.spark.sql(PROXY[name].replace("FROM events", "FROM {events}") if "events" in needs else PROXY[name], **needs)

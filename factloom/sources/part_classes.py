@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.catalogue import shared
 from ..plans.fixpoint import cut
 from .facts import Program
 from .schema import TABLES
@@ -24,6 +25,11 @@ OWN = f"p % (s + 2) <> 0 OR p < {SLOTS}"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> Program:
+    """The program, made once for all queries over the same table."""
+    return shared(spark, "classes", f"{sf_dir}/part.parquet", lambda: make(spark, sf_dir), Program.drop)
+
+
+def make(spark: SparkSession, sf_dir: str) -> Program:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("p")).distinct()
     above = parts.select(F.col("p").alias("parent"))
     c = cut(parts.join(above, (F.floor(F.col("p") / 3) == F.col("parent")) & (F.col("p") != F.col("parent")), "left"))
