@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import analyses as A
-from .operators import ir, nullness
+from .operators import graphs, ir, nullness
 from .operators import pointsto as P
 from .operators.artefacts import Artefacts
 from .queries import QUERIES, SQL, query
@@ -170,6 +170,62 @@ def ir_ipdom_inst(p):
     return Artefacts.of(X.facts(p))["ipdom_inst"].withColumnRenamed("idom", "ipdom")
 
 
+# -- graphs as text -----------------------------------------------------------------------------------
+#: Instructions with their neighbours; lines of nodes and clusters.
+TEXT = """xq AS (SELECT fn, inst, b, op, ord, LEAD(inst) OVER (PARTITION BY fn, b ORDER BY ord) AS nx, ROW_NUMBER() OVER (PARTITION BY fn, b ORDER BY ord) AS nth FROM xi),
+nl AS (SELECT fn, '  ' || CAST(inst AS VARCHAR) || ' [label="' || op || '"];' AS line FROM xi),
+cl AS (SELECT fn, '  subgraph cluster_' || CAST(fn AS VARCHAR) || '_' || CAST(b AS VARCHAR) || ' { label="b' || CAST(b AS VARCHAR) || '"; ' || string_agg(CAST(inst AS VARCHAR), '; ' ORDER BY ord) || '; }' AS line FROM xi GROUP BY fn, b)"""
+
+
+def _line(src: str, dst: str, tail: str = "''") -> str:
+    return f"'  ' || CAST({src} AS VARCHAR) || ' -> ' || CAST({dst} AS VARCHAR) || {tail} || ';'"
+
+
+_TAIL = f"""CASE o.role WHEN 'true_bb' THEN ' [label="True",color="forestgreen"]' WHEN 'false_bb' THEN ' [label="False",color="crimson"]' WHEN 'case' THEN ' [label="== ' || CAST(o.val - {X.ZERO} AS VARCHAR) || '",color="deepskyblue"]' ELSE '' END"""
+
+
+@query(
+    f"""{_with(TEXT)} SELECT DISTINCT i.fn, {_line("i.inst", "h.inst", _TAIL)} AS line FROM xi i JOIN xo o ON o.inst = i.inst AND o.role IN ('true_bb', 'false_bb', 'default_bb', 'case', 'dest') JOIN xq h ON h.fn = i.fn AND h.b = o.blk AND h.nth = 1
+UNION ALL SELECT fn, {_line("inst", "nx")} FROM xq WHERE nx IS NOT NULL UNION ALL SELECT * FROM nl UNION ALL SELECT * FROM cl"""
+)
+def ir_dot_cfg(p):
+    return graphs.flow_text(X.facts(p))
+
+
+@query(f"{_with(FLOW, POST, IPDOM, TEXT)} SELECT i.fn, {_line('i.inst', 'i.nx')} AS line FROM xo2 i JOIN seen s ON s.fn = i.fn AND s.b = i.b WHERE i.nx IS NOT NULL UNION ALL SELECT i.fn, {_line('i.inst', 'h.inst')} FROM xo2 i JOIN ipd d ON d.fn = i.fn AND d.b = i.b JOIN xo2 h ON h.fn = i.fn AND h.b = d.up AND h.nth = 1 WHERE i.nx IS NULL UNION ALL SELECT * FROM nl")
+def ir_dot_postdominators(p):
+    return graphs.dominator_text(X.facts(p), post=True)
+
+
+@query(
+    f"""{_with(FLOW, POST, TEXT)}, up AS (SELECT fn, b, dom FROM xpd UNION SELECT fn, b, b FROM xbl), cd AS (SELECT DISTINCT f.fn, u.dom AS b, f.src AS dep FROM xf f JOIN up u ON u.fn = f.fn AND u.b = f.dst
+  WHERE NOT EXISTS (SELECT 1 FROM xpd d WHERE d.fn = f.fn AND d.b = f.src AND d.dom = u.dom))
+SELECT i.fn, {_line("i.inst", "t.inst")} AS line FROM xi i JOIN cd ON cd.fn = i.fn AND cd.b = i.b JOIN xq t ON t.fn = cd.fn AND t.b = cd.dep AND t.nx IS NULL UNION ALL SELECT * FROM nl UNION ALL SELECT * FROM cl"""
+)
+def ir_dot_control(p):
+    return graphs.control_text(X.facts(p))
+
+
+_IC = lambda label, colour, style: f"""' [label="{label}",color="{colour}",style="{style}"]'"""
+
+
+@query(
+    f"""{_with(FLOW, CALLS, TEXT)}, rn AS (SELECT fn, b, inst, ord * 2 AS o, op FROM xi UNION ALL SELECT fn, b, -inst, ord * 2 + 1, 'return' FROM xi WHERE op = 'call'),
+bl AS (SELECT fn, b, 'subgraph cluster_' || CAST(fn AS VARCHAR) || '_' || CAST(b AS VARCHAR) || ' {{ label="b' || CAST(b AS VARCHAR) || '"; ' || string_agg(CAST(inst AS VARCHAR), '; ' ORDER BY o) || '; }}' AS body FROM rn GROUP BY fn, b)
+SELECT {_line("CASE WHEN op = 'call' THEN -inst ELSE inst END", "nx")} AS line FROM xq WHERE nx IS NOT NULL
+UNION ALL SELECT {_line("t.inst", "h.inst")} FROM xf f JOIN xq t ON t.fn = f.fn AND t.b = f.src AND t.nx IS NULL JOIN xq h ON h.fn = f.fn AND h.b = f.dst AND h.nth = 1
+UNION ALL SELECT {_line("inst", "-inst", _IC("skip", "forestgreen", "dotted"))} FROM xc
+UNION ALL SELECT {_line("c.inst", "h.inst", _IC("call", "deepskyblue", "dashed"))} FROM xc c JOIN xq h ON h.fn = c.callee AND h.b = 0 AND h.nth = 1
+UNION ALL SELECT {_line("e.inst", "-c.inst", _IC("return", "crimson", "dashed"))} FROM xc c JOIN xi e ON e.fn = c.callee AND e.op = 'ret'
+UNION ALL SELECT {_line("inst", "callee", _IC("call", "deepskyblue", "dashed"))} FROM xc WHERE callee >= {X.EXTERN} UNION ALL SELECT {_line("callee", "-inst", _IC("return", "crimson", "dashed"))} FROM xc WHERE callee >= {X.EXTERN}
+UNION ALL SELECT '  ' || CAST(inst AS VARCHAR) || ' [label="' || op || '"];' FROM rn UNION ALL SELECT '  ' || CAST({X.EXTERN} + x AS VARCHAR) || ' [label="external e' || CAST(x AS VARCHAR) || '"];' FROM range(0, {X.EXTERNS}) r(x)
+UNION ALL SELECT '  subgraph cluster_' || CAST(fn AS VARCHAR) || ' {{ label="f' || CAST(fn - {X.FN} AS VARCHAR) || '"; ' || string_agg(body, ' ' ORDER BY b) || ' }}' FROM bl GROUP BY fn"""
+)
+def ir_dot_icfg(p):
+    program = X.facts(p)
+    return graphs.icfg_text(program, ir.function_nodes(program))
+
+
 # -- classes ------------------------------------------------------------------------------------------
 def ir_class_types(spark, sf_dir):
     return ir.class_types(C.facts(spark, sf_dir))
