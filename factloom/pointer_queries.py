@@ -3,10 +3,11 @@ with its own SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import analyses as A
-from .operators import graphs, ir, nullness
+from .operators import edits, graphs, ir, nullness
 from .operators import pointsto as P
 from .operators.artefacts import Artefacts
 from .queries import QUERIES, SQL, query
@@ -170,6 +171,61 @@ def ir_ipdom_inst(p):
     return Artefacts.of(X.facts(p))["ipdom_inst"].withColumnRenamed("idom", "ipdom")
 
 
+# -- edits --------------------------------------------------------------------------------------------
+#: Field loads are replaced by the argument, calls get a test before them and what they return is read from a slot instead.
+_NEW = 10 * 10**9
+EDITS = f"""rm AS (SELECT i.inst, i.fn - {X.FN} + {X.ARG} AS val FROM xi i JOIN xo o ON o.inst = i.inst AND o.role = 'address' WHERE i.op = 'load' AND o.val BETWEEN {X.FIELD} AND {X.PHI - 1}),
+fr AS (SELECT i.inst FROM xi i JOIN xo o ON o.inst = i.inst AND o.role = 'address' WHERE i.op = 'load' AND i.ty = {X.POINTER} AND o.val BETWEEN {X.GLOBAL} AND {X.GLOBAL + X.GLOBALS - 1}),
+st AS (SELECT inst AS old, val AS new FROM rm UNION ALL SELECT inst, {_NEW} + inst FROM fr)"""
+
+
+def _edited(p):
+    """Loads of fields go for the argument, loads of globals are replaced by loads of the first slot, and every call has a
+    test of its argument before it."""
+    program = X.facts(p)
+    load = program.instructions.where("opcode = 'load'").join(program.operands.where("role = 'address'").select("inst_id", "value_id"), "inst_id")
+    removals = load.where(f"value_id BETWEEN {X.FIELD} AND {X.PHI - 1}").select("inst_id", (F.col("fn_id") - X.FN + X.ARG).alias("value_id"))
+    shared = load.where(f"type_id = {X.POINTER} AND value_id BETWEEN {X.GLOBAL} AND {X.GLOBAL + X.GLOBALS - 1}")
+    calls = program.instructions.where("opcode = 'call'").join(program.operands.where("role = 'arg'").select("inst_id", "value_id"), "inst_id")
+    new = (F.col("inst_id") + _NEW).alias("inst_id")
+    none = F.lit(None)
+    insertions = shared.select(new, F.col("inst_id").alias("target"), F.lit(edits.INSTEAD).alias("place"), F.lit("load").alias("opcode"), F.lit(X.POINTER).cast("long").alias("type_id"), none.cast("string").alias("pred"))
+    insertions = insertions.unionByName(calls.select(new, F.col("inst_id").alias("target"), F.lit(edits.BEFORE).alias("place"), F.lit("icmp").alias("opcode"), F.lit(X.INT).cast("long").alias("type_id"), F.lit("eq").alias("pred")))
+    op = lambda df, role, value: df.select(new, F.lit(role).alias("role"), F.lit(0).alias("pos"), value.cast("long").alias("value_id"), none.cast("long").alias("block_id"))
+    operands = op(shared, "address", (F.col("fn_id") - X.FN) * 2 + X.SLOT).unionByName(op(calls, "cmp1", F.col("value_id"))).unionByName(op(calls, "cmp2", F.lit(X.NULL)))
+    return edits.rewrite(program, removals, insertions, operands)[0]
+
+
+@query(
+    f"""{_with(EDITS)}, ni AS (SELECT inst, fn, b, op, ord * 2 AS o FROM xi WHERE inst NOT IN (SELECT inst FROM rm) AND inst NOT IN (SELECT inst FROM fr) UNION ALL SELECT {_NEW} + i.inst, i.fn, i.b, i.op, i.ord * 2 FROM xi i JOIN fr ON fr.inst = i.inst
+  UNION ALL SELECT {_NEW} + inst, fn, b, 'icmp', ord * 2 - 1 FROM xi WHERE op = 'call') SELECT inst AS inst_id, op AS opcode, ROW_NUMBER() OVER (PARTITION BY fn, b ORDER BY o) - 1 AS nth FROM ni"""
+)
+def ir_edited_instructions(p):
+    nth = F.row_number().over(Window.partitionBy("fn_id", "block_id").orderBy("ord")) - 1
+    return _edited(p).instructions.select("inst_id", "opcode", nth.cast("long").alias("nth"))
+
+
+@query(
+    f"""{_with(EDITS)}, no AS (SELECT inst, role, pos, val, blk FROM xo WHERE inst NOT IN (SELECT inst FROM rm) AND inst NOT IN (SELECT inst FROM fr) UNION ALL SELECT {_NEW} + i.inst, 'address', 0, (i.fn - {X.FN}) * 2 + {X.SLOT}, NULL FROM xi i JOIN fr ON fr.inst = i.inst
+  UNION ALL SELECT {_NEW} + i.inst, 'cmp1', 0, o.val, NULL FROM xi i JOIN xo o ON o.inst = i.inst AND o.role = 'arg' WHERE i.op = 'call' UNION ALL SELECT {_NEW} + inst, 'cmp2', 0, {X.NULL}, NULL FROM xi WHERE op = 'call')
+SELECT o.inst AS inst_id, o.role, coalesce(st.new, o.val) AS value_id, o.blk AS block_id FROM no o LEFT JOIN st ON st.old = o.val"""
+)
+def ir_edited_operands(p):
+    return _edited(p).operands.select("inst_id", "role", "value_id", "block_id")
+
+
+@query(
+    f"""{_with()}, cf AS (SELECT fn, fn + {_NEW} AS cp FROM (SELECT DISTINCT fn FROM xi) z WHERE (fn - {X.FN}) % 5 = 0)
+SELECT o.inst + 2 * CAST({_NEW} AS BIGINT) AS inst_id, o.role, CASE WHEN o.val IN (SELECT inst FROM xi) OR o.val BETWEEN {X.ARG} AND {X.GLOBAL - 1} THEN o.val + 2 * CAST({_NEW} AS BIGINT) ELSE o.val END AS value_id, cf.cp AS fn_id
+FROM xo o JOIN xi i ON i.inst = o.inst JOIN cf ON cf.fn = i.fn"""
+)
+def ir_copied_operands(p):
+    program = X.facts(p)
+    copies = program.functions.where(f"NOT is_external AND (fn_id - {X.FN}) % 5 = 0").select("fn_id", (F.col("fn_id") + _NEW).alias("copy_id"), F.lit(2 * _NEW).alias("shift"), F.concat("name", F.lit("_copy")).alias("name"))
+    made, _ = edits.copy_functions(program, copies)
+    return made.operands.join(made.instructions.where(f"fn_id >= {_NEW}").select("inst_id", "fn_id"), "inst_id").select("inst_id", "role", "value_id", "fn_id")
+
+
 # -- graphs as text -----------------------------------------------------------------------------------
 #: Instructions with their neighbours; lines of nodes and clusters.
 TEXT = """xq AS (SELECT fn, inst, b, op, ord, LEAD(inst) OVER (PARTITION BY fn, b ORDER BY ord) AS nx, ROW_NUMBER() OVER (PARTITION BY fn, b ORDER BY ord) AS nth FROM xi),
