@@ -195,7 +195,8 @@ def spark_hash(*values):
 
 def brute_signature(text, k, ell, m):
     low = (1 << 30) - 1
-    w = [spark_hash(x.encode()) for x in (text or "").translate({i: " " for i in (9, 10, 11, 12, 13)}).split(" ") if x]
+    words = [x for x in (text or "").translate({i: " " for i in (9, 10, 11, 12, 13)}).split(" ") if x]
+    w = [spark_hash(c.encode()) for x in words for c in (list(x) if len(x) > 32 else [x])]  # long words by their characters
     if not w:
         return [0] * m
     kh = [spark_hash(*w)] if len(w) < k else [spark_hash(*w[i : i + k]) for i in range(len(w) - k + 1)]
@@ -216,6 +217,8 @@ def brute_signature(text, k, ell, m):
 
 def test_order_minhash_by_brute_force(spark, hard):
     rep = docs(spark, [(1, "a b c " * 40, "s"), (2, "a a a a a a a a a b", "s"), (3, "x y", "s"), (4, "p\u000bq\tr  s", "s")])
+    long = [(5, f"a {'b' * 32} c", "s"), (6, f"a {'é😀' * 16}x c", "s"), (7, "".join(map(chr, range(0x4E00, 0x4E00 + 4097))) + " end", "s")]
+    rep = rep.unionByName(docs(spark, long))
     for df in (rep, hard.where("doc_id <> 206 OR doc_id IS NULL")):
         for r in df.select("text", F.expr(order_minhash.signature("coalesce(text, '')")).alias("s")).collect():
             assert r["s"] == brute_signature(r["text"], order_minhash.K, order_minhash.L, order_minhash.M), r["text"]
