@@ -208,22 +208,23 @@ def ir_edited_instructions(p):
 @query(
     f"""{_with(EDITS)}, no AS (SELECT inst, role, pos, val, blk FROM xo WHERE inst NOT IN (SELECT inst FROM rm) AND inst NOT IN (SELECT inst FROM fr) UNION ALL SELECT {_NEW} + i.inst, 'address', 0, (i.fn - {X.FN}) * 2 + {X.SLOT}, NULL FROM xi i JOIN fr ON fr.inst = i.inst
   UNION ALL SELECT {_NEW} + i.inst, 'cmp1', 0, o.val, NULL FROM xi i JOIN xo o ON o.inst = i.inst AND o.role = 'arg' WHERE i.op = 'call' UNION ALL SELECT {_NEW} + inst, 'cmp2', 0, {X.NULL}, NULL FROM xi WHERE op = 'call')
-SELECT o.inst AS inst_id, o.role, coalesce(st.new, o.val) AS value_id, o.blk AS block_id FROM no o LEFT JOIN st ON st.old = o.val"""
+SELECT o.inst AS inst_id, o.role, coalesce(st.new, o.val, -1) AS value_id, coalesce(o.blk, -1) AS block_id FROM no o LEFT JOIN st ON st.old = o.val"""
 )
 def ir_edited_operands(p):
-    return _edited(p).operands.select("inst_id", "role", "value_id", "block_id")
+    none = F.lit(-1).cast("long")
+    return _edited(p).operands.select("inst_id", "role", F.coalesce("value_id", none).alias("value_id"), F.coalesce("block_id", none).alias("block_id"))
 
 
 @query(
     f"""{_with()}, cf AS (SELECT fn, fn + {_NEW} AS cp FROM (SELECT DISTINCT fn FROM xi) z WHERE (fn - {X.FN}) % 5 = 0)
-SELECT o.inst + 2 * CAST({_NEW} AS BIGINT) AS inst_id, o.role, CASE WHEN o.val IN (SELECT inst FROM xi) OR o.val BETWEEN {X.ARG} AND {X.GLOBAL - 1} THEN o.val + 2 * CAST({_NEW} AS BIGINT) ELSE o.val END AS value_id, cf.cp AS fn_id
+SELECT o.inst + 2 * CAST({_NEW} AS BIGINT) AS inst_id, o.role, CASE WHEN o.val IN (SELECT inst FROM xi) OR o.val BETWEEN {X.ARG} AND {X.GLOBAL - 1} THEN o.val + 2 * CAST({_NEW} AS BIGINT) ELSE coalesce(o.val, -1) END AS value_id, cf.cp AS fn_id
 FROM xo o JOIN xi i ON i.inst = o.inst JOIN cf ON cf.fn = i.fn"""
 )
 def ir_copied_operands(p):
     program = X.facts(p)
     copies = program.functions.where(f"NOT is_external AND (fn_id - {X.FN}) % 5 = 0").select("fn_id", (F.col("fn_id") + _NEW).alias("copy_id"), F.lit(2 * _NEW).alias("shift"), F.concat("name", F.lit("_copy")).alias("name"))
     made, _ = edits.copy_functions(program, copies)
-    return made.operands.join(made.instructions.where(f"fn_id >= {_NEW}").select("inst_id", "fn_id"), "inst_id").select("inst_id", "role", "value_id", "fn_id")
+    return made.operands.join(made.instructions.where(f"fn_id >= {_NEW}").select("inst_id", "fn_id"), "inst_id").select("inst_id", "role", F.coalesce("value_id", F.lit(-1).cast("long")).alias("value_id"), "fn_id")
 
 
 # -- graphs as text -----------------------------------------------------------------------------------
