@@ -1,7 +1,9 @@
 """Null pointers in one function and across functions, returned phi nodes, environments, and what a module's types say."""
 
+import pytest
+
 from factloom.operators import analyses as A
-from factloom.operators import ir, nullness
+from factloom.operators import callgraph, ir, nullness
 from factloom.operators import kernels as K
 from factloom.operators.flow import dataflow_in
 from factloom.operators.ifds import Problem
@@ -125,6 +127,22 @@ def test_what_functions_need(spark):
     assert pairs(nullness.always_reads(c.program(spark))) == [(1, 0), (6, 0), (7, 0)]
 
 
+def test_a_ring_of_functions_never_meets(spark, monkeypatch):
+    """What functions need takes no components, whose functions would go to one task."""
+    c = Code()
+    n = 9
+    need = {}
+    for f in range(1, n + 1):
+        need[f] = c.fn(f)
+        c.add(0, "call", callee=f % n + 1, arg=need[f])
+        if f == 4:
+            c.add(0, "load", address=need[f])
+        c.add(0, "ret")
+    monkeypatch.setattr(callgraph, "scc", lambda *a, **b: pytest.fail("components are not needed"))
+    got = pairs(nullness.nullability(c.program(spark), spark.createDataFrame([], "value_id long, target long")))
+    assert got == [(f, "needs", v) for f, v in sorted(need.items())]
+
+
 def test_null_by_slots_globals_arguments_and_results(spark):
     """main: *slot = null; y = load slot; r = f(y). f: if returned x, x may be null; the global stays null until f stores."""
     c = Code()
