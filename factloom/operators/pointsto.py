@@ -23,6 +23,10 @@ class PointsTo(Protocol):
         """(a, b) plus may_alias"""
 
 
+#: Parts that the functions of a type are dealt into.
+LOTS = 64
+
+
 class TypePointsTo:
     """A pointer may hold every function of exactly its pointee type; a function holds itself, an
     alias what it stands for, and a cast what it casts. ``values`` is (value_id, type_id,
@@ -40,6 +44,17 @@ class TypePointsTo:
         points = program.types.where("kind = 'pointer'").select("type_id", F.col("elem_type_id").alias("pointee_type_id"))
         return cls(value_types(program).join(points, "type_id").select("value_id", "type_id", "pointee_type_id"), program.functions.select("fn_id", "type_id"), canonical(program))
 
+    def by_type(self) -> DataFrame:
+        """(value_id, target): functions of the pointee type alone. The pairs are as many as values times
+        functions of a type, and types are few: functions are dealt into lots that meet every value of
+        their type, so a type's pairs are not one task's. Values and functions have one type, so each
+        pair comes once, and pairs are not shuffled."""
+        f = self.functions.select(F.col("fn_id").alias("target"), F.col("type_id").alias("pointee_type_id")).distinct().withColumn("lot", F.pmod(F.xxhash64("target"), F.lit(LOTS)))
+        v = self.values.where("pointee_type_id IS NOT NULL").select("value_id", "pointee_type_id").distinct()
+        v = v.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1)))).withColumn("lot", F.col("lot").cast("long"))
+        # Values, of which there is a copy a lot, are not for a broadcast.
+        return v.join(f.hint("shuffle_hash"), ["pointee_type_id", "lot"]).select("value_id", "target")
+
     def points_to(self) -> DataFrame:
         f = self.functions.select(F.col("fn_id").alias("target"), F.col("type_id").alias("pointee_type_id"))
         own = self.functions.select(F.col("fn_id").alias("value_id"), F.col("fn_id").alias("target"))

@@ -249,9 +249,8 @@ OPS = "CASE CAST(k % 5 AS INT) WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 TH
 def trivial_points_to(p):
     fns = p.ins.where("ord = 0").select(F.col("fn").alias("fn_id"), F.col("op").alias("type_id"))
     vals = p.ins.where("op = 'signup' AND k % 16 = 0").select(F.col("iid").alias("value_id"), F.lit("signup").alias("type_id"), F.expr(OPS).alias("pointee_type_id"))
-    t = P.TypePointsTo(vals, fns)
-    # A function's own entry belongs to the relation but shares ids with instructions here.
-    return vals.select("value_id").join(t.points_to(), "value_id").join(vals.select("value_id", "pointee_type_id").withColumnRenamed("value_id", "v"), F.col("value_id") == F.col("v")).join(fns, (F.col("target") == F.col("fn_id")) & (F.col("pointee_type_id") == F.col("type_id"))).select("value_id", "target")
+    # A function's own entry belongs to the whole relation but shares ids with instructions here.
+    return P.TypePointsTo(vals, fns).by_type()
 
 
 AND = """x AS (SELECT fn, op, k, iid, fn * 8 + k % 8 AS a, fn * 8 + iid % 8 AS b FROM ins),

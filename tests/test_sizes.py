@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from factloom.operators.pointsto import TypePointsTo
 from factloom.plans.fixpoint import cut, drop
 
 
@@ -13,3 +14,21 @@ def test_written_tables_are_as_large_as_their_rows(spark):
     joined = spark.range(n).join(t.where("op = 'br'").select("fn"), F.col("id") == F.col("fn"))
     assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
     drop(t)
+
+
+def test_pairs_of_one_type_go_to_many_tasks(spark):
+    """A type that all values and functions have is not one task's, and pairs are not shuffled again."""
+    values = spark.range(300).select(F.col("id").alias("value_id"), F.lit("t").alias("type_id"), F.lit("f").alias("pointee_type_id"))
+    fns = spark.range(500).select((F.col("id") + 1000).alias("fn_id"), F.lit("f").alias("type_id"))
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("-1", "false", "8"), strict=True):
+            spark.conf.set(k, v)
+        made = TypePointsTo(values, fns).by_type()
+        sizes = [n for n, in made.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+        assert sum(sizes) == 150_000 and max(sizes) < 75_000
+        assert made.distinct().count() == 150_000
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
