@@ -35,6 +35,15 @@ def call_sites(program: Program) -> DataFrame:
     return calls.join(callee, "inst_id").join(canonical(program), "value_id", "left").select("inst_id", "src", F.coalesce("root_id", "value_id").alias("callee"))
 
 
+def targets_asked(program: Program, points_to: Callable[[], DataFrame]) -> DataFrame:
+    """(value_id, target) for call_targets: what ``points_to`` gives, which is asked only where a call names
+    no function. Where all calls name one, no row, and nothing is solved."""
+    fns = program.functions.select(F.col("fn_id").alias("callee"))
+    if call_sites(program).join(fns, "callee", "left_anti").isEmpty():
+        return program.spark.createDataFrame([], "value_id long, target long")
+    return points_to()
+
+
 def call_targets(program: Program, points_to: DataFrame) -> DataFrame:
     """(inst_id, src, dst, kind): a direct call has its function; any other has the unknown node
     and whatever the points-to relation (value_id, target) says, as indirect."""
@@ -323,4 +332,4 @@ def reaching_maximum(edges: DataFrame, values: DataFrame) -> DataFrame:
     raise DidNotSettle(f"{MOST_ROUNDS} rounds")
 
 
-__all__ = ["Step", "bottom_up", "call_edges", "call_sites", "call_targets", "callees", "callers", "canonical", "condense", "fixpoint", "levels", "project_defined", "reaching_maximum", "reflexive_closure", "scc"]
+__all__ = ["Step", "bottom_up", "call_edges", "call_sites", "call_targets", "callees", "callers", "canonical", "condense", "fixpoint", "levels", "project_defined", "reaching_maximum", "reflexive_closure", "scc", "targets_asked"]

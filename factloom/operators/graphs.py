@@ -9,6 +9,7 @@ from ..functions import dot
 from ..sources.facts import Program
 from . import ir
 from .artefacts import Artefacts
+from .callgraph import targets_asked
 from .icfg import program_icfg
 
 
@@ -63,7 +64,8 @@ def icfg_text(source: Artefacts | Program, entries: DataFrame) -> DataFrame:
     node, its number below zero, stands beside it. Functions without a body stand by themselves."""
     a = Artefacts.of(source)
     nodes = _nodes(a.program)
-    edges = dot.styled_lines(program_icfg(a.program, a["points_to"], entries), dot.ICFG_STYLES)
+    points_to = targets_asked(a.program, lambda: a["points_to"])
+    edges = dot.styled_lines(program_icfg(a.program, points_to, entries), dot.ICFG_STYLES)
     calls = a.program.instructions.where("opcode IN ('call', 'invoke')").select(F.col("inst_id").alias("node"))
     returns = nodes.join(calls, "node", "left_semi").select("fn", "b", (F.col("ord") + 0.5).alias("ord"), (-F.col("node")).alias("node"), F.lit("return").alias("label"), "name")
     every = nodes.withColumn("ord", F.col("ord").cast("double")).unionByName(returns)

@@ -13,7 +13,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,10 @@ _roots: dict[str, str] = {}
 AS_LARGE_AS_ROWS = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
 
+#: Statements that write a table broadcast no more than this: loops have many, each with some, and all go through the driver.
+BROADCAST_BYTES = 1 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the session's spark.checkpoint.dir; one of our own only in
     local mode, where the session names none (executors of a cluster would not share it)."""
@@ -49,17 +53,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _roots[sc.applicationId]
 
 
+@contextlib.contextmanager
+def _during(spark: SparkSession) -> Iterator[None]:
+    """Settings of a statement that writes a table: its shuffle files go with it, and its broadcasts are small."""
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    with_ = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": str(min(most, BROADCAST_BYTES))}
+    old = {k: spark.conf.get(k, None) for k in with_}
+    for k, v in with_.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written: computed once, without lineage, of known size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "true")  # the statement's shuffle files go with it
-    try:
+    with _during(spark):
         df.write.options(**AS_LARGE_AS_ROWS).parquet(path)
-    finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

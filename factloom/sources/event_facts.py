@@ -85,6 +85,7 @@ def make(p: EventProgram) -> Program:
     """The fact tables, each a few selections over the log's blocks."""
     spark: SparkSession = p.spark
     # Every table selects from these two several times: they are made once.
+    p = p.written()
     blocks = cut(p.blk.withColumn("mb", F.max("b").over(_by_fn())))
     quad = cut(spark.sql(QUAD.replace("FROM ins", "FROM {ins}").replace("FROM fns", "FROM {fns}"), ins=p.ins, fns=p.blk.select("fn")))
     rows: dict[str, list[DataFrame]] = {t: [] for t in TABLES}
@@ -123,6 +124,7 @@ def make(p: EventProgram) -> Program:
         return out
 
     tables = {t: cut(whole(t)) for t in TABLES if t not in ("values", "types", "constants")}
+    p.release()
     drop(blocks, quad)
     return Program(spark, tables | {t: whole(t) for t in ("values", "types", "constants")})
 

@@ -96,7 +96,8 @@ def make(p: EventProgram) -> Program:
     """The fact tables of the program of pointers."""
     spark = p.spark
     # Each text names the relations before it; those that others read several times are written.
-    made: dict[str, DataFrame] = {"ins": p.ins, "blk": cut(p.blk), "cfg": p.cfg}
+    p = p.written()
+    made: dict[str, DataFrame] = {"ins": p.ins, "blk": p.blk, "cfg": p.cfg}
     made["fns"] = made["blk"].groupBy("fn").agg(F.max("b").alias("mb"))
 
     def sql(text: str) -> DataFrame:
@@ -129,5 +130,6 @@ def make(p: EventProgram) -> Program:
         "constants": table("constants", one.selectExpr(str(NULL), "'null'", "NULL", "NULL", "NULL").union(spark.range(2).selectExpr(f"{ZERO} + id", "'int'", "id", "NULL", "NULL"))),
         "types": spark.createDataFrame(TYPES, TABLES["types"]),
     }
-    drop(made["blk"], *[made[n] for n in EVENTS])
+    p.release()
+    drop(*[made[n] for n in EVENTS])
     return Program(spark, tables)

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.catalogue import shared
-from ..plans.fixpoint import drop
+from ..plans.fixpoint import cut, drop
 from .schema import TABLES
 
 
@@ -106,6 +106,19 @@ class EventProgram:
         it is made each time."""
         return make() if self.path is None else shared(self.spark, kind, self.path, make, Program.drop)
 
+    def written(self) -> EventProgram:
+        """The same program with its instructions, blocks and edges written, for what reads them several
+        times: the log is put in order once, and the planner sees tables of their size, where by the
+        log's packed files it would send all instructions through the driver. ``release`` deletes them."""
+        out = EventProgram(self.events, self.path)
+        for name in ("ins", "blk", "cfg"):
+            out.__dict__[name] = cut(getattr(out, name))
+        return out
+
+    def release(self) -> None:
+        """Deletes what ``written`` wrote."""
+        drop(*[self.__dict__.get(name) for name in ("ins", "blk", "cfg")])
+
     def _sql(self, name: str, **needs: DataFrame) -> DataFrame:
         return self.spark.sql(PROXY[name].replace("FROM events", "FROM {events}") if "events" in needs else PROXY[name], **needs)
 

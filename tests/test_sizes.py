@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from factloom.operators.artefacts import Artefacts
+from factloom.operators.graphs import icfg_text
+from factloom.operators.ir import function_nodes
 from factloom.operators.pointsto import TypePointsTo
-from factloom.plans.fixpoint import cut, drop
+from factloom.plans.fixpoint import _during, cut, drop
+from factloom.sources.facts import EventProgram, Program
 
 
 def test_written_tables_are_as_large_as_their_rows(spark):
@@ -32,3 +36,38 @@ def test_pairs_of_one_type_go_to_many_tasks(spark):
     finally:
         for k, v in zip(keys, old, strict=True):
             spark.conf.set(k, v)
+
+
+def test_written_instructions_are_not_broadcast(spark, tmp_path):
+    """A log packs to less than a broadcast may have while its instructions do not."""
+    n = 400_000
+    rows = spark.range(n).selectExpr("id AS event_id", "id % 100 AS user_id", "timestamp_seconds(id) AS ts", "'view' AS event_type", "0D AS value", "'{\"k\": 1}' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    p = EventProgram.read(spark, str(tmp_path))
+    held = p.written()
+    assert held.ins.count() == n and held.blk.count() == n // 4
+    left = spark.range(10 * n).select(F.col("id").alias("iid"))
+    plan = lambda ins: left.join(ins, "iid")._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" in plan(p.ins) and "Broadcast" not in plan(held.ins)
+    held.release()
+
+
+def test_statements_that_write_broadcast_little(spark):
+    """What a session would broadcast is shuffled by a statement of a loop, and the session's setting comes back."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    with _during(spark):
+        assert int(spark.conf.get(key).removesuffix("b")) <= 1 << 20
+    assert spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() == 10 << 20
+
+
+def test_calls_that_name_functions_solve_nothing(spark):
+    """The graph's text asks what pointers hold only where a call goes through one."""
+    direct = Program.from_rows(
+        spark, functions=[("m", 1, "f", False, 5), ("m", 2, "g", False, 5)], blocks=[(1, 0, 0, "b0"), (2, 0, 0, "b0")],
+        instructions=[(10, 1, 0, 0, "call", None, None, None), (11, 1, 0, 1, "ret", None, None, None), (20, 2, 0, 0, "ret", None, None, None)], operands=[(10, "callee", 0, 2, None)],
+    )
+    a = Artefacts.of(direct)
+    lines = {r["line"] for r in icfg_text(a, function_nodes(direct)).collect()}
+    assert any(x.startswith("  10 -> 20 ") for x in lines) and any(x.startswith("  20 -> -10 ") for x in lines)
+    assert "solved" not in a.made
+    a.release()
