@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from factloom.operators.artefacts import Artefacts
 from factloom.operators.graphs import icfg_text
 from factloom.operators.ir import function_nodes
-from factloom.operators.pointsto import TypePointsTo
+from factloom.operators.pointsto import TypePointsTo, andersen
 from factloom.plans.fixpoint import _during, cut, drop
 from factloom.sources.facts import EventProgram, Program
 
@@ -71,3 +71,19 @@ def test_calls_that_name_functions_solve_nothing(spark):
     assert any(x.startswith("  10 -> 20 ") for x in lines) and any(x.startswith("  20 -> -10 ") for x in lines)
     assert "solved" not in a.made
     a.release()
+
+
+def test_constraints_are_made_once(spark):
+    """Rounds read the constraints; they do not make them again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        made.add(1)
+        return x
+
+    none = spark.createDataFrame([], "x long, y long")
+    copy = spark.range(6).repartition(2).select((F.col("id") + 1).alias("x"), seen("id").alias("y"))
+    got = andersen(spark.createDataFrame([(0, 100)], "x long, l long"), copy, none, none)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 100) for i in range(7)]
+    assert made.value == 6
