@@ -151,9 +151,17 @@ def memory_paths(program: Program) -> DataFrame:
     return asked.join(paths, ["fn", "value"]).select("fn", "iid", "root", "path", "n")
 
 
+def _special(program: Program, letters: str) -> DataFrame:
+    """Globals whose names start like a kind of special name, dealt to as many tasks as the session shuffles into:
+    taking names apart is work that the size of a table does not show."""
+    n = int(program.spark.conf.get("spark.sql.shuffle.partitions"))
+    return program.globals.where(F.col("name").rlike(f"^@*_Z{letters}")).repartition(n, "value_id")
+
+
 def class_parents(program: Program) -> DataFrame:
     """(parent, child) names: typeinfo globals that another typeinfo's initializer names."""
-    info = program.globals.select("value_id", "init_value_id", demangled("name").alias("d")).where("d.kind = 'typeinfo'").select("value_id", "init_value_id", F.col("d.name").alias("name"))
+    # Read as parent and as child; names are taken apart once.
+    info = cut(_special(program, "TI").select("value_id", "init_value_id", demangled("name").alias("d")).where("d.kind = 'typeinfo'").select("value_id", "init_value_id", F.col("d.name").alias("name")))
     parts = program.constants.select(F.col("value_id").alias("init_value_id"), F.explode("elements").alias("e"))
     casts = program.operands.where("role = 'casted'").select(F.col("inst_id").alias("expr_inst_id"), F.col("value_id").alias("to"))
     through = program.constants.where("expr_inst_id IS NOT NULL").select(F.col("value_id").alias("e"), "expr_inst_id").join(casts, "expr_inst_id").select("e", "to")
@@ -163,7 +171,7 @@ def class_parents(program: Program) -> DataFrame:
 
 def vtables(program: Program) -> DataFrame:
     """(class, slot, fn): the first contiguous run of functions in a vtable's initializer."""
-    tab = program.globals.select("init_value_id", demangled("name").alias("d")).where("d.kind = 'vtable' AND init_value_id IS NOT NULL").select("init_value_id", F.col("d.name").alias("class"))
+    tab = _special(program, "TV").select("init_value_id", demangled("name").alias("d")).where("d.kind = 'vtable' AND init_value_id IS NOT NULL").select("init_value_id", F.col("d.name").alias("class"))
     items = program.constants.select(F.col("value_id").alias("init_value_id"), F.posexplode("elements").alias("pos", "e"))
     casts = program.operands.where("role = 'casted'").select(F.col("inst_id").alias("expr_inst_id"), F.col("value_id").alias("to"))
     through = program.constants.where("expr_inst_id IS NOT NULL").select(F.col("value_id").alias("e"), "expr_inst_id").join(casts, "expr_inst_id").select("e", "to")
@@ -272,7 +280,7 @@ def virtual_calls(program: Program, pointer_bits: int = 64) -> DataFrame:
     named = types_to_names(program).where("error IS NULL").select(F.col("type_id").alias("of"), "class")
     static = value_types(program).join(to, "type_id").join(named, "of").select(F.col("value_id").alias("this"), "class")
     calls = cut(vtable_slots(program, pointer_bits).join(static, "this").select(F.col("inst_id").alias("site"), "class", "slot"))
-    above, tables = class_parents(program), cut(vtables(program))
+    above, tables = cut(class_parents(program)), cut(vtables(program))
     classes = tables.select("class").union(above.select("parent")).union(above.select("child")).union(calls.select("class")).distinct()
     found = virtual_targets(calls, class_ancestors(above, classes), tables)
     return direct.unionByName(found.select(F.col("site").alias("inst_id"), "target", F.lit("virtual").alias("kind")))

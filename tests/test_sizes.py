@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.artefacts import Artefacts
 from factloom.operators.graphs import icfg_text
-from factloom.operators.ir import function_nodes
+from factloom.operators.ir import _special, function_nodes
 from factloom.operators.pointsto import TypePointsTo, andersen
 from factloom.plans.fixpoint import _during, cut, drop
 from factloom.sources.facts import EventProgram, Program
@@ -87,3 +87,14 @@ def test_constraints_are_made_once(spark):
     got = andersen(spark.createDataFrame([(0, 100)], "x long, l long"), copy, none, none)
     assert sorted(tuple(r) for r in got.collect()) == [(i, 100) for i in range(7)]
     assert made.value == 6
+
+
+def test_names_are_taken_apart_in_many_tasks(spark):
+    """A small table of names is work for more than one task; other kinds of names are not looked at, and a mark
+    before a name stays allowed."""
+    names = ["_ZTI1C", "@_ZTI1D", "_ZTV1C", "main", None] * 40
+    p = Program.from_rows(spark, globals=[(i, n, "global", 0, None) for i, n in enumerate(names)])
+    p._tables["globals"] = p.globals.coalesce(1)
+    got = _special(p, "TI")
+    assert sorted({r["name"] for r in got.collect()}) == ["@_ZTI1D", "_ZTI1C"] and got.count() == 80
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
