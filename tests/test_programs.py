@@ -4,6 +4,7 @@ from factloom.functions import names
 from factloom.operators import analyses as A
 from factloom.operators import callgraph as C
 from factloom.operators import pointsto as P
+from factloom.operators import ifds
 from factloom.operators.ifds import Problem
 from factloom.plans.fixpoint import closure
 from factloom.sources.facts import Program, UnknownInput
@@ -126,3 +127,22 @@ def test_functions_without_a_body_in_problems(spark):
     solved = problem.with_externs(d([(7, 70)], "fn node"), d([(1, 7, 0, 5)], edge), d([(1, 7, 5, 3)], edge)).solve()
     assert pairs(Problem.facts(solved)) == [(1, 0), (2, 3), (70, 5)]
     assert pairs(solved["summary"]) == [(1, 0, 3)]
+
+
+def test_rounds_of_the_solver_are_one_statement(spark, monkeypatch):
+    """Facts go down a chain of calls and come back up: a round writes one table, whatever it says."""
+    d = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cols.split()))
+    n = 5
+    nodes = range(1, n + 1)
+    # Function i calls i + 1 at node 10 i and leaves at 10 i + 1; the last passes its fact through.
+    entry, exits = d([(i, 10 * i) for i in nodes], "fn node"), d([(10 * i + 1, i) for i in nodes], "node fn")
+    flow = d([(i, -10 * i, 10 * i + 1, 0, 0) for i in range(1, n)] + [(n, 10 * n, 10 * n + 1, 0, 0)], "fn node succ d d2")
+    calls = [(10 * i, i + 1, 0, 0) for i in range(1, n)]
+    past = d([(i, 10 * i, -1, -1) for i in range(1, n)], "fn node d d2")
+    written, cut = [], ifds.cut
+    monkeypatch.setattr(ifds, "cut", lambda df: written.append(1) or cut(df))
+    solved = Problem(entry, d([(1, 0)], "fn d"), flow, d(calls, "node fn d d2"), exits, d(calls, "node fn d d2"), past).solve()
+    assert pairs(solved["end"].select("fn", "d2")) == [(i, 0) for i in nodes]
+    assert pairs(solved["summary"].select("node", "d5")) == [(10 * i, 0) for i in range(1, n)]
+    assert pairs(solved["incoming"].select("fn", "node")) == [(i + 1, 10 * i) for i in range(1, n)]
+    assert len(written) <= 22
