@@ -245,13 +245,13 @@ def bottom_up(edges: DataFrame, nodes: DataFrame, steps: list[Step], bodies: Dat
     """(scc, step, summary): summaries of all components, or of those that nothing calls.
 
     A relation counts, for each component, the callees that are still open and the callers that
-    have still to read it. A round takes all components without an open callee, a task group each,
-    with the summaries of what they call; then their callers wait for less, and summaries that the
+    have still to read it. A round takes all components without an open callee, a row each, with
+    the summaries of what they call; then their callers wait for less, and summaries that the
     last caller has read are dropped. ``stored``, if given, gets the number of summaries that each
     round left to be read. ``bodies`` (fn, ...) are rows that steps may read of each function.
 
     Summaries are strings, merged as sets, so the order of merging does not matter. A step's
-    dependencies must precede it. A component's functions go to one task."""
+    dependencies must precede it. A component's functions, and their rows, go to one task."""
     done: set[str] = set()
     for s in steps:
         if not set(s.depends_on) <= done:
@@ -265,33 +265,44 @@ def bottom_up(edges: DataFrame, nodes: DataFrame, steps: list[Step], bodies: Dat
     state = cut(comp.select("scc").distinct().join(out_of, "scc", "left").join(into, "scc", "left").select("scc", zero("waits"), zero("readers"), F.col("readers").isNull().alias("top")))
     read = bodies is not None
     of = comp.join(bodies, "fn", "left") if read else comp
-
-    def run(key, left, right):
-        import pandas as pd
-
-        fns = sorted(set(left["fn"].tolist()))
-        rows = {int(f): g.drop(columns=["fn", "scc"]).to_dict("records") for f, g in left.groupby("fn")} if read else {}
-        callee = {s.name: set(right.loc[right["step"] == s.name, "summary"]) for s in steps} if len(right) else {}
-        mine: dict[str, set[str]] = {}
-        for s in steps:
-            below = set(callee.get(s.name, ()))
-            now = below if s.inherits else set()
-            while True:
-                new = now | set(s.fn(fns, now | below, mine, *([rows] if s.bodies else [])))
-                if new == now:
-                    break
-                now = new
-            mine[s.name] = now
-        out = [(key[0], n, v) for n, vs in mine.items() for v in sorted(vs)]
-        return pd.DataFrame(out, columns=["scc", "step", "summary"])
+    # One row a component: most rounds have many small ones, and a task takes them in batches, not as a group each.
+    members = cut(of.groupBy("scc").agg(F.collect_list(F.struct("fn", *([c for c in bodies.columns if c != "fn"] if read else []))).alias("members")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("scc", pa.int64()), ("step", pa.string()), ("summary", pa.string())])
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                rows: dict[int, list[dict]] = {}
+                for m in r["members"]:
+                    rows.setdefault(m.pop("fn"), []).append(m)
+                fns = sorted(rows)
+                callee: dict[str, set[str]] = {}
+                for x in r["below"] or ():
+                    callee.setdefault(x["step"], set()).add(x["summary"])
+                mine: dict[str, set[str]] = {}
+                for s in steps:
+                    below = set(callee.get(s.name, ()))
+                    now = below if s.inherits else set()
+                    while True:
+                        new = now | set(s.fn(fns, now | below, mine, *([rows] if s.bodies else [])))
+                        if new == now:
+                            break
+                        now = new
+                    mine[s.name] = now
+                out += [{"scc": r["scc"], "step": n, "summary": v} for n, vs in mine.items() for v in sorted(vs)]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     empty = cond.sparkSession.createDataFrame([], "scc long, step string, summary string")
     held, kept = empty, []
     while not (ready := state.where("waits = 0")).isEmpty():
-        here = of.join(ready.select("scc"), "scc", "left_semi")
+        here = members.join(ready.select("scc"), "scc", "left_semi")
         calls = cond.join(ready.select(F.col("scc").alias("src")), "src", "left_semi")
         below = calls.join(held.withColumnRenamed("scc", "dst"), "dst").select(F.col("src").alias("scc"), "step", "summary").distinct()
-        made = cut(here.groupBy("scc").cogroup(below.groupBy("scc")).applyInPandas(run, "scc long, step string, summary string"))
+        told = below.groupBy("scc").agg(F.collect_list(F.struct("step", "summary")).alias("below"))
+        made = cut(here.join(told, "scc", "left").select("scc", "members", "below").mapInArrow(run, "scc long, step string, summary string"))
         closed = cond.join(ready.select(F.col("scc").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("scc")).agg(F.count("*").alias("closed"))
         heard = calls.groupBy(F.col("dst").alias("scc")).agg(F.count("*").alias("heard"))
         # Components that are done stay as long as they are read, with a negative wait.
@@ -312,7 +323,7 @@ def bottom_up(edges: DataFrame, nodes: DataFrame, steps: list[Step], bodies: Dat
             kept = [merged]
         drop(before, state)
         state = then
-    drop(held, state, comp, cond)
+    drop(held, state, comp, cond, members)
     return reduce(DataFrame.unionByName, kept) if kept else empty
 
 
