@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators.artefacts import Artefacts
-from factloom.operators.graphs import icfg_text
+from factloom.operators.graphs import control_text, icfg_text
 from factloom.operators.ir import _special, function_nodes
 from factloom.operators.pointsto import TypePointsTo, andersen
 from factloom.plans.fixpoint import _during, cut, drop
@@ -98,3 +98,19 @@ def test_names_are_taken_apart_in_many_tasks(spark):
     got = _special(p, "TI")
     assert sorted({r["name"] for r in got.collect()}) == ["@_ZTI1D", "_ZTI1C"] and got.count() == 80
     assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_texts_of_graphs_are_not_broadcast(spark):
+    """A graph's text is a query's last statement: by the session's limit small tables of blocks and of control
+    dependences would go through the driver."""
+    p = Program.from_rows(
+        spark, functions=[("m", 1, "f", False, 5)], blocks=[(1, 0, 0, "b0"), (1, 1, 1, "b1"), (1, 2, 2, "b2")],
+        instructions=[(10, 1, 0, 0, "br", None, None, None), (11, 1, 1, 0, "br", None, None, None), (12, 1, 2, 0, "ret", None, None, None)],
+        operands=[(10, "true_bb", 0, None, 1), (10, "false_bb", 0, None, 2), (11, "dest", 0, None, 2)],
+    )
+    a = Artefacts.of(p)
+    text = control_text(a)
+    assert "Broadcast" not in text._jdf.queryExecution().sparkPlan().toString()
+    lines = [r["line"] for r in text.collect()]
+    assert [x for x in lines if "->" in x] == ["  11 -> 10;"] and len(lines) == 7
+    a.release()
