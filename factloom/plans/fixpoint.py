@@ -57,7 +57,9 @@ def shared_folder(spark: SparkSession) -> str:
 def _during(spark: SparkSession) -> Iterator[None]:
     """Settings of a statement that writes a table: its shuffle files go with it, and its broadcasts are small."""
     most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    with_ = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": str(min(most, BROADCAST_BYTES))}
+    # A session may have a limit of its own for joins planned again as they run, which would stand above ours.
+    small = str(min(most, BROADCAST_BYTES))
+    with_ = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": small, "spark.sql.adaptive.autoBroadcastJoinThreshold": small}
     old = {k: spark.conf.get(k, None) for k in with_}
     for k, v in with_.items():
         spark.conf.set(k, v)

@@ -100,6 +100,18 @@ def test_names_are_taken_apart_in_many_tasks(spark):
     assert got.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_statements_that_write_heed_no_limit_of_running_joins(spark):
+    """A session's own limit for joins that are planned again as they run does not stand above that of a loop."""
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.set(key, str(100 << 20))
+    try:
+        with _during(spark):
+            assert int(spark.conf.get(key).removesuffix("b")) <= 1 << 20
+        assert int(spark.conf.get(key).removesuffix("b")) == 100 << 20
+    finally:
+        spark.conf.unset(key)
+
+
 def test_texts_of_graphs_are_not_broadcast(spark):
     """A graph's text is a query's last statement: by the session's limit small tables of blocks and of control
     dependences would go through the driver."""
