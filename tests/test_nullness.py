@@ -6,6 +6,7 @@ from factloom.operators import analyses as A
 from factloom.operators import callgraph, ir, nullness
 from factloom.operators import kernels as K
 from factloom.operators.flow import dataflow_in
+from factloom.operators import ifds
 from factloom.operators.ifds import Problem
 from factloom.sources.facts import Program
 
@@ -229,3 +230,47 @@ def test_function_types_behind_pointers_and_constructors(spark):
     assert pairs(ir.function_types(p)) == [(3, 3), (4, 3), (5, 3)] and (5, 0, 2) in pairs(ir.function_parameters(p))
     assert {v for (v,) in pairs(ir.function_pointers(p))} == {10, 30}
     assert pairs(ir.allocations(p)) == [(11, 8, "allocates"), (13, 8, "allocates")]
+
+
+def test_exits_are_told_by_name(spark):
+    """A problem whose exits are told by name against the same by exit and fact: a function of the whole program's
+    fact -7 and of its parameter, which leaves by two exits; its own fact 9 is nothing to callers."""
+    df = spark.createDataFrame
+    entry, exits = df([(1, 10), (2, 20)], "fn long, node long"), df([(13, 1), (22, 2), (23, 2)], "node long, fn long")
+    start = df([(1, -1), (1, 5), (1, -7)], "fn long, d long")
+    steps = df([(1, 10, 11), (1, -11, 12), (1, 11, -11), (1, 12, 13), (2, 20, 21), (2, 21, 22), (2, 21, 23)], "fn long, node long, succ long")
+    lost, gen = df([(2, 20, -7)], "fn long, node long, d long"), df([(2, 20, 21, -1, 9), (2, 21, 23, -7, 8), (2, 20, 21, 3, -7)], "fn long, node long, succ long, d long, d2 long")
+    pass_, none = df([(11, 2, -1, -1), (11, 2, 5, 3)], "node long, fn long, d long, d2 long"), df([], "fn long, node long, d long, d2 long")
+    calls, kinds = df([(11, 2)], "node long, fn long"), "node long, fn long, exit long, d long, d2 long"
+    back = df([(11, 2, 22, -1, -1), (11, 2, 23, -1, -1), (11, 2, 23, 8, 4), (11, 2, 22, -7, 4)], kinds)
+    leaves = df([(2, 22, -1, -1), (2, 23, -1, -1), (2, 23, 8, 0), (2, 22, -7, 0)], "fn long, node long, d long, name long")
+    by_exit = Problem(entry, start, gen, pass_, exits, back, none, steps, lost, calls)
+    named = Problem(entry, start, gen, pass_, exits, df([(11, 2, -1, -1), (11, 2, 0, 4)], "node long, fn long, d long, d2 long"), none, steps, lost, calls, leaves)
+    one, two = by_exit.solve(), named.solve()
+    for name in ("path", "incoming", "end", "summary"):
+        assert pairs(one[name]) == pairs(two[name]), name
+    facts = {(n, d) for _, _, n, d in pairs(one["path"]) if n > 0 and d != -1}
+    assert (13, 4) in facts and (13, -7) in facts and (13, 9) not in facts
+    # Facts at nodes come without paths, and each once.
+    assert pairs(named.at_nodes().select("node", "d2")) == sorted(facts)
+
+
+def test_rounds_tabulate_nothing():
+    """What a function says follows from its graph, which is made once, leaving each exploded node once where there is no loop."""
+    n = 60  # calls, one after another, then a return
+    rows = [(ifds.ENTRY, 1, 0, 0, 0, 0), (ifds.EXIT, 3 * n, 0, 0, 0, 0), (ifds.ENTERS, -1, 0, 0, 0, 0), (ifds.LEAVES, 3 * n, -1, -1, 0, 0)]
+    for i in range(n):
+        call = 3 * i + 1
+        rows += [(ifds.EDGE, a, b, ifds.KEEPS, ifds.KEEPS, 0) for a, b in ((call, -call), (-call, call + 1), (call + 1, call + 2), (call + 2, call + 3 if i < n - 1 else 3 * n)) if a != b]
+        rows += [(ifds.HOME, call, 0, 0, 0, 0), (ifds.PASS, call, 500, -1, -1, 0), (ifds.CALL, call, 500, 0, 0, 0), (ifds.BACK_ANY, call, 500, 0, -1, -1), (ifds.EDGE, call + 2, ifds.LOSES, -9, ifds.LOSES, 0)]
+    f = ifds._Function(rows, True)
+    left, step = [], f._next
+    f._next = lambda *x: left.append(x) or step(*x)
+    graph = f.graph(ifds.BY_NAME)
+    assert len(left) == len(set(left)) <= 4 * n * 4
+    told = ifds._News(ifds.pickle.dumps(graph), True)
+    told.tell([(ifds.ENTER, -9, None, None, None), (ifds.ENTER, -1, None, None, None)])
+    assert told.said == {(500, ifds.ENTER, -1, None, None), (500, ifds.ENTER, -9, None, None), (None, ifds.END, -1, 0, -1)}
+    # Of the whole program: -9 is lost after the first call, -8, which is not mentioned, comes through all.
+    told.tell([(ifds.END, 500, -9, -9, 0), (ifds.ENTER, -8, None, None, None), (ifds.END, 500, -8, -8, 0)])
+    assert told.said - {(500, ifds.ENTER, -8, None, None)} == {(500, ifds.ENTER, -1, None, None), (500, ifds.ENTER, -9, None, None), (None, ifds.END, -1, 0, -1), (None, ifds.END, -8, 0, -8)}
